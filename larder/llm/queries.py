@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, packing, quality_rules, secret_scan, topk, toxicity, url_filter, warc
+from . import bpe, html_text, ngram_join, packing, quality_rules, secret_scan, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_html_text": html_text.op5_html_text,
