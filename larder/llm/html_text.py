@@ -154,7 +154,7 @@ def features(pieces: list[Piece]) -> np.ndarray:
 PRIOR = np.array([-0.5, 0.6, -4.0, 1.0, 1.0, 1.0, -0.5, 3.0, -6.0])
 
 
-def fit(pages: DataFrame, html_col: str = "html", most_pages: int = 2000, seed: int = 11) -> np.ndarray:
+def fit(pages: DataFrame, html_col: str = "html", most_pages: int = 1000, seed: int = 11) -> np.ndarray:
     """The classifier's weights from a sample of at most `most_pages` pages.
 
     A block counts as content when it lies in an article or main element and in nothing that names a part of the frame, as

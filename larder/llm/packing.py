@@ -20,7 +20,7 @@ from .common import blocks, map_arrow, materialize, table, words_of
 
 #: Permitted lengths, and what a sequence costs besides its length, in tokens.
 SIZES, OVERHEAD = (512, 1024, 2048, 4096), 64
-SHARD_ROWS = 16_384
+SHARD_ROWS = 8_192
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialize, mix, table
 
 TILE, BLOCK, BRANCHES = 256, 4096, 16
-#: Vectors to a shard, from which the number of shards follows.
-SHARD_ROWS = 1 << 15
+#: Vectors to a shard at most; small tables are dealt into as many shards as there are cores.
+SHARD_ROWS = 1 << 18
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -102,7 +102,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 10, id_col: str = "ve
     """
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("id").isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q")).filter(sound)
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    n = rows.count()
+    shards = max(1, -(-n // SHARD_ROWS), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK)))
     packed = materialize(_pack(rows.select("id", "v"), BLOCK))
     packed = packed.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
     # the stated queries, whole, in tiles: each goes to every shard
