@@ -4,7 +4,8 @@ Shingles are ordered from rare to common, by a sketch of how many documents hold
 least o = ceil(s n) with anything of similarity s, so two similar documents share at least l of their first n - o + l
 shingles, for any l. Each document takes the l at which its estimated cost is least: a longer prefix is more to look up, but
 where its shingles are common, requiring l of them leaves fewer pairs to verify. Two documents are a candidate pair when
-they share at least min(l, l') shingles of their prefixes at that length.
+they share at least min(l, l') shingles of their prefixes at that length. For a pair of known sizes the overlap that they need, and with it the
+prefix that counts, is sharper still; so shingles are kept with their places, and only those inside it are matched.
 
 Texts with equal sets are one class from the start. Groups of near copies share their prefixes, and all their pairs would grow
 with the square of the group; so in each of a few rounds every prefix shingle's classes are compared with one of them alone,
@@ -112,8 +113,8 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_of(s: np.ndarray, sketch: np.ndarray, usual: int, similarity: Fraction) -> tuple[np.ndarray, int, int]:
-    """The shingles of a set's adaptive prefix in order, the number of matches l that it requires, and the length at l = 1."""
+def prefix_of(s: np.ndarray, sketch: np.ndarray, usual: int, similarity: Fraction) -> tuple[np.ndarray, int]:
+    """The shingles of a set's adaptive prefix in order, and the number of matches l that it requires."""
     n = len(s)
     count = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     order = np.argsort((count << np.uint64(40)) | (s & np.uint64((1 << 40) - 1)), kind="stable")
@@ -124,11 +125,11 @@ def prefix_of(s: np.ndarray, sketch: np.ndarray, usual: int, similarity: Fractio
     run = np.cumsum(others)
     costs = [base + l - 1 + run[base + l - 2] * (1 + VERIFY_COST / l) for l in range(1, most + 1)]
     best = 1 + int(np.argmin(costs))
-    return s[order[: base + best - 1]], best, base
+    return s[order[: base + best - 1]], best
 
 
 def _prefixes(rows: DataFrame, width: int, sketch: np.ndarray, similarity: Fraction) -> DataFrame:
-    """(token, cls, n, l, level): level is the least l at which the token belongs to the prefix."""
+    """(token, cls, n, l, place): each token of a class's prefix and its place there, the class's size and its l."""
     shared = rows.sparkSession.sparkContext.broadcast((sketch, int(np.median(sketch)) if len(sketch) else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +137,24 @@ def _prefixes(rows: DataFrame, width: int, sketch: np.ndarray, similarity: Fract
         seen: set[int] = set()  # copies in one task give their rows once
         for batch in batches:
             for block in blocks(batch.column(1)):
-                tokens, classes, ns, ls, levels = [], [], [], [], []
+                tokens, classes, ns, ls, places = [], [], [], [], []
                 for s in shingle_sets(block, width):
                     if not len(s) or (c := class_of(s)) in seen:
                         continue
                     if len(seen) >= 1 << 17:
                         seen.clear()
                     seen.add(c)
-                    prefix, best, base = prefix_of(s, counts, usual, similarity)
+                    prefix, best = prefix_of(s, counts, usual, similarity)
                     k = len(prefix)
                     tokens.append(prefix)
-                    levels.append(np.maximum(np.arange(k) - base + 2, 1).astype(np.int8))
+                    places.append(np.arange(k, dtype=np.int32))
                     classes.append(np.full(k, c, np.int64))
                     ns.append(np.full(k, len(s), np.int32))
                     ls.append(np.full(k, best, np.int8))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], classes, ns, ls, levels)], ["token", "cls", "n", "l", "level"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], classes, ns, ls, places)], ["token", "cls", "n", "l", "place"])
 
-    return rows.select("id", "t").mapInArrow(run, "token long, cls long, n int, l byte, level byte")
+    return rows.select("id", "t").mapInArrow(run, "token long, cls long, n int, l byte, place int")
 
 
 def _members(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -232,25 +233,32 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     prefixes = _prefixes(rows, width, _sketch(survey), similarity)
     # tokens of one class alone lead nowhere
     bounds = "min(cls) over (partition by token) as lo", "max(cls) over (partition by token) as hi"
-    shared = materialize(prefixes.selectExpr("*", *bounds).filter("lo <> hi").select("token", "cls", "n", "l", "level").distinct())
+    shared = materialize(prefixes.selectExpr("*", *bounds).filter("lo <> hi").select("token", "cls", "n", "l", "place").distinct())
     _free(spark)
     chosen = shared.select("cls").distinct().join(reps.filter("rep is not null"), "cls").select(F.col("rep").alias("id"), "cls")
     members = materialize(_members(rows, chosen, width))
     _free(spark)
     p, q = similarity.numerator, similarity.denominator
+
+    def inside(x: str, y: str) -> str:
+        """SQL: whether x and y can be similar by size, and this token lies in the part of both prefixes that counts for the pair."""
+        need = f"ceil({p} * ({x}.n + {y}.n) / {p + q})"
+        matches = f"least({x}.l, {y}.l)"
+        return f"{p} * greatest({x}.n, {y}.n) <= {q} * least({x}.n, {y}.n) and {x}.place + {need} < {x}.n + {matches} and {y}.place + {need} < {y}.n + {matches}"
+
     links, component = None, None
     for k in range(ROUNDS + 1):
         now = shared.withColumn("comp", F.col("cls")) if component is None else shared.join(component, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        now = now.select("token", "cls", "n", "l", "level", "comp")
+        now = now.select("token", "cls", "n", "l", "place", "comp")
         if k < ROUNDS:
-            pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", F.col("p.cls").alias("pc"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pp"))
-            star = now.join(pivot, "token").filter(f"comp <> pp and {p} * greatest(n, pn) <= {q} * least(n, pn)")
-            pairs = star.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b")).distinct()
+            pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n", "l", "place", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "p.*")
+            star = now.alias("x").join(pivot.alias("y"), F.expr(f"x.token = y.token and x.comp <> y.comp and {inside('x', 'y')}"))
+            pairs = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         else:
             mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
             open_ = materialize(now.join(mixed, "token", "left_semi"))
             x, y = open_.alias("x"), open_.alias("y")
-            matched = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.comp <> y.comp and {p} * greatest(x.n, y.n) <= {q} * least(x.n, y.n) and greatest(x.level, y.level) <= least(x.l, y.l)"))
+            matched = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.comp <> y.comp and {inside('x', 'y')}"))
             pairs = matched.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
         found = materialize(_links(pairs, members, width, similarity))
         links = found if links is None else links.unionByName(found)
