@@ -154,13 +154,15 @@ def features(pieces: list[Piece]) -> np.ndarray:
 PRIOR = np.array([-0.5, 0.6, -4.0, 1.0, 1.0, 1.0, -0.5, 3.0, -6.0])
 
 
-def fit(pages: DataFrame, html_col: str = "html", most_pages: int = 1000, seed: int = 11) -> np.ndarray:
-    """The classifier's weights from a sample of at most `most_pages` pages.
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = 1000, seed: int = 11) -> np.ndarray:
+    """The classifier's weights from a sample of about `most_pages` pages, chosen by the hash of their ids.
 
     A block counts as content when it lies in an article or main element and in nothing that names a part of the frame, as
     boilerplate when it lies in such a part; other blocks are left out. Ridge logistic regression about PRIOR, by Newton steps.
     """
-    chosen = pages.select(F.col(html_col).cast("string").alias("h")).filter("h is not null").withColumn("o", F.xxhash64("h", F.lit(seed))).orderBy("o").limit(most_pages).select("h")
+    share = min(1.0, most_pages / max(1, pages.count()))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = pages.filter(place < share).select(F.col(html_col).cast("string").alias("h")).filter("h is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +173,7 @@ def fit(pages: DataFrame, html_col: str = "html", most_pages: int = 1000, seed:
                     x, y = features(known), np.array([not p.part for p in known], float)
                     yield pa.RecordBatch.from_pydict({"x": x.tolist(), "y": y})
 
-    rows = chosen.repartition(8).mapInArrow(run, "x array<double>, y double")
+    rows = chosen.mapInArrow(run, "x array<double>, y double")
     found = rows.groupBy("x", "y").agg(F.count("*").alias("n")).toPandas()
     w = PRIOR.copy()
     if len(found):
@@ -277,7 +279,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "
     Null and empty html, and pages of boilerplate alone, give an empty text. Repeated rows are kept. weights: of fit(), which
     is called where they are not given.
     """
-    w = fit(pages, html_col) if weights is None else weights
+    w = fit(pages, id_col, html_col) if weights is None else weights
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
