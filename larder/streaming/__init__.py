@@ -1,0 +1 @@
+"""Streaming operators; the retail operators have none yet."""
