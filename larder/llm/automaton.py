@@ -192,7 +192,7 @@ def compile_rules(patterns: list[bytes]) -> Automaton:
     return Automaton(class_of, table.astype(np.int32).ravel(), n_classes, accepts, known.ravel())
 
 
-def scan(auto: Automaton, data: np.ndarray, lane: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def scan(auto: Automaton, data: np.ndarray, lane: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """One pass over data from the start state: the places (after a byte) where rules accept, and the masks of these rules.
 
     The bytes are cut into lanes, each beginning where two bytes have fixed the state whatever came before, and all lanes

@@ -100,7 +100,7 @@ def _text_spans(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
 
 def _each_block(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -> Iterator[tuple[Block, dict[int, list[tuple[int, int, int]]]]]:
     patterns = [re.compile(r.exact) for r in rules]
-    for block in blocks(column, 4 << 20):
+    for block in blocks(column):
         yield block, _block_spans(block, rules, auto, patterns)
 
 
@@ -132,22 +132,24 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     schema = docs.schema
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = batch.column(at)
-        changed: dict[int, str] = {}
-        for block, found in _each_block(column, rules, auto):
-            for r, spans in found.items():
-                text, out, done = block.text(r), [], 0
-                for a, b, _ in sorted(spans):
-                    if a >= done:
-                        out += [text[done:a], mask.encode()]
-                    done = max(done, b)
-                changed[block.lo + r] = b"".join([*out, text[done:]]).decode()
-        if changed:
-            values = column.to_pylist()
-            for r, text in changed.items():
-                values[r] = text
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(values, column.type))
-        yield batch
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            column = part.column(at)
+            changed: dict[int, str] = {}
+            for block, found in _each_block(column, rules, auto):
+                for r, spans in found.items():
+                    text, out, done = block.text(r), [], 0
+                    for a, b, _ in sorted(spans):
+                        if a >= done:
+                            out += [text[done:a], mask.encode()]
+                        done = max(done, b)
+                    changed[block.lo + r] = b"".join([*out, text[done:]]).decode()
+            if changed:
+                values = column.to_pylist()
+                for r, text in changed.items():
+                    values[r] = text
+                part = part.set_column(at, part.schema.field(at), pa.array(values, column.type))
+            yield part
 
     return map_arrow(docs, run, schema)
 
