@@ -9,7 +9,8 @@ prefix that counts, is sharper still; so shingles are kept with their places, an
 
 Texts with equal sets are one class from the start. Groups of near copies share their prefixes, and all their pairs would grow
 with the square of the group; so in each of a few rounds every prefix shingle's classes are compared with one of them alone,
-and what is similar is joined. Then all candidate pairs between different components are verified. Two classes of one
+and what is similar is joined. Which one depends on the shingle's residue too: a group whose members are not all similar to
+any single one, as copies with edits of their own, is thus compared with a few of them in a round. Then all candidate pairs between different components are verified. Two classes of one
 component need no comparing: components are the result.
 """
 
@@ -33,6 +34,8 @@ SKETCH_BITS, SLICE_BITS = 20, 14
 MOST_MATCHES, VERIFY_COST = 8, 20.0
 #: Rounds of comparing with one class of each shingle before all pairs.
 ROUNDS = 2
+#: Residues of shingles that choose the one class by hashes of their own: a class has at most so many partners by a group and round.
+PIVOTS = 8
 #: Longs of a class's parity bitmap.
 BITMAP = 16
 
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
         now = shared.withColumn("comp", F.col("cls")) if component is None else shared.join(component, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         now = now.select("token", "cls", "n", "l", "place", "comp")
         if k < ROUNDS:
-            pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n", "l", "place", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "p.*")
+            pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k), F.pmod("token", F.lit(PIVOTS))), "cls", "n", "l", "place", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "p.*")
             star = now.alias("x").join(pivot.alias("y"), F.expr(f"x.token = y.token and x.comp <> y.comp and {inside('x', 'y')}"))
             pairs = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         else:
