@@ -39,7 +39,7 @@ def naive_points(history: DataFrame, weeks: int, horizon: int) -> DataFrame:
     mean = F.coalesce(F.avg("units_sold").over(past), F.lit(0.0))
     out = history.select(*_PAIR, "date", mean.alias("daily_mean"), F.count("*").over(past).alias("n_past"), F.sum("units_sold").over(ahead).alias("actual"), F.count("*").over(ahead).alias("n_ahead"))
     whole = (F.col("n_ahead") == horizon) & (F.col("n_past") > 0)
-    return out.select(*_PAIR, "date", "daily_mean", (F.col("daily_mean") * horizon).alias("point"), F.when(whole, F.col("actual") - F.col("daily_mean") * horizon).alias("residual"))
+    return out.select(*_PAIR, "date", "daily_mean", (F.col("daily_mean") * horizon).alias("point"), F.when(F.col("n_ahead") == horizon, F.col("actual")).alias("actual"), F.when(whole, F.col("actual") - F.col("daily_mean") * horizon).alias("residual"))
 
 
 def naive_quantiles(points: DataFrame, as_of, horizon: int, quantiles: tuple[float, ...], least: int) -> DataFrame:
@@ -62,3 +62,44 @@ def seasonal_naive(history: DataFrame, as_of, horizon: int) -> DataFrame:
     ago = F.datediff(F.lit(as_of), F.col("date"))
     times = sum((F.when(ago == d, 1).otherwise(0) for d in wanted.values()), F.lit(0))
     return pairs.agg(F.sum(times * F.col("units_sold")).alias("s"), F.sum(times).alias("n")).select(*_PAIR, F.when(F.col("n") == horizon, F.col("s")).alias("value"))
+
+
+def weekly_points(history: DataFrame, season_weeks: int, level_weeks: int, horizon: int) -> DataFrame:
+    """For every day the level, and the point forecast of the risk window: level times the indices of its weekdays.
+
+    A weekday's index is its mean over the season before, by the mean of all days there; 1 where either is missing or the latter
+    is 0. The level is the mean of the recent units, each by its index if that is positive; 0 without any.
+    """
+    season, recent = _days(-7 * season_weeks, -1), _days(-7 * level_weeks, -1)
+    today, units = F.weekday("date"), F.col("units_sold")
+    on = lambda w, window: F.sum(F.when(today == w, units)).over(window)
+    sums = history.select(
+        *_PAIR, "date", "units_sold", today.alias("wd"), F.avg(units).over(season).alias("overall"), F.count("*").over(recent).alias("n"),
+        F.array(*(F.avg(F.when(today == w, units)).over(season) for w in range(7))).alias("means"), F.array(*(F.coalesce(on(w, recent), F.lit(0.0)) for w in range(7))).alias("recent"),
+    )
+    index = F.transform("means", lambda m: F.when(F.col("overall") > 0, F.coalesce(m / F.col("overall"), F.lit(1.0))).otherwise(1.0))
+    indexed = sums.withColumn("idx", index)
+    level = F.aggregate(F.zip_with("recent", "idx", lambda s, i: F.when(i > 0, s / i).otherwise(s)), F.lit(0.0), lambda a, x: a + x)
+    ahead = sum((F.element_at("idx", F.pmod(F.col("wd") + k, F.lit(7)) + 1) for k in range(horizon)), F.lit(0.0))
+    return indexed.withColumn("level", F.when(F.col("n") > 0, level / F.col("n")).otherwise(0.0)).select(*_PAIR, "date", "level", (F.col("level") * ahead).alias("point"))
+
+
+def training_panel(features: DataFrame, points: DataFrame, origins: DataFrame, retrains: DataFrame, horizon: int, half_life: float) -> DataFrame:
+    """Features at each origin with the demand that followed, once per retraining date by which that is known; weight halves with age."""
+    at = features.join(F.broadcast(origins), F.col("date") == F.col("origin")).drop("origin").join(points.filter("actual is not null").select(*_PAIR, "date", "actual"), [*_PAIR, "date"])
+    every = at.join(F.broadcast(retrains), F.date_add(F.col("date"), horizon) <= F.col("retrain"))
+    age = F.datediff("retrain", "date")
+    return every.withColumns({"age": age.cast("long"), "weight": F.pow(F.lit(0.5), age / half_life)})
+
+
+def error_metrics(scored: DataFrame) -> DataFrame:
+    """By store, over rows with actual, point and rival: relative mean absolute error, weighted absolute error and bias."""
+    rows = scored.filter("actual is not null and point is not null and rival is not null")
+    miss, other = F.col("point") - F.col("actual"), F.col("rival") - F.col("actual")
+    return rows.groupBy("store_id").agg(F.count("*").alias("n"), F.try_divide(F.avg(F.abs(miss)), F.avg(F.abs(other))).alias("relative_mae"), F.try_divide(F.sum(F.abs(miss)), F.sum("actual")).alias("wape"), F.try_divide(F.sum(miss), F.sum("actual")).alias("bias"))
+
+
+def quantile_metrics(scored: DataFrame) -> DataFrame:
+    """By store and quantile, over rows with an actual: share at or below the forecast, and pinball loss."""
+    e = F.col("actual") - F.col("value")
+    return scored.filter("actual is not null").groupBy("store_id", "quantile").agg(F.avg((F.col("actual") <= F.col("value")).cast("double")).alias("coverage"), F.avg(F.greatest(F.col("quantile") * e, (F.col("quantile") - 1) * e)).alias("pinball"))

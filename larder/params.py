@@ -31,6 +31,22 @@ class Params:
     as_of: date = date(2000, 7, 3)
     cash_budget: float = 4000.0
     floor_share: float = 0.6
+    paydays: tuple[int, ...] = (15, -1)
+    order_days: tuple[int, ...] = (1, 4)
+    review_days: int = 7
+    lead_days: int = 3
+    warm_up_days: int = 28
+    season_weeks: int = 8
+    level_weeks: int = 2
+    retrains: tuple[date, ...] = (date(2000, 1, 3), date(2000, 7, 3))
+    half_life: float = 180.0
+    erp_factor: float = 0.32
+    erp_least: float = 2.0
+    new_history_days: int = 365
+    new_sale_days: int = 20
+    least_value: float = 300.0
+    least_units: float = 40.0
+    most_packs: int = 30
 
 
 PARAMS = Params()

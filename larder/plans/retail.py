@@ -234,7 +234,7 @@ pts as (select store_id, item_id, date, daily_mean, daily_mean * {P.horizon} poi
 
 @_query("m3_naive_residuals", f"{_POINTS} select store_id, item_id, date, round(daily_mean, 9) daily_mean, round(point, 9) point, round(residual, 9) residual from pts")
 def m3(spark, sf_dir):
-    return _rounded(forecast.naive_points(_panel(spark, sf_dir), P.naive_weeks, P.horizon), "daily_mean", "point", "residual", places=9)
+    return _rounded(forecast.naive_points(_panel(spark, sf_dir), P.naive_weeks, P.horizon).drop("actual"), "daily_mean", "point", "residual", places=9)
 
 
 _QS = ", ".join(f"(cast({q} as double))" for q in P.quantiles)
