@@ -16,7 +16,6 @@ component need no comparing: components are the result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, hash_spans, materialize, mix, table, words_of
+from .common import Block, blocks, free_shuffles, hash_spans, materialize, mix, table, words_of
 from .components import components
 
 #: Counters of the sketch: its size is the same for any corpus.
@@ -214,12 +213,6 @@ def _links(pairs: DataFrame, members: DataFrame, width: int, similarity: Fractio
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: its id, n_shingles (distinct shingles of `width` words, A-Z lower-cased) and component_id.
 
@@ -237,10 +230,10 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     # tokens of one class alone lead nowhere
     bounds = "min(cls) over (partition by token) as lo", "max(cls) over (partition by token) as hi"
     shared = materialize(prefixes.selectExpr("*", *bounds).filter("lo <> hi").select("token", "cls", "n", "l", "place").distinct())
-    _free(spark)
+    free_shuffles(spark)
     chosen = shared.select("cls").distinct().join(reps.filter("rep is not null"), "cls").select(F.col("rep").alias("id"), "cls")
     members = materialize(_members(rows, chosen, width))
-    _free(spark)
+    free_shuffles(spark)
     p, q = similarity.numerator, similarity.denominator
 
     def inside(x: str, y: str) -> str:
@@ -266,7 +259,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
         found = materialize(_links(pairs, members, width, similarity))
         links = found if links is None else links.unionByName(found)
         component = materialize(components(links).select(F.col("node").alias("cls"), "component"))
-        _free(spark)
+        free_shuffles(spark)
     # a component's id is the smallest id of all its classes
     own = reps.join(component, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
