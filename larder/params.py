@@ -47,6 +47,11 @@ class Params:
     least_value: float = 300.0
     least_units: float = 40.0
     most_packs: int = 30
+    return_days: int = 14
+    margin_factors: tuple[float, ...] = (0.7, 1.0, 1.3)
+    most_lost: int = 20
+    variation_days: int = 28
+    variation_factor: float = 2.0
 
 
 PARAMS = Params()
