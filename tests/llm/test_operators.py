@@ -80,6 +80,16 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == len(ROWS) and all(0 <= r.score <= 1 for r in none)
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    for name, most in (("MOST_TOXIC", 40), ("MOST_ORDINARY", 80), ("COMMON", 50)):
+        monkeypatch.setattr(toxicity, name, most, raising=False)
+    bad = ["".join(chr(97 + (7 * j + 3 * i * i + i * j) % 26) for i in range(8)) for j in range(150)]
+    rows = [(k, f"plain words w{k % 7} {bad[k // 3 % 150] + ' ' if k % 3 == 0 else ''}here and there", int(k % 3 == 0)) for k in range(2700)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.judge(train.select("doc_id", "text"), train.select("doc_id", "toxic")).join(train, "doc_id").collect()
+    assert len(got) == 2700 and sum(r.predicted != r.toxic for r in got) <= 5
+
+
 def test_secrets(docs, empty):
     got = {r.doc_id: r for r in secret_scan.digest(docs).collect()}
     assert (got[1].n_assign, got[1].n_hex, got[1].spans) == (1, 1, "assign:4:53,hex:13:53")
