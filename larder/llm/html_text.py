@@ -37,6 +37,12 @@ CLOSES = {
 CLOSE_UNTIL = frozenset("ul ol dl table tr tbody thead div section article nav aside main body form menu header footer blockquote".split())
 PART_TAGS = frozenset("nav footer aside form menu dialog search".split())
 MAIN_TAGS = frozenset(["article", "main"])
+#: What may stand in a head: any other start tag, and text, ends a head whose end tag is left out.
+HEAD_TAGS = frozenset("base basefont bgsound link meta title style script noscript noframes template object".split())
+#: These hold whole pages, so that their names tell of no part.
+PAGE_TAGS = frozenset(["html", "body"])
+#: Frame elements that hold no main text of the page; a form may, where it is wrapped around all of it.
+FIRM_TAGS = PART_TAGS - {"form"} | {"header"}
 PART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar topbar toolbar breadcrumb breadcrumbs"
     " header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice notices alert popup modal overlay newsletter subscribe"
@@ -48,6 +54,8 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
+#: Names that tell what else the page has or lacks, as in has-sidebar.
+_STATE = re.compile(r"(?:has|have|no|not|with|without|is|hide|show)[-_]")
 
 
 @dataclass
@@ -65,8 +73,8 @@ class Piece:
 def pieces_of(page: str) -> list[Piece]:
     """The blocks of text of a page in order, character references decoded and white space made one space."""
     out: list[Piece] = []
-    # open elements: (serial, tag, part of the frame, part of the main text, silent)
-    stack: list[tuple[int, str, bool, bool, bool]] = [(0, "", False, False, False)]
+    # open elements: (serial, tag, part of the frame, part of the main text, silent, part by an element or a whole name)
+    stack: list[tuple[int, str, bool, bool, bool, bool]] = [(0, "", False, False, False, False)]
     text: list[str] = []
     linked = 0
     serial, links, at, n = 0, 0, 0, len(page)
@@ -85,6 +93,8 @@ def pieces_of(page: str) -> list[Piece]:
     while at < n:
         m = _TAG.search(page, at)
         end = m.start() if m else n
+        if stack[-1][1] == "head" and end > at and not page[at:end].isspace():
+            stack.pop()
         if end > at and not stack[-1][4]:
             text.append(page[at:end])
             if links:
@@ -104,6 +114,10 @@ def pieces_of(page: str) -> list[Piece]:
                     del stack[k:]
                     break
             continue
+        if tag == "body" and any(s[1] == "head" for s in stack):
+            del stack[next(k for k, s in enumerate(stack) if s[1] == "head") :]
+        elif stack[-1][1] == "head" and tag not in HEAD_TAGS:
+            stack.pop()
         if tag in BLOCK_TAGS:
             flush()
             shut = CLOSES.get(tag, frozenset(["p"]))
@@ -118,15 +132,23 @@ def pieces_of(page: str) -> list[Piece]:
             text.append(" ")
         if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
             continue
-        _, _, part, main, silent = stack[-1]
-        names = {w.lower() for x in _NAMES.findall(m[3]) for w in _NAME.findall("".join(x))} if m[3] else ()
-        if tag in PART_TAGS or (tag == "header" and not main) or PART_NAMES.intersection(names):
+        _, _, part, main, silent, firm = stack[-1]
+        whole = {w for x in _NAMES.findall(m[3]) for w in "".join(x).lower().split() if not _STATE.match(w)} if m[3] and tag not in PAGE_TAGS else frozenset()
+        names = {w for x in whole for w in _NAME.findall(x)}
+        # an article or main element is no part because of a name that is but a piece of a wrapper's, like layout-sidebar; the main element never
+        if tag in PAGE_TAGS or tag == "main":
+            part = firm = False
+        elif tag in MAIN_TAGS:
+            part = firm
+        if (tag in FIRM_TAGS and (tag != "header" or not main)) or PART_NAMES.intersection(whole):
+            firm = True
+        if firm or tag in PART_TAGS or PART_NAMES.intersection(names):
             part = True
         if tag in MAIN_TAGS or MAIN_NAMES.intersection(names):
             main = True
         serial += 1
         silent = silent or tag in SILENT_TAGS or "hidden" in m[3].lower().split()
-        stack.append((serial, tag, part, main, silent))
+        stack.append((serial, tag, part, main, silent, firm))
         links += tag == "a"
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)

@@ -100,6 +100,23 @@ def test_secrets(docs, empty):
     assert secret_scan.digest(empty).count() == 0
 
 
+def test_html_wrappers():
+    text = "<h1>A b</h1><p>One two, three four.<p>Five six, seven."
+    want = "A b\n\nOne two, three four.\n\nFive six, seven."
+    frame = "<nav><a href=x>Home</a></nav>%s<footer>c</footer>"
+    for page in (
+        f"<html><head><title>t</title><meta charset=utf-8><body><article>{text}</article>",
+        f"<head><title>t</title><article>{text}</article>",
+        "<html><body class='home has-sidebar'>" + frame % f"<article>{text}</article>",
+        "<body class='search'>" + frame % f"<div class='page no-sidebar'><main>{text}</main></div>",
+        "<body><div class='layout-sidebar'>" + frame % f"<article>{text}</article></div>",
+        "<body><form id=f>" + frame % f"<article>{text}</article></form>",
+    ):
+        assert html_text.main_text(page, html_text.PRIOR) == want
+    assert html_text.main_text("<head><title>t</title>Plain words, here and there.", html_text.PRIOR) == "Plain words, here and there."
+    assert not html_text.main_text(f"<aside><article>{text}</article></aside><div class=related><article>{text}</article></div><div class=comments-area><article class=comment-body>{text}</article></div>", html_text.PRIOR)
+
+
 def test_html():
     page = "<nav><a href=x>Home</a></nav><article><h1>A &amp; b</h1><p>One\n two.<p>Three, four.<script>var t='</p>'</script></article><div class='ad'>Buy</div><footer>c</footer>"
     assert html_text.main_text(page, html_text.PRIOR) == "A & b\n\nOne two.\n\nThree, four."
