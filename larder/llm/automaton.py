@@ -24,7 +24,8 @@ _ALL = set(range(256)) - {PART}
 class _Nfa:
     """Thompson's construction from the parse tree of Python's own expression parser."""
 
-    def __init__(self) -> None:
+    def __init__(self, past_looks: bool = False) -> None:
+        self.past_looks = past_looks  # leave out what an expression only looks ahead at
         self.empty: list[list[int]] = []
         self.moves: list[list[tuple[frozenset[int], int]]] = []
 
@@ -39,6 +40,8 @@ class _Nfa:
         return at
 
     def _one(self, op, arg, at: int, fold: bool) -> int:
+        if op is C.ASSERT and self.past_looks:
+            return at
         if op is C.SUBPATTERN:
             _, on, _, inner = arg
             return self.add(inner, at, fold or bool(on & re.IGNORECASE))
@@ -107,7 +110,7 @@ class Automaton:
 
 def alphabet(pattern: bytes) -> np.ndarray:
     """Which bytes a match of pattern can hold at all."""
-    nfa, tree, used = _Nfa(), P.parse(pattern), np.zeros(256, bool)
+    nfa, tree, used = _Nfa(past_looks=True), P.parse(pattern), np.zeros(256, bool)
     nfa.add(tree, nfa.state(), bool(tree.state.flags & re.IGNORECASE))
     for moves in nfa.moves:
         for chars, _ in moves:

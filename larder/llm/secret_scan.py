@@ -44,8 +44,13 @@ BASE_RULES = (
     Rule("access", rb"AKIA[A-Z0-9]+", rb"AKIA[A-Z0-9]{12,}", least=16),
     Rule("hex", rb"[0-9a-f]+", rb"[0-9a-f]{32,}", least=32),
 )
+# A key runs to its END line; where that is missing, over its head lines and base64 lines, of which the last may be short.
+# Line feeds may be written as backslash n.
+_FEED = rb"""(?:[\s"'>|#*]|\\[nr])+"""
+_TO_END = rb"""(?:-?[A-Za-z0-9+/=\s\\:,."'>|#*;()_])*-----END [A-Z ]{0,24}PRIVATE KEY-----"""
+_LINES = rb"(?:%s(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+)*(?:%s[A-Za-z0-9+/]{40,}={0,2})*(?:%s[A-Za-z0-9+/]{2,}={1,2}|(?:\r?\n|\\n)[A-Za-z0-9+/]+(?=\s*[\r\n]|\s*\Z))?" % (_FEED, _FEED, _FEED)
 MORE_RULES = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", rb"PRIVATE KEY-----"),
+    Rule("private_key", rb"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:%s|%s)" % (_TO_END, _LINES), rb"PRIVATE KEY-----"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", rb"eyJ"),
     Rule("forge_token", rb"gh[pousr]_[A-Za-z0-9]{20,}", rb"gh[pousr]_"),
     Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}", rb"xox[abprs]-"),

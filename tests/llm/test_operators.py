@@ -100,6 +100,17 @@ def test_secrets(docs, empty):
     assert secret_scan.digest(empty).count() == 0
 
 
+def test_private_keys(spark):
+    lines = [("MIIEvQ+/aB" * 7)[:64], ("Zx9Kq/+Lm" * 8)[:64], "Qw3rTy=="]
+    key = lambda a, end=True: a.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, *(["-----END RSA PRIVATE KEY-----"] if end else [])])
+    head = "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + "\n".join(lines)
+    texts = [key("\n"), key("\\n"), key("\r\n"), key("\n", False), head, head + "\n-----END PRIVATE KEY-----", key("\n") + "\nand é " + key("\n"), "-----BEGIN PRIVATE KEY-----"]
+    rows = [(k, f"see é {t}\nHere it goes on.", t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string, own string")).collect()}
+    for k in range(len(texts)):
+        assert got[k] == ("see é [SECRET]\nand é [SECRET]\nHere it goes on." if k == 6 else "see é [SECRET]\nHere it goes on.")
+
+
 def test_html_wrappers():
     text = "<h1>A b</h1><p>One two, three four.<p>Five six, seven."
     want = "A b\n\nOne two, three four.\n\nFive six, seven."
