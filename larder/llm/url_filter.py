@@ -1,6 +1,7 @@
 """URL rules, and their decisions carried over to aliases by redirects and canonical links. DataFrame functions only.
 
-A page's node is its host and path, which is all that rules look at. Edges are the canonical links and refresh redirects
+A page's node is its host, path and query, as sites may part their pages by the query alone; rules look at its host and path.
+Edges are the canonical links and refresh redirects
 of the pages' html, and a table of redirects where there is one. Pages without a rule of their own take the decision of
 their component: allow if a page in it is allowed by a rule, else block if one is blocked, else allow.
 """
@@ -36,6 +37,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, without the fragment; empty where there is none."""
+    return F.coalesce(F.regexp_extract(url, r"://[^?#]*(\?[^#]+)", 1), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Column]:
     """The longest rule that fits (null if none) and its verdict."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -45,19 +51,21 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
-def _absolute(link: Column, host: Column, path: Column) -> Column:
+def _absolute(link: Column, host: Column, path: Column, query: Column) -> Column:
     """The url that a link on a page leads to."""
     link = F.regexp_replace(link, "&amp;", "&")
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("x:"), link))
         .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
+        .when(link.startswith("?"), F.concat(F.lit("x://"), host, path, link))
+        .when(link.startswith("#"), F.concat(F.lit("x://"), host, path, query))
         .otherwise(F.concat(F.lit("x://"), host, F.regexp_extract(path, r"^(.*/)", 1), link))
     )
 
 
-def _node(host: Column, path: Column) -> Column:
-    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path))
+def _node(host: Column, path: Column, query: Column) -> Column:
+    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query)
 
 
 def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -74,12 +82,12 @@ def links_of(html: Column) -> Column:
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): nodes that a link joins, for rows (host, path, links)."""
-    links = pages.filter("host <> ''").select("host", "path", F.explode("links").alias("link")).filter("link <> ''")
-    links = _fixed(links, full=_absolute(F.col("link"), F.col("host"), F.col("path")))
+    """(a, b): nodes that a link joins, for rows (host, path, query, links)."""
+    links = pages.filter("host <> ''").select("host", "path", "query", F.explode("links").alias("link")).filter("link <> ''")
+    links = _fixed(links, full=_absolute(F.col("link"), F.col("host"), F.col("path"), F.col("query")))
     to_host, to_path = split_url(F.col("full"))
-    links = _fixed(links, to_host=to_host, to_path=to_path)
-    return links.filter("to_host <> ''").select(_node(F.col("host"), F.col("path")).alias("a"), _node(F.col("to_host"), F.col("to_path")).alias("b")).filter("a <> b")
+    links = _fixed(links, to_host=to_host, to_path=to_path, to_query=query_of(F.col("full")))
+    return links.filter("to_host <> ''").select(_node(F.col("host"), F.col("path"), F.col("query")).alias("a"), _node(F.col("to_host"), F.col("to_path"), F.col("to_query")).alias("b")).filter("a <> b")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -92,25 +100,25 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     host, path = split_url(F.col(url_col).cast("string"))
     links = F.coalesce(links_of(F.col(html_col).cast("string")), F.array().cast("array<string>"))
     # one scan of the html; what follows reads hosts, paths and links
-    read = materialize(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), links.alias("links")))
+    read = materialize(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), query_of(F.col(url_col).cast("string")).alias("query"), links.alias("links")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = read.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"))
+    own = read.select("page_id", "host", "path", "query", rule.alias("rule"), verdict.alias("own"))
     edges = link_edges(read)
     if redirects is not None:
         (sh, sp), (th, tp) = split_url(F.col("source")), split_url(F.col("target"))
-        more = _fixed(redirects.select("source", "target"), sh=sh, sp=sp, th=th, tp=tp).filter("sh <> '' and th <> ''")
-        edges = edges.unionByName(more.select(_node(F.col("sh"), F.col("sp")).alias("a"), _node(F.col("th"), F.col("tp")).alias("b")).filter("a <> b"))
+        more = _fixed(redirects.select("source", "target"), sh=sh, sp=sp, sq=query_of(F.col("source")), th=th, tp=tp, tq=query_of(F.col("target"))).filter("sh <> '' and th <> ''")
+        edges = edges.unionByName(more.select(_node(F.col("sh"), F.col("sp"), F.col("sq")).alias("a"), _node(F.col("th"), F.col("tp"), F.col("tq")).alias("b")).filter("a <> b"))
     edges = materialize(edges)
     if edges.isEmpty():
         return own.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"))
     member = components(edges)
     # a node is judged by its own host and path, whether or not a page of the table has it
-    node_host, node_path = F.regexp_extract("node", r"^[^/]*", 0), F.regexp_extract("node", r"^[^/]*(.*)$", 1)
+    node_host, node_path = F.regexp_extract("node", r"^[^/]*", 0), F.regexp_extract("node", r"^[^/]*([^?]*)", 1)
     _, of_node = rule_of(node_host, node_path, rules)
     judged = member.withColumn("v", of_node)
     shared = judged.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
     by_node = materialize(member.join(shared, "component").filter("blocked and not coalesce(allowed, false)").select("node"))
-    blocked = own.withColumn("node", _node(F.col("host"), F.col("path"))).join(by_node.withColumn("alias_blocked", F.lit(True)), "node", "left")
+    blocked = own.withColumn("node", _node(F.col("host"), F.col("path"), F.col("query"))).join(by_node.withColumn("alias_blocked", F.lit(True)), "node", "left")
     return blocked.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("alias_blocked"), "block"), F.lit("allow")).alias("verdict"))
 
 

@@ -167,6 +167,16 @@ def test_urls(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
 
 
+def test_urls_by_query(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://a.org/view?id=1", link.format("http://b.net/fr/1")), (2, "http://a.org/view?id=2", ""), (3, "http://a.org/view?id=3#x", link.format("?id=1")), (4, "http://a.org/view?id=4", link.format("/view?id=5")), (5, "http://a.org/view?id=5", link.format("#top")), (6, "http://a.org/view", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+    moved = spark.createDataFrame([("http://a.org/view?id=2", "http://b.net/es/?x=1")], "source string, target string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows[1:2] + rows[5:], "page_id long, url string, html string"), redirects=moved).collect()}
+    assert got == {2: "block", 6: "allow"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.integers(-3, 3, (300, 4)) / 8
