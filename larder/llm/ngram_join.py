@@ -4,14 +4,20 @@ Shingles are ordered from rare to common, by a sketch of how many documents hold
 least o = ceil(s n) with anything of similarity s, so two similar documents share at least l of their first n - o + l
 shingles, for any l. Each document takes the l at which its estimated cost is least: a longer prefix is more to look up, but
 where its shingles are common, requiring l of them leaves fewer pairs to verify. Two documents are a candidate pair when
-they share at least min(l, l') shingles of their prefixes at that length. For a pair of known sizes the overlap that they need, and with it the
-prefix that counts, is sharper still; so shingles are kept with their places, and only those inside it are matched.
-
-Texts with equal sets are one class from the start. Groups of near copies share their prefixes, and all their pairs would grow
-with the square of the group; so in each of a few rounds every prefix shingle's classes are compared with one of them alone,
-and what is similar is joined. Which one depends on the shingle's residue too: a group whose members are not all similar to
-any single one, as copies with edits of their own, is thus compared with a few of them in a round. Then all candidate pairs between different components are verified. Two classes of one
-component need no comparing: components are the result.
+they share at least min(l, l') shingles of their prefixes at that length. For a pair of known sizes the overlap that they
+need, and with it the prefix that counts, is sharper still; so shingles are kept with their places, and only those inside it
+are matched.
+
+Texts with equal sets are one class from the start. Classes that share a prefix shingle are paired where they are few. Where
+they are many, as the near copies of one text, all pairs would grow with the square of the group; there one class p is made
+the group's pivot and each other class x is replaced by what it differs in, x - p and p - x. With r(x) such differences,
+
+    two classes are similar if and only if  |diff(x) & diff(y)| >= (r(x) + r(y) - a (n(x) + n(y))) / 2,  a = (1-s)/(1+s),
+
+and that is more than nothing unless both are similar to p, which is then known. So the prefix filter applies again, to the
+differences, which copies with edits of their own hardly share; a difference that many share is again a group with a pivot of
+its own, level by level, until the pairs left are in proportion to the prefixes. After LEVELS levels, or where a level does not
+halve the pairs, what is left is paired as it is. No pair is ever left out.
 """
 
 from __future__ import annotations
@@ -27,14 +33,16 @@ from pyspark.sql import functions as F
 from .common import Block, blocks, free_shuffles, hash_spans, materialize, mix, table, words_of
 from .components import components
 
-#: Counters of the sketch: its size is the same for any corpus.
-SKETCH_BITS, SLICE_BITS = 20, 14
+#: Shingles for each counter of the sketch, and the least and most counters as powers of two (the most take 16 MB).
+PER_COUNTER, LEAST_BITS, MOST_BITS, SLICE_BITS = 64, 16, 24, 14
 #: The longest extension of a prefix, and the cost of verifying a candidate in look-ups.
 MOST_MATCHES, VERIFY_COST = 8, 20.0
-#: Rounds of comparing with one class of each shingle before all pairs.
-ROUNDS = 2
-#: Residues of shingles that choose the one class by hashes of their own: a class has at most so many partners by a group and round.
-PIVOTS = 8
+#: Pairs for each class of a shingle up to which its classes are paired; with more of them it gets a pivot.
+FEW = 8
+#: Levels of pivots.
+LEVELS = 6
+#: Counts from which a shingle is taken as shared without being looked up.
+OFTEN = 1 << 10
 #: Longs of a class's parity bitmap.
 BITMAP = 16
 
@@ -74,71 +82,105 @@ def _least_overlap(n: int, similarity: Fraction) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    """id, text t, and k, which tells rows without an id apart by their texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return rows.withColumn("k", F.when(F.col("id").isNull(), F.xxhash64("t")).otherwise(F.lit(0)).cast("long"))
 
 
-def _survey(rows: DataFrame, width: int) -> DataFrame:
-    """A row per document: id, n, class; and rows of the sketch: slice and its counters, from each task."""
+def _sketch_bits(rows: DataFrame) -> int:
+    """Enough counters for the corpus: its shingles are about a sixth of its bytes."""
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, int(size // (6 * PER_COUNTER)).bit_length()))
+
+
+def _survey(rows: DataFrame, width: int, bits: int) -> DataFrame:
+    """A row per document: id, k, n, class; and rows of the sketch: slice, places in it (null: all) and their counters, from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             ns, classes = [], []
             for block in blocks(batch.column(1)):
                 sets = list(shingle_sets(block, width))
                 ns += [len(s) for s in sets]
                 classes += [class_of(s) if len(s) else None for s in sets]
-                places = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                counts += np.bincount(places, minlength=len(counts)).astype(np.int32)
+                places = (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64)
+                np.add.at(counts, places, 1) if len(places) * 8 < len(counts) else np.add(counts, np.bincount(places, minlength=len(counts)), out=counts, casting="unsafe")
             none = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "n", "cls", "slice", "counts"])
-        for k, part in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "cls": pa.nulls(1, pa.int64()), "slice": pa.array([k], pa.int32()), "counts": [part.tobytes()]})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], ["id", "k", "n", "cls", "slice", "places", "counts"])
+        for k, part in enumerate(np.minimum(counts, 65535).astype(np.uint16).reshape(-1, 1 << SLICE_BITS)):
+            at = np.flatnonzero(part)
+            if len(at):
+                sparse = 2 * len(at) < len(part)
+                one = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [one, one, one, one, pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes() if sparse else None], pa.binary()), pa.array([(part[at] if sparse else part).tobytes()], pa.binary())],
+                    ["id", "k", "n", "cls", "slice", "places", "counts"],
+                )
+
+    return rows.select("id", "t", "k").mapInArrow(run, "id long, k long, n long, cls long, slice int, places binary, counts binary")
 
-    return rows.mapInArrow(run, "id long, n long, cls long, slice int, counts binary")
 
+#: Counters are kept as 8 times the logarithm to base two, which is enough to order by.
+_LOG = 8
 
-def _sketch(survey: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters; each slice is added up by a task, one part after the other."""
+
+def _counts(logs: np.ndarray) -> np.ndarray:
+    return np.exp2(logs.astype(float) / _LOG).astype(np.int64)
+
+
+def _sketch(survey: DataFrame, bits: int) -> np.ndarray:
+    """The logarithms of all tasks' counters' sums, a byte each; each slice is added up by a task, one part after the other."""
 
     def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLICE_BITS, np.int64)
         for batch in parts:
-            for c in batch.column("counts"):
-                total += np.frombuffer(c.as_buffer(), np.int32)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    out = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int32)
-    for r in survey.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(run, "slice int, counts binary").collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
+            for at, c in zip(batch.column("places"), batch.column("counts"), strict=True):
+                more = np.frombuffer(c.as_buffer(), np.uint16)
+                if at.is_valid:
+                    total[np.frombuffer(at.as_buffer(), np.uint16)] += more
+                else:
+                    total += more
+        logs = np.minimum(np.log2(np.maximum(total, 1)) * _LOG, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "logs": [logs.tobytes()]})
+
+    out = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    for r in survey.filter("slice is not null").select("slice", "places", "counts").groupBy("slice").applyInArrow(run, "slice int, logs binary").toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["logs"], np.uint8)
     return out.ravel()
 
 
+def _count_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    bits = len(sketch).bit_length() - 1
+    return _counts(sketch[(tokens >> np.uint64(64 - bits)).astype(np.int64)])
+
+
 def prefix_of(s: np.ndarray, sketch: np.ndarray, usual: int, similarity: Fraction) -> tuple[np.ndarray, int]:
     """The shingles of a set's adaptive prefix in order, and the number of matches l that it requires."""
     n = len(s)
-    count = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    order = np.argsort((count << np.uint64(40)) | (s & np.uint64((1 << 40) - 1)), kind="stable")
+    count = _count_of(s, sketch)
+    order = np.argsort((count.astype(np.uint64) << np.uint64(40)) | (s & np.uint64((1 << 40) - 1)), kind="stable")
     least = _least_overlap(n, similarity)
     base = n - least + 1
     most = min(MOST_MATCHES, least)
-    others = np.maximum(count[order[: base + most - 1]].astype(np.int64) - usual, 0).astype(float)
+    others = np.maximum(count[order[: base + most - 1]] - usual, 0).astype(float)
     run = np.cumsum(others)
     costs = [base + l - 1 + run[base + l - 2] * (1 + VERIFY_COST / l) for l in range(1, most + 1)]
     best = 1 + int(np.argmin(costs))
     return s[order[: base + best - 1]], best
 
 
-def _prefixes(rows: DataFrame, width: int, sketch: np.ndarray, similarity: Fraction) -> DataFrame:
-    """(token, cls, n, l, place): each token of a class's prefix and its place there, the class's size and its l."""
-    shared = rows.sparkSession.sparkContext.broadcast((sketch, int(np.median(sketch)) if len(sketch) else 0))
+_ROW = "pivot long, token long, cls long, n int, r int, l byte, place int"
+
+
+def _prefixes(rows: DataFrame, width: int, shared, similarity: Fraction) -> DataFrame:
+    """Rows _ROW without pivot, and `often`: each token of a class's prefix and its place there, the class's size and its l."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, usual = shared.value
+        sketch, usual = shared.value
         seen: set[int] = set()  # copies in one task give their rows once
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(0)):
                 tokens, classes, ns, ls, places = [], [], [], [], []
                 for s in shingle_sets(block, width):
                     if not len(s) or (c := class_of(s)) in seen:
@@ -146,7 +188,7 @@ def _prefixes(rows: DataFrame, width: int, sketch: np.ndarray, similarity: Fract
                     if len(seen) >= 1 << 17:
                         seen.clear()
                     seen.add(c)
-                    prefix, best = prefix_of(s, counts, usual, similarity)
+                    prefix, best = prefix_of(s, sketch, usual, similarity)
                     k = len(prefix)
                     tokens.append(prefix)
                     places.append(np.arange(k, dtype=np.int32))
@@ -154,27 +196,38 @@ def _prefixes(rows: DataFrame, width: int, sketch: np.ndarray, similarity: Fract
                     ns.append(np.full(k, len(s), np.int32))
                     ls.append(np.full(k, best, np.int8))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], classes, ns, ls, places)], ["token", "cls", "n", "l", "place"])
+                    often = _count_of(np.concatenate(tokens), sketch) >= OFTEN + usual
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], classes, ns, ls, places)), pa.array(often)], ["token", "cls", "n", "l", "place", "often"])
 
-    return rows.select("id", "t").mapInArrow(run, "token long, cls long, n int, l byte, place int")
+    return rows.select("t").mapInArrow(run, "token long, cls long, n int, l byte, place int, often boolean")
 
 
 def _members(rows: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """For the representatives in chosen (id, cls): cls, n, parity bitmap and text. Repeated rows of an id give a class twice,
-    which does no harm: the pairs that are found are made distinct."""
+    """For the representatives in chosen (id, k, cls, copies): cls, n, parity bitmap and text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, maps = [], []
+            classes = batch.column(0).to_pylist()
+            ns, maps, keep, at = [], [], [], 0
             for block in blocks(batch.column(1)):
                 for s in shingle_sets(block, width):
-                    ns.append(len(s))
-                    odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
-                    maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(maps, pa.list_(pa.int64())), batch.column(1)], ["cls", "n", "bits", "t"])
-
-    held = rows.join(chosen, "id").select("cls", "t")
-    return held.mapInArrow(run, "cls long, n int, bits array<bigint>, t string")
+                    # an id may stand in rows of other texts too
+                    if len(s) and class_of(s) == classes[at]:
+                        odd = np.bincount((s & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                        ns.append(len(s))
+                        maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                        keep.append(at)
+                    at += 1
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(ns, pa.int32()), pa.array(maps, pa.list_(pa.int64())), own.column(1), own.column(2)], ["cls", "n", "bits", "t", "copies"])
+
+    same = rows["id"].eqNullSafe(chosen["id"]) & (rows["k"] == chosen["k"])
+    found = rows.join(chosen, same).select("cls", "t", "copies").mapInArrow(run, "cls long, n int, bits array<bigint>, t string, copies long")
+    once = found.filter("copies = 1").drop("copies")
+    # rows that stand several times: few tables have any
+    if chosen.filter("copies > 1").isEmpty():
+        return once
+    return once.unionByName(found.filter("copies > 1").drop("copies").dropDuplicates(["cls"]))
 
 
 def _may_be_similar(a: Column, b: Column, an: Column, bn: Column, similarity: Fraction) -> Column:
@@ -189,7 +242,7 @@ def _may_be_similar(a: Column, b: Column, an: Column, bn: Column, similarity: Fr
 
 def _links(pairs: DataFrame, members: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) of classes that are similar, from their texts."""
-    slim = members.select("cls", "n", "bits").dropDuplicates(["cls"])
+    slim = members.select("cls", "n", "bits")
     left, right = (slim.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     near = pairs.join(left, "a").join(right, "b").filter(_may_be_similar(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
     near = materialize(near)
@@ -200,7 +253,6 @@ def _links(pairs: DataFrame, members: DataFrame, width: int, similarity: Fractio
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, batch.num_rows, 256):
                 ta, tb = batch.column(2).slice(lo, 256), batch.column(3).slice(lo, 256)
                 sets_a = (s for block in blocks(ta) for s in shingle_sets(block, width))
@@ -208,9 +260,108 @@ def _links(pairs: DataFrame, members: DataFrame, width: int, similarity: Fractio
                     common = len(np.intersect1d(sa, sb, assume_unique=True))
                     if q * common >= p * (len(sa) + len(sb) - common):
                         keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a_ids[i] for i in keep], pa.int64()), pa.array([b_ids[i] for i in keep], pa.int64())], ["a", "b"])
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(run, "a long, b long")
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+
+def _differences(groups: DataFrame, members: DataFrame, width: int, shared, similarity: Fraction) -> DataFrame:
+    """Rows _ROW of the prefixes of what each class of groups (cls, pivot, size) differs in from its pivot; `near` tells
+    that it is similar to the pivot.
+
+    A difference's order follows from the group and itself alone: a shingle that the pivot lacks comes the earlier the fewer
+    documents have it, one that it has comes the earlier the more documents have it, as fewer of the group lack it.
+    """
+    text = members.select("cls", "t")
+    pivots = materialize(text.join(groups.select(F.col("pivot").alias("cls")).distinct(), "cls").select(F.col("cls").alias("pivot"), F.col("t").alias("tp")))
+    both = groups.join(text, "cls").join(pivots, "pivot").select("pivot", "cls", "size", "t", "tp")
+    p, q = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, usual = shared.value
+        last: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            heads = [batch.column(i).to_pylist() for i in range(3)]
+            at, out = 0, []
+            for block in blocks(batch.column(3)):
+                for s in shingle_sets(block, width):
+                    pivot, cls, size = (h[at] for h in heads)
+                    if last is None or last[0] != pivot:
+                        last = pivot, next(shingle_sets(next(blocks(batch.column(4).slice(at, 1))), width))
+                    at += 1
+                    own, lacks = np.setdiff1d(s, last[1], assume_unique=True), np.setdiff1d(last[1], s, assume_unique=True)
+                    n, r = len(s), len(own) + len(lacks)
+                    if not r:
+                        continue
+                    near = (p + q) * r <= (q - p) * (n + len(last[1]))
+                    diff = np.concatenate([own, lacks])
+                    rank = np.concatenate([np.minimum(_count_of(own, sketch), size), size - np.minimum(_count_of(lacks, sketch), size)])
+                    # need >= r - a (n + n'), for any n' <= n / s
+                    most = min(r, (q - p) * n // p + 1)
+                    order = np.lexsort((mix(diff), rank))[:most]
+                    out.append((pivot, diff[order], cls, n, r, near))
+            if out:
+                k = [len(o[1]) for o in out]
+                flat = lambda i, kind: np.repeat(np.array([o[i] for o in out], kind), k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (flat(0, np.int64), np.concatenate([o[1] for o in out]).view(np.int64), flat(2, np.int64), flat(3, np.int32), flat(4, np.int32), np.ones(sum(k), np.int8),
+                     np.concatenate([np.arange(x, dtype=np.int32) for x in k]), flat(5, bool))], ["pivot", "token", "cls", "n", "r", "l", "place", "near"],
+                )
+
+    return both.mapInArrow(run, f"{_ROW}, near boolean")
+
+
+def _similar_classes(found: DataFrame, members: DataFrame, width: int, shared, similarity: Fraction) -> DataFrame:
+    """(cls, component) of each class with links, from the prefix rows found (_ROW), level by level.
+
+    A token's classes are paired where at most FEW pairs for each of them lie between components, and all are, once that makes
+    at most FEW pairs for each of the first rows.
+    """
+    p, q = similarity.numerator, similarity.denominator
+
+    def inside(x: str, y: str) -> str:
+        """SQL: whether x and y can be similar by size, and this token lies in the part of both prefixes that counts for the pair."""
+        need = f"ceil(({x}.r + {y}.r - {q - p} * ({x}.n + {y}.n) / {p + q}) / 2)"
+        matches = f"least({x}.l, {y}.l)"
+        return f"{p} * greatest({x}.n, {y}.n) <= {q} * least({x}.n, {y}.n) and {x}.place + {need} < {x}.r + {matches} and {y}.place + {need} < {y}.r + {matches}"
+
+    component: DataFrame | None = None
+    rows, before = 0, float("inf")
+    for level in range(LEVELS + 1):
+        if component is None:
+            found = found.withColumn("label", F.col("cls"))
+        else:
+            found = found.join(component, "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+        first = F.min(F.struct("place", F.xxhash64("cls").alias("h"), "cls"))
+        keys = found.groupBy("pivot", "token", "label").agg(F.count("*").alias("m"), first.alias("first"))
+        keys = keys.groupBy("pivot", "token").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.min("first").getField("cls").alias("first"))
+        keys = materialize(keys.filter("labels > 1").select("pivot", "token", "first", F.expr("c * c - same").alias("apart"), "c"))
+        rows, crowded = found.count() if level == 0 else rows, F.col("apart") > 2 * FEW * F.col("c")
+        ahead = keys.filter(crowded).agg(F.sum("apart") / 2).first()[0] or 0
+        # differences of pivots help while they leave fewer pairs
+        done = ahead <= FEW * rows or level == LEVELS or 2 * ahead > before
+        few, before = F.lit(True) if done else ~crowded, ahead
+        open_ = found.join(keys.filter(few).select("pivot", "token"), ["pivot", "token"], "left_semi")
+        x, y = open_.alias("x"), open_.alias("y")
+        matched = x.join(y, F.expr(f"x.pivot = y.pivot and x.token = y.token and x.cls < y.cls and x.label <> y.label and {inside('x', 'y')}"))
+        pairs = matched.select(F.col("x.pivot").alias("pivot"), F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")).groupBy("pivot", "a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l"))
+        links = materialize(_links(pairs.filter("c >= l").select("a", "b").distinct(), members, width, similarity))
+        if not done:
+            many = keys.filter(crowded)
+            # all classes of a crowded token go to its pivot; tokens with one pivot make one group
+            groups = found.select("pivot", "token", "cls").join(many.select("pivot", "token", "first"), ["pivot", "token"]).filter("cls <> first")
+            groups = materialize(groups.select("cls", F.col("first").alias("pivot")).distinct())
+            sizes = groups.groupBy("pivot").agg(F.count("*").alias("size"))
+            found = materialize(_differences(groups.join(sizes, "pivot"), members, width, shared, similarity))
+            links = links.unionByName(found.filter("near and place = 0").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
+            found = found.drop("near")
+        if component is not None:
+            links = links.unionByName(component.select(F.col("cls").alias("a"), F.col("component").alias("b")))
+        component = materialize(components(links).select(F.col("node").alias("cls"), "component"))
+        free_shuffles(members.sparkSession)
+        if done:
+            break
+    return component
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,50 +370,36 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     Two documents are linked when the Jaccard similarity of their sets is at least `similarity`; component_id is the smallest id
     that links lead to, the document's own included. Null texts, and texts without words, have no shingles and are linked
     with nothing. Rows without an id keep their row, with the component of their links, null if that has no id. Repeated rows
-    are copies of each other. Sets and classes are told apart by 64-bit fingerprints.
+    are copies of each other; rows of one id with different texts are documents of their own. Very long texts are taken whole,
+    each by one task. An empty table gives an empty result; columns other than the two named are not read. Sets and classes are
+    told apart by 64-bit fingerprints.
     """
     spark = docs.sparkSession
     rows = _texts(docs, id_col, text_col)
-    survey = materialize(_survey(rows, width))
-    info = survey.filter("slice is null").select("id", "n", "cls")
-    reps = info.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
-    prefixes = _prefixes(rows, width, _sketch(survey), similarity)
-    # tokens of one class alone lead nowhere
+    bits = _sketch_bits(rows)
+    survey = materialize(_survey(rows, width, bits))
+    info = survey.filter("slice is null").select("id", "k", "n", "cls")
+    # a class stands for its rows by the smallest id, or by a text where none has an id
+    copies = info.filter("cls is not null").groupBy("cls", "id", "k").agg(F.count("*").alias("copies"))
+    reps = copies.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "copies")).alias("s")).select("cls", "s.id", "s.k", "s.copies")
+    reps = materialize(reps)
+    sketch = _sketch(survey, bits)
+    shared = spark.sparkContext.broadcast((sketch, int(_counts(np.median(sketch)[None])[0])))
+    prefixes = _prefixes(rows, width, shared, similarity)
+    # tokens of one class alone lead nowhere; those that very many documents hold are kept without looking
     bounds = "min(cls) over (partition by token) as lo", "max(cls) over (partition by token) as hi"
-    shared = materialize(prefixes.selectExpr("*", *bounds).filter("lo <> hi").select("token", "cls", "n", "l", "place").distinct())
+    rare = prefixes.filter("not often").selectExpr("*", *bounds).filter("lo <> hi")
+    columns = ("token", "cls", "n", "l", "place")
+    found = rare.select(*columns).unionByName(prefixes.filter("often").select(*columns)).distinct()
+    found = materialize(found.select(F.lit(0).cast("long").alias("pivot"), "token", "cls", "n", F.col("n").alias("r"), "l", "place"))
     free_shuffles(spark)
-    chosen = shared.select("cls").distinct().join(reps.filter("rep is not null"), "cls").select(F.col("rep").alias("id"), "cls")
-    members = materialize(_members(rows, chosen, width))
+    chosen = found.select("cls").distinct().join(reps, "cls").select("id", "k", "cls", "copies")
+    members = materialize(_members(rows, materialize(chosen), width))
     free_shuffles(spark)
-    p, q = similarity.numerator, similarity.denominator
-
-    def inside(x: str, y: str) -> str:
-        """SQL: whether x and y can be similar by size, and this token lies in the part of both prefixes that counts for the pair."""
-        need = f"ceil({p} * ({x}.n + {y}.n) / {p + q})"
-        matches = f"least({x}.l, {y}.l)"
-        return f"{p} * greatest({x}.n, {y}.n) <= {q} * least({x}.n, {y}.n) and {x}.place + {need} < {x}.n + {matches} and {y}.place + {need} < {y}.n + {matches}"
-
-    links, component = None, None
-    for k in range(ROUNDS + 1):
-        now = shared.withColumn("comp", F.col("cls")) if component is None else shared.join(component, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        now = now.select("token", "cls", "n", "l", "place", "comp")
-        if k < ROUNDS:
-            pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k), F.pmod("token", F.lit(PIVOTS))), "cls", "n", "l", "place", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token", "p.*")
-            star = now.alias("x").join(pivot.alias("y"), F.expr(f"x.token = y.token and x.comp <> y.comp and {inside('x', 'y')}"))
-            pairs = star.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        else:
-            mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-            open_ = materialize(now.join(mixed, "token", "left_semi"))
-            x, y = open_.alias("x"), open_.alias("y")
-            matched = x.join(y, F.expr(f"x.token = y.token and x.cls < y.cls and x.comp <> y.comp and {inside('x', 'y')}"))
-            pairs = matched.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l")).filter("c >= l").select("a", "b")
-        found = materialize(_links(pairs, members, width, similarity))
-        links = found if links is None else links.unionByName(found)
-        component = materialize(components(links).select(F.col("node").alias("cls"), "component"))
-        free_shuffles(spark)
+    component = _similar_classes(found, members, width, shared, similarity)
     # a component's id is the smallest id of all its classes
-    own = reps.join(component, "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
-    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    own = reps.join(component, "cls", "left").select("cls", "id", F.coalesce("component", "cls").alias("component"))
+    least = own.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = materialize(own.join(least, "component").select("cls", "component_id"))
     out = info.join(by_class, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
