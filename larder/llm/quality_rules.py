@@ -1,16 +1,22 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
-Each document's statistics are transformed to a vector of bounded or logarithmic values. For every language and source a
-minimum-covariance-determinant estimate is made of the vectors' centre and spread: start from medians and median
-deviations, then repeat concentration steps, each of which takes mean and covariance of the three quarters of rows that lie
-nearest by the last estimate. A step is one aggregation over all rows, summed by group and by bin of distance, so no group
-is ever gathered in one task. A document is rejected when its Mahalanobis distance to its group's estimate is beyond a
-limit. Groups of few rows use their language's estimate, and languages of few rows that of all rows.
+Each document's statistics are transformed to a vector of bounded or logarithmic values. Every language and source gets a
+minimum-covariance-determinant estimate of the vectors' centre and spread, in the manner of FAST-MCD (Rousseeuw and Van
+Driessen 1999): from many small random subsets of about SAMPLE of its rows concentration steps are taken on these rows, and
+the STARTS estimates of least determinant go on over all rows: each step takes mean and covariance of the share of rows that
+lie nearest by the last estimate, which never raises the determinant. Steps end when no determinant falls any more, and the
+estimate of the least is kept. A step is one aggregation of all rows by group and narrow bin of distance, of which the last
+counts in part, so that no group is ever gathered.
+
+The estimates of a language, and of all rows, are made alike. A group's estimate is drawn to its language's by what PRIOR_ROWS
+rows weigh, and that to the one of all rows, so that groups of few rows, or of one, are judged as well. A document is rejected
+when its squared Mahalanobis distance is beyond the chi-square quantile of 1 - TAIL.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,19 +29,26 @@ from .common import IS_WORD, Block, Words, blocks, hash_spans, map_arrow, materi
 
 SYMBOLS = b"#*$%&|<>"
 #: The vector's statistics, each with the least standard deviation that an estimate may give it: most documents have no
-#: symbols or repeated lines at all, and a spread of zero would reject any that has one.
+#: symbols or repeated lines at all, and a spread of zero would reject any that has one. At their largest values each of them
+#: alone is beyond the limit.
 VECTOR = {
     "v_symbols": 0.02,
     "v_marks": 0.03,
     "v_upper": 0.05,
     "v_word_len": 0.10,
-    "v_repeats": 0.06,
+    "v_repeats": 0.07,
     "v_dup_lines": 0.15,
 }
-#: Concentration steps, share of rows in them, least rows of an estimate, distance beyond which a document is rejected.
-STEPS, SHARE, LEAST_ROWS, LIMIT = 3, 0.75, 100, 9.0
-#: Bins of distance in a unit of its logarithm.
-BINS = 8
+#: Share of rows in an estimate; share of Gaussian rows that are rejected.
+SHARE, TAIL = 0.75, 1e-6
+#: Rows of a group on which the first steps are taken, about; random subsets of them; estimates that go on over all rows.
+SAMPLE, SUBSETS, STARTS = 500, 50, 2
+#: Steps over all rows at most, and the fall of a logarithm of a determinant that is worth another.
+MOST_STEPS, LEAST_FALL = 8, 0.01
+#: Rows that the wider group's estimate weighs in a group's.
+PRIOR_ROWS = 100.0
+#: Bins of squared distance in a unit of its logarithm.
+BINS = 32
 
 _FLAGS = np.zeros((6, 256), bool)
 _FLAGS[0] = IS_WORD
@@ -136,21 +149,6 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and statistic the median and 1.4826 times the median deviation, to a thousandth, from counts of rounded values."""
-    def middle(long: DataFrame, name: str) -> DataFrame:
-        counted = long.groupBy(*keys, "k", "x").agg(F.count("*").alias("n"))
-        by = Window.partitionBy(*keys, "k")
-        run = counted.select(*keys, "k", "x", F.sum("n").over(by.orderBy("x")).alias("c"), F.sum("n").over(by).alias("all"))
-        return run.filter("2 * c >= all").groupBy(*keys, "k").agg(F.min("x").alias(name))
-
-    long = rows.select(*keys, F.posexplode(F.array(*(F.round(v, 3) for v in VECTOR))).alias("k", "x"))
-    med = middle(long, "m")
-    dev = middle(long.join(med, [*keys, "k"]).select(*keys, "k", F.round(F.abs(F.col("x") - F.col("m")), 3).alias("x")), "d")
-    both = med.join(dev, [*keys, "k"])
-    return both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m", "d"))), lambda s: s["m"]).alias("center"), F.transform(F.array_sort(F.collect_list(F.struct("k", "m", "d"))), lambda s: s["d"] * 1.4826).alias("spread"))
-
-
 def _square(center: str = "center", inverse: str = "inverse") -> F.Column:
     """The squared Mahalanobis distance, written out so that it runs inside generated code."""
     names, p = list(VECTOR), len(VECTOR)
@@ -162,24 +160,52 @@ def _square(center: str = "center", inverse: str = "inverse") -> F.Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _inverses(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums; one row per group."""
-    p = len(VECTOR)
-    least = np.array(list(VECTOR.values())) ** 2
-    # the trimmed covariance of a Gaussian is too small by this factor (Croux and Haesbroeck)
-    q = _chi2_quantile(SHARE, p)
-    factor = SHARE / _chi2_cdf(q, p + 2)
+def _floor() -> np.ndarray:
+    return np.diag(np.array(list(VECTOR.values())) ** 2)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n, sums = f.n.to_numpy(float), np.array(f.sums.tolist()).reshape(len(f), p)
-            squares = np.array(f.squares.tolist()).reshape(len(f), p, p)
-            mean = sums / n[:, None]
-            cov = (squares / n[:, None, None] - mean[:, :, None] * mean[:, None, :]) * factor
-            cov += np.eye(p) * least
-            yield f[[*keys, "rows"]].assign(center=list(mean), inverse=list(np.linalg.inv(cov).reshape(len(f), p * p)))
 
-    return moments.mapInPandas(run, ", ".join(f"{k} string" for k in keys) + ", rows bigint, center array<double>, inverse array<double>")
+def _spread(covariance: np.ndarray) -> np.ndarray:
+    """A trimmed covariance made as large as a Gaussian's (Croux and Haesbroeck), and no spread below the least."""
+    p = len(VECTOR)
+    return covariance * (SHARE / _chi2_cdf(_chi2_quantile(SHARE, p), p + 2)) + _floor()
+
+
+def _distances(x: np.ndarray, center: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    d = x - center
+    return np.einsum("ij,ij->i", d @ np.linalg.inv(spread), d)
+
+
+def mcd(x: np.ndarray, seed: int, subsets: int = SUBSETS, starts: int = STARTS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The best `starts` estimates of the rows of x: logarithm of the determinant, centre, spread; least determinant first."""
+    n, p = x.shape
+    h = max(1, math.ceil(SHARE * n))
+    rng = np.random.default_rng(seed)
+
+    def step(center: np.ndarray, spread: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        near = x[np.argpartition(_distances(x, center, spread), h - 1)[:h]]
+        spread = _spread(np.cov(near.T, bias=True) if h > 1 else np.zeros((p, p)))
+        return float(np.linalg.slogdet(spread)[1]), near.mean(axis=0), spread
+
+    found = []
+    for _ in range(subsets):
+        some = x[rng.choice(n, min(n, p + 1), replace=False)]
+        now = step(some.mean(axis=0), _spread(np.cov(some.T, bias=True) if len(some) > 1 else np.zeros((p, p))))
+        found.append(step(*now[1:]))
+    found.sort(key=lambda e: e[0])
+    best: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for now in found[:10]:
+        for _ in range(50):
+            then = step(*now[1:])
+            if then[0] >= now[0] - 1e-9:
+                break
+            now = then
+        best.append(now)
+    best.sort(key=lambda e: e[0])
+    kept: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for now in best:
+        if all(abs(now[0] - k[0]) > 1e-6 for k in kept):
+            kept.append(now)
+    return kept[:starts]
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -195,50 +221,123 @@ def _chi2_quantile(share: float, k: int) -> float:
     return lo
 
 
-def estimates(rows: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """Per group of keys: rows, center and inverse covariance (row by row), by concentration steps from a coordinate-wise start."""
+_ESTIMATE = "a string, b string, start int, rows bigint, log_det double, center array<double>, spread array<double>, inverse array<double>"
+
+
+def _record(a: str, b: str, start: int, rows: int, estimate: tuple[float, np.ndarray, np.ndarray]) -> dict:
+    log_det, center, spread = estimate
+    return {"a": a, "b": b, "start": start, "rows": rows, "log_det": log_det, "center": center, "spread": spread.ravel(), "inverse": np.linalg.inv(spread).ravel()}
+
+
+_COLUMNS = ["a", "b", "start", "rows", "log_det", "center", "spread", "inverse"]
+
+
+def _starts(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """STARTS estimates of each group from about SAMPLE of its rows, chosen by a hash threshold from the group's size (a, b, rows)."""
+    place = F.pmod(F.xxhash64("key", *VECTOR), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(sizes, ["a", "b"]).filter(place * F.col("rows") < SAMPLE)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        # in an order of its own, so that every attempt has the same
+        x = frame[list(VECTOR)].to_numpy(float)
+        x = x[np.lexsort(x.T)]
+        found = mcd(x, zlib.crc32("\0".join(key).encode()))
+        return pd.DataFrame([_record(*key, k, int(frame.rows.iloc[0]), e) for k, e in enumerate(found)], columns=_COLUMNS)
+
+    return chosen.select("a", "b", "rows", *VECTOR).groupBy("a", "b").applyInPandas(run, _ESTIMATE)
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates now after a concentration step over all rows."""
     names, p = list(VECTOR), len(VECTOR)
-    floor = F.array(*(F.lit(x) for x in VECTOR.values()))
-    start = _medians(rows, keys).select(
-        *keys, "center", F.flatten(F.transform(F.zip_with("spread", floor, lambda a, b: 1 / (a * a + b * b)), lambda x, i: F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.when(i == j, x).otherwise(0.0)))).alias("inverse")
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    near = rows.join(now.select("a", "b", "start", "center", "inverse"), ["a", "b"]).withColumn("bin", F.floor(F.log(_square() + 1e-9) * BINS))
+    binned = near.groupBy("a", "b", "start", "bin").agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in pairs))
+    by = Window.partitionBy("a", "b", "start")
+    ranked = binned.withColumns({"below": F.sum("n").over(by.orderBy("bin")) - F.col("n"), "rows": F.sum("n").over(by)})
+    # the bin in which the share is reached counts in part
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.ceil(SHARE * F.col("rows")) - F.col("below")) / F.col("n")))
+    sums = ranked.withColumn("part", part).filter("part > 0").groupBy("a", "b", "start").agg(
+        F.max("rows").alias("rows"), F.sum(F.col("n") * F.col("part")).alias("n"),
+        F.array(*(F.sum(F.col(f"s{i}") * F.col("part")) for i in range(p))).alias("sums"), F.array(*(F.sum(F.col(f"q{i}_{j}") * F.col("part")) for i, j in pairs)).alias("squares"),
     )
-    now = materialize(start)
-    for _ in range(steps):
-        near = rows.join(now.select(*keys, "center", "inverse"), keys).withColumn("bin", F.floor(F.log(_square() + 1e-9) * BINS))
-        pairs = [(i, j) for i in range(p) for j in range(p)]
-        binned = near.groupBy(*keys, "bin").agg(
-            F.count("*").alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in pairs if i <= j)
-        )
-        by = Window.partitionBy(*keys)
-        ranked = binned.withColumns({"below": F.sum("n").over(by.orderBy("bin")) - F.col("n"), "rows": F.sum("n").over(by)})
-        inner = ranked.filter(F.col("below") < SHARE * F.col("rows"))
-        moments = inner.groupBy(*keys).agg(
-            F.max("rows").alias("rows"), F.sum("n").alias("n"),
-            F.array(*(F.sum(f"s{i}") for i in range(p))).alias("sums"), F.array(*(F.sum(f"q{min(i, j)}_{max(i, j)}") for i, j in pairs)).alias("squares"),
-        )
-        now = materialize(_inverses(moments, keys))
-    return now
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(p)
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                mean, square = np.array(r.sums) / r.n, np.zeros((p, p))
+                square[upper] = np.array(r.squares) / r.n
+                square = square + np.triu(square, 1).T
+                spread = _spread(square - np.outer(mean, mean))
+                out.append(_record(r.a, r.b, r.start, r.rows, (float(np.linalg.slogdet(spread)[1]), mean, spread)))
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return sums.mapInPandas(run, _ESTIMATE)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Per group (a, b) of rows (key, a, b and VECTOR): its rows, and centre and spread of the least determinant found."""
+    sizes = materialize(rows.groupBy("a", "b").agg(F.count("*").alias("rows")))
+    now = materialize(_starts(rows, sizes))
+    for k in range(MOST_STEPS):
+        then = materialize(_step(rows, now))
+        before = now.select("a", "b", "start", F.col("log_det").alias("before"))
+        fall = then.join(before, ["a", "b", "start"]).agg(F.max(F.col("before") - F.col("log_det"))).first()[0]
+        # the first step over all rows may raise what a sample had made too small
+        now = then
+        if fall is None or (k and fall < LEAST_FALL):
+            break
+    return now.groupBy("a", "b").agg(F.min_by(F.struct("rows", "center", "spread"), F.struct("log_det", "start")).alias("e")).select("a", "b", "e.*")
+
+
+#: Stands for any language and source: no name of one can be it, as it holds a zero character.
+_EVERY = "\0every"
+
+
+def _drawn(found: DataFrame) -> DataFrame:
+    """(a, b, center, inverse) of each group, drawn to its language's estimate and that to the one of all rows."""
+    p = len(VECTOR)
+    level = lambda df, k: df.select(*("a", "b")[: 2 - k], *(F.col(c).alias(f"{c}{k}") for c in ("rows", "center", "spread")))
+    own = level(found.filter(F.col("b") != _EVERY), 0)
+    language = level(found.filter((F.col("a") != _EVERY) & (F.col("b") == _EVERY)), 1)
+    every = level(found.filter(F.col("a") == _EVERY), 2)
+    joined = own.join(language, "a").crossJoin(F.broadcast(every))  # every is one row
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                center, spread = np.array(r["center2"]), np.array(r["spread2"]).reshape(p, p)
+                for k in (1, 0):
+                    w = r[f"rows{k}"] / (r[f"rows{k}"] + PRIOR_ROWS)
+                    apart = np.array(r[f"center{k}"]) - center
+                    spread = w * np.array(r[f"spread{k}"]).reshape(p, p) + (1 - w) * spread + w * (1 - w) * np.outer(apart, apart)
+                    center = center + w * apart
+                out.append({"a": r["a"], "b": r["b"], "center": center, "inverse": np.linalg.inv(spread).ravel()})
+            yield pd.DataFrame(out, columns=["a", "b", "center", "inverse"])
+
+    return joined.mapInPandas(run, "a string, b string, center array<double>, inverse array<double>")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", tail: float = TAIL) -> DataFrame:
     """Per row of docs: its counts, `base_failed`, `distance` (Mahalanobis, by its group's estimate) and `kept`.
 
-    Null texts count as empty and fail the base rules; null languages and sources are groups of their own; repeated rows are
-    judged each. An empty table gives an empty result. Rows that fail the base rules take no part in the estimates.
+    Null texts count as empty and fail the base rules; null languages and sources are groups of their own, the same as empty
+    names; repeated rows are judged each. Very long texts are read whole. Rows at equal distances count alike in an estimate,
+    and statistics that are the same in all rows have their least spread. An empty table gives an empty result. Rows that fail
+    the base rules take no part in the estimates; where no row passes, there is no distance. Other columns are not read.
     """
     rows = materialize(vectors(statistics(docs, id_col, text_col, (lang_col, source_col))).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    # each row counts for its group, its language and all rows; the marker can't be a language, as it holds a zero character
-    every = F.lit("\0every")
+    # each row counts for its group, its language and all rows
+    every = F.lit(_EVERY)
     sound = rows.filter("not base_failed").select(
-        F.explode(F.array(F.struct(F.col("g0").alias("a"), F.col("g1").alias("b")), F.struct(F.col("g0").alias("a"), every.alias("b")), F.struct(every.alias("a"), every.alias("b")))).alias("g"), *VECTOR
-    ).select("g.*", *VECTOR)
-    found = estimates(sound, ["a", "b"]).filter((F.col("rows") >= LEAST_ROWS) | (F.col("a") == every))
-    out = rows
-    for n, (x, y) in enumerate(((F.col("g0"), F.col("g1")), (F.col("g0"), every), (every, every))):
-        level = found.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("center").alias(f"c{n}"), F.col("inverse").alias(f"i{n}"))
-        out = out.join(level, (x == F.col("a0")) & (y == F.col("b0")), "left").drop("a0", "b0")
-    out = out.withColumns({"center": F.coalesce("c0", "c1", "c2"), "inverse": F.coalesce("i0", "i1", "i2")})
-    out = out.withColumn("distance", F.sqrt(_square()))
+        F.explode(F.array(F.struct(F.col("g0").alias("a"), F.col("g1").alias("b")), F.struct(F.col("g0").alias("a"), every.alias("b")), F.struct(every.alias("a"), every.alias("b")))).alias("g"), F.col("id").alias("key"), *VECTOR
+    ).select("g.*", "key", *VECTOR)
+    level = materialize(_drawn(estimates(sound)))
+    out = rows.join(level, (F.col("g0") == F.col("a")) & (F.col("g1") == F.col("b")), "left").withColumn("distance", F.sqrt(_square()))
+    limit = math.sqrt(_chi2_quantile(1 - tail, len(VECTOR)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
