@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is handled in blocks of about so many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -19,9 +20,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new one that this session then uses."""
+    """The folder in spark.checkpoint.dir; where it is unset, in a local session (as in tests) alone, a new one that this session then uses."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("larder.checkpoint.dir", None)
     if conf is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="spark-larder-")
         spark.conf.set("larder.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)
@@ -38,12 +41,26 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote in this process; results that read them are void afterwards."""
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a number of its own for each row, and that column's name. It is written, so every reader and every attempt has the same."""
+    name = "row"
+    while name in df.columns:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def written() -> int:
+    """How many tables materialize() has written and cleanup() has not deleted."""
+    return len(_written)
+
+
+def cleanup(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Delete the tables that materialize() wrote in this process, but for the `first` oldest and the `keep` newest; results that read them are void afterwards."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in _written[first : len(_written) - keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[first : len(_written) - keep]
 
 
 def free_shuffles(spark: SparkSession) -> None:

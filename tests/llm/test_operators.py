@@ -152,12 +152,55 @@ def test_bpe_equals_the_library(docs):
     t = Tokenizer.from_file(path)
     for r in bpe.encode_texts(docs.dropDuplicates(["doc_id"]), path).join(docs.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("d"), "text"), F.col("doc_id").eqNullSafe(F.col("d"))).collect():
         assert r.ids == t.encode(r.text or "", add_special_tokens=False).ids
-    auto = bpe.Automaton(bpe.load_tables(path))
+    auto = bpe.Encoder(bpe.load_automaton(path))
     rng = np.random.default_rng(5)
-    for _ in range(2000):
-        text = "".join(rng.choice(list("aab s'tel\n0é日=-") + ["ing", " the", "\x85"], rng.integers(0, 20)))
+    for _ in range(3000):
+        text = "".join(rng.choice(list("aab s'tel\n0é日=-") + ["ing", " the", "\x85", "<|endoftext|>"], rng.integers(0, 20)))
         ids = t.encode(text, add_special_tokens=False).ids
-        assert auto.encode(text) == ids and auto.decode(ids).decode() == t.decode(ids, skip_special_tokens=False)
+        assert auto.encode([text]) == [ids] and auto.automaton.decode(ids).decode() == t.decode(ids, skip_special_tokens=False)
+
+
+def _by_rank(word, ranks):
+    """The tokens of a word (a list of bytes), merging the leftmost pair of the least rank until there is none."""
+    while len(word) > 1:
+        k = min(range(len(word) - 1), key=lambda i: ranks.get((word[i], word[i + 1]), 1e9))
+        if (word[k], word[k + 1]) not in ranks:
+            break
+        word = [*word[:k], word[k] + word[k + 1], *word[k + 2 :]]
+    return word
+
+
+def test_bpe_automaton_by_brute_force():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        labels, merges, ranks = [bytes([b]) for b in b"abc"], [], {}
+        for _ in range(rng.integers(0, 25)):
+            u, v = rng.integers(0, len(labels), 2).tolist()
+            if labels[u] + labels[v] not in labels:
+                ranks[labels[u], labels[v]] = len(merges)
+                merges.append((u, v, len(labels)))
+                labels.append(labels[u] + labels[v])
+        auto = bpe.Automaton(labels, merges, {})
+        words = [bytes(rng.choice(list(b"abc"), rng.integers(1, 14)).tolist()) for _ in range(60)]
+        for word, ids in zip(words, auto.encode_words(words), strict=True):
+            assert [labels[i] for i in ids] == _by_rank([word[i : i + 1] for i in range(len(word))], ranks)
+
+
+def test_bpe_digest_and_decode(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for r in ROWS:
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids
+        want.append((str(r[0]), len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+    assert sorted(want) == sorted((str(r[0]), *r[1:]) for r in bpe.round_trip_digest(docs, path).collect())
+    assert bpe.round_trip_digest(empty, path).count() == 0
+    back = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r[0]), r[1] or "") for r in ROWS)
 
 
 def test_urls(spark):
