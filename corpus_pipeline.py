@@ -1,6 +1,9 @@
 """A training corpus from raw documents: toxicity, quality, near copies, secrets, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, whatever they are
+called. Decisions are made and carried out row by row: a row never falls because another row has its doc_id. Rows without a
+doc_id are judged like others. Null and empty texts are not toxic and hold no secrets, fail the quality rules, are copies of
+nothing, and are packed as an end mark alone. Very long texts are read whole. An empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
@@ -11,39 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import ngram_join, packing, quality_rules, secret_scan, toxicity
-from larder.llm.common import materialize, table
+from larder.llm.common import cleanup, materialize, numbered, table, written
 
 #: Near copies, unless told otherwise: shingles of five words, a similarity of four fifths.
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in rejected (one column, `id`). Only ids that are rejected are dealt out or broadcast with docs."""
-    return docs.join(materialize(rejected.filter("id is not null").distinct()), F.col("doc_id") == F.col("id"), "left_anti").select(*docs.columns)
+def _without(rows: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """rows less those whose number is in the one column of rejected, and without their numbers. The numbers are written first:
+    few, they are broadcast with a known size; else both sides are dealt out."""
+    return rows.join(materialize(rejected.toDF(row)), row, "left_anti").drop(row)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go. Rows without a doc_id stay."""
-    judged = toxicity.judge(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter("predicted = 1").select(F.col("doc_id").alias("id")))
+    """Documents that the toxicity models reject go."""
+    rows, row = numbered(docs)
+    judged = toxicity.judge(rows, table(spark, sf_dir, "labels"), key_col=row)
+    return _without(rows, row, judged.filter("predicted = 1").select(row))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows without a doc_id stay."""
-    return _without(docs, quality_rules.judge(docs).filter("not kept").select(F.col("doc_id").alias("id")))
+    """Documents that the quality rules reject go."""
+    rows, row = numbered(docs)
+    return _without(rows, row, quality_rules.judge(rows, id_col=row).filter("not kept").select(row))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest doc_id stays, once. Rows without a doc_id stay."""
-    found = materialize(ngram_join.near_duplicates(docs, SIMILARITY, WIDTH).select("doc_id", "component_id"))
-    rest = _without(docs, found.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")))
-    # ids that stand in several rows: one of them stays
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id"))
-    twice = materialize(twice)
-    if twice.isEmpty():
-        return rest
-    once = rest.join(twice, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(twice, F.col("doc_id") == F.col("id"), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """Of each group of near copies one row stays: that of the smallest doc_id, the first of equal ones; one without a doc_id only where no other is there."""
+    rows, row = numbered(docs)
+    found = materialize(ngram_join.near_duplicates(rows, SIMILARITY, WIDTH, id_col=row).select(F.col(row).alias("r"), F.col("component_id").alias("c")))
+    several = materialize(found.filter("r <> c").select("c").distinct())
+    grouped = found.join(several, "c", "left_semi").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("d")), "r")
+    grouped = materialize(grouped.select("r", "c", "d"))
+    stays = grouped.groupBy("c").agg(F.min(F.struct(F.col("d").isNull(), "d", "r")).getField("r").alias("r")).select("r")
+    return _without(rows, row, grouped.select("r").join(stays, "r", "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,15 +69,17 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Models and robust estimates are beyond SQL; the stages are tested against brute force instead.
+#: Models and robust estimates are beyond SQL; tests/llm/test_pipeline.py tests each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again by the next."""
+    """All stages over documents, each written and read again by the next; what a stage wrote on its way goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
+            cleanup(spark, before, 1)
     return docs
