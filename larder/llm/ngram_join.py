@@ -386,11 +386,10 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     sketch = _sketch(survey, bits)
     shared = spark.sparkContext.broadcast((sketch, int(_counts(np.median(sketch)[None])[0])))
     prefixes = _prefixes(rows, width, shared, similarity)
-    # tokens of one class alone lead nowhere; those that very many documents hold are kept without looking
-    bounds = "min(cls) over (partition by token) as lo", "max(cls) over (partition by token) as hi"
-    rare = prefixes.filter("not often").selectExpr("*", *bounds).filter("lo <> hi")
-    columns = ("token", "cls", "n", "l", "place")
-    found = rare.select(*columns).unionByName(prefixes.filter("often").select(*columns)).distinct()
+    # tokens of one class alone lead nowhere; those that very many documents hold are kept without looking, and dealt out
+    dealt = prefixes.selectExpr("*", "if(often, pmod(cls, 4096), 0) as part")
+    bounds = (f"{f}(cls) over (partition by token, part) as {x}" for f, x in (("min", "lo"), ("max", "hi")))
+    found = dealt.selectExpr("*", *bounds).filter("often or lo <> hi").select("token", "cls", "n", "l", "place").distinct()
     found = materialize(found.select(F.lit(0).cast("long").alias("pivot"), "token", "cls", "n", F.col("n").alias("r"), "l", "place"))
     free_shuffles(spark)
     chosen = found.select("cls").distinct().join(reps, "cls").select("id", "k", "cls", "copies")
