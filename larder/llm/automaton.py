@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 from re import _constants as C
 from re import _parser as P
 
@@ -102,6 +103,35 @@ class Automaton:
     accepts: np.ndarray
     #: after these two classes of bytes, one after the other, the state is known from any state before (-1: it isn't)
     known_after: np.ndarray
+    #: the state from which nothing is accepted any more (-1: there is none)
+    dead: int = -1
+
+    @cached_property
+    def walk(self) -> tuple[list[int], list[int], list[bool]]:
+        """The arrays as lists, to go through them byte by byte."""
+        return self.class_of.tolist(), self.next_state.tolist(), (self.accepts != 0).tolist()
+
+    def longest(self, data: bytes, at: int, stop: int) -> int:
+        """Where the longest match from `at` on ends, -1 if there is none."""
+        class_of, step, accepting = self.walk
+        state, width, found = 0, self.n_classes, -1
+        for i in range(at, stop):
+            state = step[state * width + class_of[data[i]]]
+            if state == self.dead:
+                break
+            if accepting[state]:
+                found = i + 1
+        return found
+
+    def starts(self, data: bytes, lo: int, hi: int) -> list[int]:
+        """Of an automaton that reads backwards: the places from which a match starts, the last first."""
+        class_of, step, accepting = self.walk
+        state, width, found = 0, self.n_classes, []
+        for i in range(hi - 1, lo - 1, -1):
+            state = step[state * width + class_of[data[i]]]
+            if accepting[state]:
+                found.append(i)
+        return found
 
     @property
     def n_states(self) -> int:
@@ -118,16 +148,36 @@ def alphabet(pattern: bytes) -> np.ndarray:
     return used
 
 
-def compile_rules(patterns: list[bytes]) -> Automaton:
-    """One automaton that finds, anywhere in a text, where matches of each pattern end."""
+def compile_rules(patterns: list[bytes], anywhere: bool = True, backwards: bool = False) -> Automaton:
+    """One automaton for all patterns.
+
+    anywhere: it finds where matches of each pattern end in a text; else what it has read from its start must be a match.
+    backwards: it reads from right to left, so that it finds where matches start.
+    """
     nfa = _Nfa()
     start = nfa.state()
     final: dict[int, int] = {}
     for k, pattern in enumerate(patterns):
         tree = P.parse(pattern)
         first = nfa.state()
-        nfa.empty[start].append(first)
-        final[nfa.add(tree, first, bool(tree.state.flags & re.IGNORECASE))] = k
+        if not backwards:
+            nfa.empty[start].append(first)
+            final[nfa.add(tree, first, bool(tree.state.flags & re.IGNORECASE))] = k
+            continue
+        known = len(nfa.empty)
+        last = nfa.add(tree, first, bool(tree.state.flags & re.IGNORECASE))
+        # turn all moves of this pattern around
+        own = [first, *range(known, len(nfa.empty))]
+        empty, moves = {i: nfa.empty[i] for i in own}, {i: nfa.moves[i] for i in own}
+        for i in own:
+            nfa.empty[i], nfa.moves[i] = [], []
+        for i in own:
+            for t in empty[i]:
+                nfa.empty[t].append(i)
+            for chars, t in moves[i]:
+                nfa.moves[t].append((chars, i))
+        nfa.empty[start].append(last)
+        final[first] = k
     signatures: dict[tuple, int] = {}
     sets = [chars for moves in nfa.moves for chars, _ in moves]
     class_of = np.array([signatures.setdefault((b == PART, *(b in s for s in sets)), len(signatures)) for b in range(256)], np.uint8)
@@ -153,11 +203,12 @@ def compile_rules(patterns: list[bytes]) -> Automaton:
         step.append(list(to.items()))
     moving = sum(1 << s for s, x in enumerate(step) if x)
 
-    # subset construction; the start is in every set, so a match may begin anywhere
+    # subset construction; where a match may begin anywhere the start is in every set
     begin = reach[start]
+    always = begin if anywhere else 0
     number, rows, todo = {begin: 0}, [], [begin]
     for subset in todo:
-        row, left = [begin] * n_classes, subset & moving
+        row, left = [always] * n_classes, subset & moving
         while left:
             low = left & -left
             for c, mask in step[low.bit_length() - 1]:
@@ -192,29 +243,59 @@ def compile_rules(patterns: list[bytes]) -> Automaton:
         after = table[np.unique(table[:, a])]
         same = (after == after[0]).all(axis=0)
         known[a, same] = after[0, same]
-    return Automaton(class_of, table.astype(np.int32).ravel(), n_classes, accepts, known.ravel())
+    # a state from which nothing can be accepted
+    dead = [s for s in range(len(table)) if not accepts[s] and (table[s] == s).all()]
+    return Automaton(class_of, table.astype(np.int32).ravel(), n_classes, accepts, known.ravel(), dead[0] if dead else -1)
+
+
+#: Bytes of a lane.
+LANE = 1024
+
+
+def _lanes(auto: Automaton, classes: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where lanes begin, and the state before each.
+
+    A lane begins where two bytes have fixed the state whatever came before. In a long stretch without such a place, as of
+    hexadecimal digits, the states are found by going through it byte by byte, which for one lane is faster than array steps.
+    """
+    n, width = len(classes), auto.n_classes
+    if n <= lane:
+        return np.zeros(1, np.int64), np.zeros(1, np.int32)
+    known = auto.known_after[classes[:-1] * width + classes[1:]]
+    places = np.flatnonzero(known >= 0)
+    targets = np.arange(lane, n - 2, lane)
+    at = np.searchsorted(places, targets)
+    sure = np.append(places, n)[at] - targets < 4 * lane
+    sure &= at < len(places)
+    begins = {0: 0}
+    for p in np.unique(places[at[sure]]).tolist():
+        begins[p + 2] = int(known[p])
+    for p in targets[~sure].tolist():
+        begins.setdefault(p, -1)
+    at = np.array(sorted(p for p in begins if p < n), np.int64)
+    state = np.array([begins[p] for p in at.tolist()], np.int32)
+    open_ = np.flatnonzero(state < 0)
+    if len(open_):
+        step = auto.walk[1]
+        for j in open_.tolist():
+            now = int(state[j - 1])
+            for c in classes[at[j - 1] : at[j]].tolist():
+                now = step[now * width + c]
+            state[j] = now
+    return at, state
 
 
-def scan(auto: Automaton, data: np.ndarray, lane: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def scan(auto: Automaton, data: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
     """One pass over data from the start state: the places (after a byte) where rules accept, and the masks of these rules.
 
-    The bytes are cut into lanes, each beginning where two bytes have fixed the state whatever came before, and all lanes
-    step through the transition array together.
+    The bytes are cut into lanes, and all lanes step through the transition array together.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     classes = auto.class_of[data].astype(np.int32)
     width = auto.n_classes
-    at, state = np.zeros(1, np.int64), np.zeros(1, np.int32)
-    if n > lane:
-        known = auto.known_after[classes[:-1] * width + classes[1:]]
-        places = np.flatnonzero(known >= 0)
-        cut = np.searchsorted(places, np.arange(lane, n, lane))
-        cut = np.unique(places[cut[cut < len(places)]])
-        cut = cut[cut + 2 < n]
-        at = np.concatenate([at, cut + 2])
-        state = np.concatenate([state, known[cut].astype(np.int32)])
+    at, state = _lanes(auto, classes, lane)
     length = np.diff(np.append(at, n))
     order = np.argsort(-length, kind="stable")
     at, state, length = at[order], state[order], length[order]

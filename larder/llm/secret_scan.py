@@ -1,15 +1,17 @@
 """Secrets in texts, found by one automaton for all rules.
 
 The rules' expressions are compiled together (automaton.py) and every text is read once, byte by byte, whatever the number
-of rules. Where the automaton accepts for a rule, the rule's expression is matched exactly inside the surrounding stretch of
-bytes that the rule can use at all: leftmost, non-overlapping, then the rule's least length. Stretches without an accepting
+of rules. Least lengths are no part of the expressions, as in the contract: leftmost, non-overlapping matches that are too
+short are dropped after they have taken their bytes; so no counters run side by side in the automaton. Only where a match is a
+plain run of bytes is its least length compiled in. Where the automaton accepts for a rule, the spans in the stretch of bytes
+around that the rule can use at all come from two small automata of the rule: one that reads the stretch backwards marks where
+matches start, the other goes from the first of these to the longest end, and on behind it. Stretches without an accepting
 state hold no secret and are not looked at again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,38 +27,39 @@ from .common import Block, blocks, map_arrow, table
 
 @dataclass(frozen=True)
 class Rule:
-    """exact: the expression whose matches are found; least: characters that `group` must have; coarse: what the automaton
-    looks for, an expression that matches inside every long enough match of exact. It leaves out long counts: counters of
-    several rules that run side by side would multiply the automaton's states."""
+    """exact: the expression whose matches are found, leftmost, longest, one after the other; least: characters that a match must
+    have behind what `head` matches of it; coarse: what the automaton of all rules looks for, where that is not exact: an
+    expression that matches inside every long enough match of exact."""
 
     kind: str
     exact: bytes
-    coarse: bytes
-    group: int = 0
+    head: bytes = b""
     least: int = 0
+    coarse: bytes = b""
 
 
-_ASSIGN = rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]%s)"""
+_ASSIGN = rb"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
 
 # The rules of the contract, then the further kinds that this method adds.
 BASE_RULES = (
-    Rule("assign", _ASSIGN % b"+", _ASSIGN % b"{8,}", group=2, least=8),
-    Rule("access", rb"AKIA[A-Z0-9]+", rb"AKIA[A-Z0-9]{12,}", least=16),
-    Rule("hex", rb"[0-9a-f]+", rb"[0-9a-f]{32,}", least=32),
+    Rule("assign", _ASSIGN + rb"[A-Za-z0-9+/_.=-]+", head=_ASSIGN, least=8),
+    Rule("access", rb"AKIA[A-Z0-9]+", least=16),
+    Rule("hex", rb"[0-9a-f]+", least=32, coarse=rb"[0-9a-f]{32,}"),
 )
 # A key runs to its END line; where that is missing, over its head lines and base64 lines, of which the last may be short.
 # Line feeds may be written as backslash n.
+_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 _FEED = rb"""(?:[\s"'>|#*]|\\[nr])+"""
-_TO_END = rb"""(?:-?[A-Za-z0-9+/=\s\\:,."'>|#*;()_])*-----END [A-Z ]{0,24}PRIVATE KEY-----"""
-_LINES = rb"(?:%s(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+)*(?:%s[A-Za-z0-9+/]{40,}={0,2})*(?:%s[A-Za-z0-9+/]{2,}={1,2}|(?:\r?\n|\\n)[A-Za-z0-9+/]+(?=\s*[\r\n]|\s*\Z))?" % (_FEED, _FEED, _FEED)
+_TO_END = rb"""(?:-?[A-Za-z0-9+/=\s\\:,."'>|#*;()_])*-----END [A-Z ]*PRIVATE KEY-----"""
+_LINES = rb"(?:%s(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+)*(?:%s[A-Za-z0-9+/]{40,}={0,2})*(?:%s[A-Za-z0-9+/]{2,}={1,2}|(?:\r?\n|\\n)[A-Za-z0-9+/]{20,})?" % (_FEED, _FEED, _FEED)
 MORE_RULES = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:%s|%s)" % (_TO_END, _LINES), rb"PRIVATE KEY-----"),
-    Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", rb"eyJ"),
-    Rule("forge_token", rb"gh[pousr]_[A-Za-z0-9]{20,}", rb"gh[pousr]_"),
-    Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}", rb"xox[abprs]-"),
-    Rule("cloud_key", rb"AIza[A-Za-z0-9_-]{20,}", rb"AIza"),
-    Rule("pay_key", rb"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", rb"[rs]k_(?:live|test)_"),
-    Rule("url_login", rb"[a-z]{2,8}://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@", rb"://"),
+    Rule("private_key", rb"%s(?:%s|%s)" % (_BEGIN, _TO_END, _LINES), coarse=_BEGIN),
+    Rule("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=36),
+    Rule("forge_token", rb"gh[pousr]_[A-Za-z0-9]+", least=24),
+    Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]+", least=15),
+    Rule("cloud_key", rb"AIza[A-Za-z0-9_-]+", least=24),
+    Rule("pay_key", rb"[rs]k_(?:live|test)_[A-Za-z0-9]+", least=24),
+    Rule("url_login", rb"[a-z]+://[A-Za-z0-9._~%+-]+:[A-Za-z0-9._~%+-]+@"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -68,10 +71,17 @@ def usable(rule: Rule) -> np.ndarray:
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    return compile_rules([r.coarse for r in rules])
+    # a run at an expression's end is known by its first byte
+    return compile_rules([r.coarse or (r.exact[:-1] if r.exact.endswith(b"]+") else r.exact) for r in rules])
 
 
-def _block_spans(block: Block, rules: tuple[Rule, ...], auto: Automaton, patterns: list[re.Pattern]) -> dict[int, list[tuple[int, int, int]]]:
+@lru_cache
+def spans_of(rule: Rule) -> tuple[Automaton, Automaton, Automaton | None]:
+    """The rule's own automata: backwards for starts, forwards for ends, and for the end of its head."""
+    return compile_rules([rule.exact], backwards=True), compile_rules([rule.exact], anywhere=False), compile_rules([rule.head], anywhere=False) if rule.head else None
+
+
+def _block_spans(block: Block, rules: tuple[Rule, ...], auto: Automaton) -> dict[int, list[tuple[int, int, int]]]:
     """For each row with a secret: (start, end, rule) in bytes of its text."""
     n = len(block.offsets) - 1
     data = np.full(len(block.data) + n, PART, np.uint8)  # a parting byte after each text
@@ -79,21 +89,27 @@ def _block_spans(block: Block, rules: tuple[Rule, ...], auto: Automaton, pattern
     data[np.arange(len(block.data)) + np.repeat(np.arange(n), np.diff(block.offsets))] = block.data
     places, masks = scan(auto, data)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    for k, (rule, pattern) in enumerate(zip(rules, patterns, strict=True)):
-        done = 0  # all before has been matched exactly
-        foreign = None
-        for end in places[(masks >> k) & 1 == 1].tolist():
-            if end <= done:
-                continue
-            if foreign is None:
-                foreign = np.flatnonzero(~usable(rule)[data])
-            right = int(np.searchsorted(foreign, end))
+    content = data.tobytes() if len(places) else b""
+    for k, rule in enumerate(rules):
+        ends = places[(masks >> k) & 1 == 1]
+        if not len(ends):
+            continue
+        backwards, forwards, head = spans_of(rule)
+        foreign = np.flatnonzero(~usable(rule)[data])
+        at = 0
+        while at < len(ends):
+            right = int(np.searchsorted(foreign, ends[at]))
             lo = int(foreign[right - 1]) + 1 if right else 0
-            done = int(foreign[right]) if right < len(foreign) else len(data)
+            hi = int(foreign[right]) if right < len(foreign) else len(data)
             row = int(np.searchsorted(begins, lo, "right")) - 1
-            for m in pattern.finditer(data[lo:done].tobytes()):
-                if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    found.setdefault(row, []).append((lo + m.start() - int(begins[row]), lo + m.end() - int(begins[row]), k))
+            done = lo
+            for start in reversed(backwards.starts(content, lo, hi)):
+                if start < done:
+                    continue
+                done = forwards.longest(content, start, hi)
+                if done - (head.longest(content, start, done) if head else start) >= rule.least:
+                    found.setdefault(row, []).append((start - int(begins[row]), done - int(begins[row]), k))
+            at = int(np.searchsorted(ends, hi, "right"))
     return found
 
 
@@ -104,16 +120,16 @@ def _text_spans(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[in
 
 
 def _each_block(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -> Iterator[tuple[Block, dict[int, list[tuple[int, int, int]]]]]:
-    patterns = [re.compile(r.exact) for r in rules]
     for block in blocks(column):
-        yield block, _block_spans(block, rules, auto, patterns)
+        yield block, _block_spans(block, rules, auto)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of docs its id and `spans`, an array of (kind, start, stop) in code points, by start, then rule order.
 
-    Null and empty texts have no spans. Repeated rows and ids are kept as they are; columns other than the two named are not
-    read. An empty table gives an empty result.
+    Null and empty texts have no spans. Very long texts are read whole, however long the runs in them. Repeated rows and ids are
+    kept as they are; columns other than the two named are not read. Spans of several kinds that start alike stand in the order
+    of the rules. An empty table gives an empty result.
     """
     auto = compiled(rules)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -111,6 +111,41 @@ def test_private_keys(spark):
         assert got[k] == ("see é [SECRET]\nand é [SECRET]\nHere it goes on." if k == 6 else "see é [SECRET]\nHere it goes on.")
 
 
+BASE = {
+    "assign": (re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), 1, 8),
+    "access": (re.compile("AKIA[A-Z0-9]+"), 0, 16),
+    "hex": (re.compile("[0-9a-f]+"), 0, 32),
+}
+
+
+def _plain_spans(text, kinds):
+    return [(m.start(), n, kind, m.end()) for n, (kind, (pattern, group, least)) in enumerate(kinds.items()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+
+
+def test_secrets_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    kinds = dict(BASE)
+    for rule in secret_scan.MORE_RULES[1:]:
+        kinds[rule.kind] = re.compile(rule.exact.decode()), 0, rule.least
+    parts = ["token", "Secret", "api_key", "apikey", "PASSWORD", ": ", "=", " = ", '"', "'", "==", "AKIA", "A1B2C3D4E5F6", "0123456789abcdef", "deadbeef" * 3, "abc", "é", "\n", " ", ".", "ghp_", "Ab1" * 9, "eyJ", "hunter2hunter2", "http://", "u:p@", "xoxb-", "sk_live_", "AIza", ",", "ſecret"]
+    rows = [(k, "".join(rng.choice(parts, rng.integers(0, 40)))) for k in range(400)] + [(1000, "a" * 5000 + "token=" + "f0" * 3000), (1001, "Zm9v" * 4000 + " secret: " + "x" * 9)]
+    got = {r.doc_id: r for r in secret_scan.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = sorted(_plain_spans(text, BASE))
+        assert [getattr(got[i], f"n_{k}") for k in BASE] == [sum(s[2] == k for s in want) for k in BASE]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, _, k, z in want).encode()).hexdigest()
+        assert got[i].spans == ",".join(f"{k}:{a}:{z}" for a, _, k, z in sorted(_plain_spans(text, kinds)))
+
+
+def test_scan_lanes():
+    auto = secret_scan.compiled()
+    rng = np.random.default_rng(2)
+    for data in (b"a" * 9000, b"token=" + b"ab" * 5000, bytes(rng.choice(list(b"abcdef0123"), 20_000).tolist()), b"x y" * 3000 + b"0" * 9000 + b" token: " + b"k" * 9000):
+        data = np.frombuffer(data, np.uint8)
+        for x, y in zip(secret_scan.scan(auto, data), secret_scan.scan(auto, data, lane=1 << 30), strict=True):
+            assert (x == y).all()
+
+
 def test_html_wrappers():
     text = "<h1>A b</h1><p>One two, three four.<p>Five six, seven."
     want = "A b\n\nOne two, three four.\n\nFive six, seven."
