@@ -38,7 +38,9 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
@@ -54,13 +56,13 @@ def written() -> int:
     return len(_written)
 
 
-def cleanup(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
-    """Delete the tables that materialize() wrote in this process, but for the `first` oldest and the `keep` newest; results that read them are void afterwards."""
-    jvm = spark.sparkContext._jvm
-    for name in _written[first : len(_written) - keep]:
+def cleanup(spark: SparkSession, first: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that materialize() wrote in this process, but for the `first` oldest and those of `keep`; results that read them are void afterwards."""
+    jvm, stay = spark.sparkContext._jvm, {df.written_to for df in keep}
+    for name in [x for x in _written[first:] if x not in stay]:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _written[first : len(_written) - keep]
+        _written.remove(name)
 
 
 def free_shuffles(spark: SparkSession) -> None:

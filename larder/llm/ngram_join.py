@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, free_shuffles, hash_spans, materialize, mix, table, words_of
+from .common import Block, blocks, cleanup, free_shuffles, hash_spans, materialize, mix, table, words_of, written
 from .components import components
 
 #: Shingles for each counter of the sketch, and the least and most counters as powers of two (the most take 16 MB).
@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     each by one task. An empty table gives an empty result; columns other than the two named are not read. Sets and classes are
     told apart by 64-bit fingerprints.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, written()
     rows = _texts(docs, id_col, text_col)
     bits = _sketch_bits(rows)
     survey = materialize(_survey(rows, width, bits))
@@ -400,6 +400,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     own = reps.join(component, "cls", "left").select("cls", "id", F.coalesce("component", "cls").alias("component"))
     least = own.groupBy("component").agg(F.min("id").alias("component_id"))
     by_class = materialize(own.join(least, "component").select("cls", "component_id"))
+    cleanup(spark, before, (survey, by_class))
     out = info.join(by_class, "cls", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_WORD, Block, Words, blocks, hash_spans, map_arrow, materialize, mix, table, words_of
+from .common import IS_WORD, Block, Words, blocks, cleanup, hash_spans, map_arrow, materialize, mix, table, words_of, written
 
 SYMBOLS = b"#*$%&|<>"
 #: The vector's statistics, each with the least standard deviation that an estimate may give it: most documents have no
@@ -329,6 +329,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     and statistics that are the same in all rows have their least spread. An empty table gives an empty result. Rows that fail
     the base rules take no part in the estimates; where no row passes, there is no distance. Other columns are not read.
     """
+    before = written()
     rows = materialize(vectors(statistics(docs, id_col, text_col, (lang_col, source_col))).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
     # each row counts for its group, its language and all rows
     every = F.lit(_EVERY)
@@ -336,6 +337,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.explode(F.array(F.struct(F.col("g0").alias("a"), F.col("g1").alias("b")), F.struct(F.col("g0").alias("a"), every.alias("b")), F.struct(every.alias("a"), every.alias("b")))).alias("g"), F.col("id").alias("key"), *VECTOR
     ).select("g.*", "key", *VECTOR)
     level = materialize(_drawn(estimates(sound)))
+    cleanup(docs.sparkSession, before, (rows, level))
     out = rows.join(level, (F.col("g0") == F.col("a")) & (F.col("g1") == F.col("b")), "left").withColumn("distance", F.sqrt(_square()))
     limit = math.sqrt(_chi2_quantile(1 - tail, len(VECTOR)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))

@@ -80,8 +80,9 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == len(ROWS) and all(0 <= r.score <= 1 for r in none)
 
 
-def test_toxicity_learns_from_all_labels(spark, monkeypatch):
-    for name, most in (("MOST_TOXIC", 40), ("MOST_ORDINARY", 80), ("COMMON", 50)):
+@pytest.mark.parametrize("passed", [1 << 22, 10])
+def test_toxicity_learns_from_all_labels(spark, monkeypatch, passed):
+    for name, most in (("MOST_TOXIC", 40), ("MOST_ORDINARY", 80), ("COMMON", 50), ("PASSED", passed)):
         monkeypatch.setattr(toxicity, name, most, raising=False)
     bad = ["".join(chr(97 + (7 * j + 3 * i * i + i * j) % 26) for i in range(8)) for j in range(150)]
     rows = [(k, f"plain words w{k % 7} {bad[k // 3 % 150] + ' ' if k % 3 == 0 else ''}here and there", int(k % 3 == 0)) for k in range(2700)]
