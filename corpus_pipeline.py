@@ -20,34 +20,45 @@ from larder.llm.common import cleanup, materialize, numbered, table, written
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 
 
-def _without(rows: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
-    """rows less those whose number is in the one column of rejected, and without their numbers. The numbers are written first:
-    few, they are broadcast with a known size; else both sides are dealt out."""
-    return rows.join(materialize(rejected.toDF(row)), row, "left_anti").drop(row)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of a column of whole numbers that no two rows share: doc_id where it is one, else a number that is written beside each row."""
+    if docs.schema["doc_id"].dataType.simpleString() == "bigint":
+        clash = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+        if clash.isEmpty():
+            return docs, "doc_id"
+    return numbered(docs)
+
+
+def _without(docs: DataFrame, rows: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """rows less those whose key is in the one column of rejected, with the columns of docs. The keys are written first: few,
+    they are broadcast with a known size; else both sides are dealt out."""
+    return rows.join(materialize(rejected.toDF(row)), row, "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
-    rows, row = numbered(docs)
-    judged = toxicity.judge(rows, table(spark, sf_dir, "labels"), key_col=row)
-    return _without(rows, row, judged.filter("predicted = 1").select(row))
+    rows, row = _keyed(docs)
+    judged = toxicity.judge(rows, table(spark, sf_dir, "labels"), key_col=None if row == "doc_id" else row)
+    return _without(docs, rows, row, judged.filter("predicted = 1").select(row))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    rows, row = numbered(docs)
-    return _without(rows, row, quality_rules.judge(rows, id_col=row).filter("not kept").select(row))
+    rows, row = _keyed(docs)
+    return _without(docs, rows, row, quality_rules.judge(rows, id_col=row).filter("not kept").select(row))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: that of the smallest doc_id, the first of equal ones; one without a doc_id only where no other is there."""
-    rows, row = numbered(docs)
+    rows, row = _keyed(docs)
     found = materialize(ngram_join.near_duplicates(rows, SIMILARITY, WIDTH, id_col=row).select(F.col(row).alias("r"), F.col("component_id").alias("c")))
+    if row == "doc_id":
+        return _without(docs, rows, row, found.filter("r <> c").select("r"))
     several = materialize(found.filter("r <> c").select("c").distinct())
     grouped = found.join(several, "c", "left_semi").join(rows.select(F.col(row).alias("r"), F.col("doc_id").alias("d")), "r")
     grouped = materialize(grouped.select("r", "c", "d"))
     stays = grouped.groupBy("c").agg(F.min(F.struct(F.col("d").isNull(), "d", "r")).getField("r").alias("r")).select("r")
-    return _without(rows, row, grouped.select("r").join(stays, "r", "left_anti"))
+    return _without(docs, rows, row, grouped.select("r").join(stays, "r", "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,5 +92,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs)
-            cleanup(spark, before, 1)
+            cleanup(spark, before, (docs,))
     return docs
