@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,24 @@ def next_order_day(day: Column, weekdays: tuple[int, ...]) -> Column:
     """The first day strictly after `day` that falls on one of the ISO weekdays."""
     ahead = F.array(*(F.pmod(F.lit(w - 1) - iso_weekday(day), F.lit(7)) + 1 for w in weekdays))
     return F.date_add(day, F.array_min(ahead))
+
+
+#: Types of holidays that close or change a day, a fixed list.
+EFFECTIVE = ("Holiday", "Additional", "Transfer", "Bridge")
+
+
+def effective_holidays(holidays: DataFrame) -> DataFrame:
+    """Holidays that take place: of the effective types, and not a holiday that was moved elsewhere."""
+    return holidays.filter(F.col("type").isin(*EFFECTIVE) & ~((F.col("type") == "Holiday") & F.col("transferred")))
+
+
+def holiday_flags(days: DataFrame, holidays: DataFrame) -> DataFrame:
+    """days (store_nbr, date, state, city) with flags of national, regional and local holidays. Holidays are joined by day, once."""
+    kinds = effective_holidays(holidays)
+    place = lambda locale: F.collect_set(F.when(F.col("locale") == locale, F.col("locale_name"))).alias(locale)
+    by_day = kinds.groupBy("date").agg(F.bool_or(F.col("locale") == "National").alias("national"), place("Regional"), place("Local"))
+    joined = days.join(by_day, "date", "left")
+    false = lambda c: F.coalesce(c, F.lit(False))
+    return joined.select(
+        *days.columns, false(F.col("national")).alias("is_holiday_national"), false(F.array_contains("Regional", F.col("state"))).alias("is_holiday_regional"), false(F.array_contains("Local", F.col("city"))).alias("is_holiday_local")
+    )

@@ -14,8 +14,7 @@ def _days(low: int, high: int):
 
 def lag_on_day(history: DataFrame, days: int) -> DataFrame:
     """Units exactly so many days before, null where the panel has no row: rows may have gaps, so lag() would be wrong."""
-    before = history.select(*_PAIR, F.date_add("date", days).alias("date"), F.col("units_sold").alias(f"lag_{days}"))
-    return history.select(*_PAIR, "date").join(before, [*_PAIR, "date"], "left")
+    return history.select(*_PAIR, "date", F.max("units_sold").over(_days(-days, -days)).alias(f"lag_{days}"))
 
 
 def window_features(history: DataFrame, days: int) -> DataFrame:
@@ -64,6 +63,28 @@ def seasonal_naive(history: DataFrame, as_of, horizon: int) -> DataFrame:
     return pairs.agg(F.sum(times * F.col("units_sold")).alias("s"), F.sum(times).alias("n")).select(*_PAIR, F.when(F.col("n") == horizon, F.col("s")).alias("value"))
 
 
+def seasonal_rival(history: DataFrame, horizon: int) -> DataFrame:
+    """For every day the seasonal naive forecast of the window of at most a week that begins with it: the same days a week before, null where one is missing."""
+    if horizon > 7:
+        raise ValueError("windows of more than a week repeat reference days")
+    week_ago = _days(-7, horizon - 8)
+    return history.select(*_PAIR, "date", F.when(F.count("*").over(week_ago) == horizon, F.sum("units_sold").over(week_ago)).alias("rival"))
+
+
+def non_crossing(quantiles: DataFrame) -> DataFrame:
+    """Values of each pair's quantiles put in order, by rank; `crossed` tells whether that moved any."""
+    by = quantiles.groupBy(*_PAIR).agg(F.array_sort(F.collect_list(F.struct("quantile", "value"))).alias("q"))
+    raw = F.transform("q", lambda x: x["value"])
+    by = by.select(*_PAIR, F.transform("q", lambda x: x["quantile"]).alias("names"), F.array_sort(raw).alias("sorted"), (F.array_sort(raw) != raw).alias("crossed"))
+    return by.select(*_PAIR, "crossed", F.explode(F.arrays_zip("names", "sorted")).alias("z")).select(*_PAIR, F.col("z.names").alias("quantile"), F.col("z.sorted").alias("value"), "crossed")
+
+
+def as_of_retrain(days: DataFrame, retrains: tuple, column: str = "date") -> DataFrame:
+    """days with the latest retraining date that is not after each, null before the first; the few retraining dates are parameters."""
+    known = F.array(*(F.lit(d) for d in retrains))
+    return days.withColumn("retrain", F.array_max(F.filter(known, lambda d: d <= F.col(column))))
+
+
 def weekly_points(history: DataFrame, season_weeks: int, level_weeks: int, horizon: int) -> DataFrame:
     """For every day the level, and the point forecast of the risk window: level times the indices of its weekdays.
 
@@ -93,10 +114,17 @@ def training_panel(features: DataFrame, points: DataFrame, origins: DataFrame, r
 
 
 def error_metrics(scored: DataFrame) -> DataFrame:
-    """By store, over rows with actual, point and rival: relative mean absolute error, weighted absolute error and bias."""
-    rows = scored.filter("actual is not null and point is not null and rival is not null")
-    miss, other = F.col("point") - F.col("actual"), F.col("rival") - F.col("actual")
-    return rows.groupBy("store_id").agg(F.count("*").alias("n"), F.try_divide(F.avg(F.abs(miss)), F.avg(F.abs(other))).alias("relative_mae"), F.try_divide(F.sum(F.abs(miss)), F.sum("actual")).alias("wape"), F.try_divide(F.sum(miss), F.sum("actual")).alias("bias"))
+    """By store, over rows with actual, point, rival and unit_value, less those whose `masked` is true: relative mean absolute
+    error, absolute error weighted by value, and bias; null where what divides is 0."""
+    rows = scored.filter("actual is not null and point is not null and rival is not null and unit_value is not null")
+    if "masked" in scored.columns:
+        rows = rows.filter(~F.coalesce("masked", F.lit(False)))
+    miss, other, value = F.col("point") - F.col("actual"), F.col("rival") - F.col("actual"), F.col("unit_value")
+    nonzero = lambda c: F.when(c != 0, c)
+    return rows.groupBy("store_id").agg(
+        F.count("*").alias("n"), (F.avg(F.abs(miss)) / nonzero(F.avg(F.abs(other)))).alias("relative_mae"),
+        (F.sum(F.abs(miss) * value) / nonzero(F.sum(F.col("actual") * value))).alias("wape"), (F.sum(miss) / nonzero(F.sum("actual"))).alias("bias"),
+    )
 
 
 def quantile_metrics(scored: DataFrame) -> DataFrame:

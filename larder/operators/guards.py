@@ -13,6 +13,34 @@ def margin_cutoff(candidates: DataFrame, budget: float) -> DataFrame:
     return candidates.withColumn("spent", spent).withColumn("kept", F.col("spent") <= budget)
 
 
+def cash_rule(candidates: DataFrame, floor_share: float) -> DataFrame:
+    """The whole rule by store and scenario (columns store_id, scenario, budget): kept or not, and why.
+
+    All stay where the budget holds them. Else each category's protected orders stay, and headroom of all categories as far as
+    the first by margin that the rest does not hold. Where the protected alone are too much, categories are granted their
+    protected orders whole, by their mean margin weighted by value, passing over those that do not fit; all headroom goes.
+    A store's categories are few: they are one array.
+    """
+    key = ["scenario", "store_id"]
+    category, store = Window.partitionBy(*key, "category"), Window.partitionBy(*key)
+    running = F.sum("value").over(category.orderBy("margin", "item_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = candidates.withColumn("is_headroom", running <= (1 - floor_share) * F.sum("value").over(category))
+    guarded = F.when(~F.col("is_headroom"), F.col("value")).otherwise(0.0)
+    rows = rows.withColumns({"total": F.sum("value").over(store), "protected": F.sum(guarded).over(store)})
+    spent = F.sum("value").over(Window.partitionBy(*key, "is_headroom").orderBy(F.desc("margin"), "item_id").rowsBetween(Window.unboundedPreceding, 0))
+    by = rows.groupBy(*key, "category").agg(F.max("budget").alias("budget"), F.sum(guarded).alias("protected"), (F.sum(F.col("value") * F.col("margin")) / F.sum("value")).alias("mean_margin"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("mean_margin")).alias("m"), "category", "protected")))
+    walk = F.aggregate(
+        "c", F.struct(F.col("b").alias("left"), F.expr("cast(array() as array<string>)").alias("granted")),
+        lambda s, x: F.when(x["protected"] <= s["left"], F.struct((s["left"] - x["protected"]).alias("left"), F.array_append(s["granted"], x["category"]).alias("granted"))).otherwise(s),
+    )
+    granted = by.groupBy(*key).agg(order.alias("c"), F.max("budget").alias("b")).select(*key, walk["granted"].alias("granted"))
+    rows = rows.withColumn("spent", spent).join(granted, key)
+    fits, short = F.col("total") <= F.col("budget"), F.col("protected") > F.col("budget")
+    kept = F.when(fits, True).when(short, ~F.col("is_headroom") & F.array_contains("granted", F.col("category"))).otherwise(~F.col("is_headroom") | (F.col("spent") <= F.col("budget") - F.col("protected")))
+    return rows.withColumns({"kept": kept, "case_": F.when(fits, "all").when(short, "shortfall").otherwise("floor")})
+
+
 def floor_and_headroom(candidates: DataFrame, floor_share: float) -> DataFrame:
     """The orders of least margin of each category, up to 1 - floor_share of its value, are headroom; the others are protected."""
     category = Window.partitionBy("store_id", "category")

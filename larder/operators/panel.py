@@ -47,7 +47,7 @@ def anomaly(day: Column, periods: tuple[tuple[date, date, str], ...]) -> tuple[C
 def panel(sales: DataFrame, start: date, end: date, gap_days: int, anomalies: tuple[tuple[date, date, str], ...] = ()) -> DataFrame:
     """Dense daily sales of each pair's life: units sold and returned parted, unknown promotions null, days without any sale of the store marked."""
     windowed = in_window(sales, start, end)
-    days = F.broadcast(operating_days(windowed).withColumn("is_operating_day", F.lit(True)))
+    days = operating_days(windowed).withColumn("is_operating_day", F.lit(True))
     marked, why = anomaly(F.col("date"), anomalies)
     units = F.coalesce("unit_sales", F.lit(0.0))
     return (
@@ -96,21 +96,23 @@ def drop_censored(history: DataFrame, flags: DataFrame) -> DataFrame:
     return history.join(flags.filter("is_censored").select(*KEYS), KEYS, "left_anti")
 
 
-def censoring_summary(flags: DataFrame) -> DataFrame:
-    """Flagged days by pair, and a row TOTAL."""
-    out = flags.groupingSets([["store_id", "item_id"], []], "store_id", "item_id").agg(F.count("*").alias("n_days"), F.count_if("is_censored").alias("n_censored"))
-    return out.select(F.coalesce("store_id", F.lit("TOTAL")).alias("store_id"), F.coalesce("item_id", F.lit("TOTAL")).alias("item_id"), "n_days", "n_censored", (F.col("n_censored") / F.col("n_days")).alias("censored_share"))
+def uncensored(sales: DataFrame, window: int, least_mean: float, least_days: int) -> DataFrame:
+    """sales without its probable stockouts, found in the same pass: no join of the panel with its own flags."""
+    past = Window.partitionBy("store_id", "item_id").orderBy(F.unix_date("date")).rangeBetween(-window, -1)
+    brisk = (F.avg("units_sold").over(past) >= least_mean) & (F.count_if(F.col("units_sold") > 0).over(past) >= least_days)
+    flagged = sales.withColumn("_censored", F.coalesce((F.col("units_sold") == 0) & brisk, F.lit(False)))
+    return flagged.filter("not _censored").drop("_censored")
 
 
-def family_cap(density: DataFrame, floor: float, promo_ceiling: float, least: int, cap: int) -> DataFrame:
-    """Items that stay in each store's selection: dense, not dominated by promotions, of families with enough items, the densest of each family."""
-    kept = density.filter((F.col("density") >= floor) & (F.col("promo_share") <= promo_ceiling))
-    family = Window.partitionBy("store_nbr", "family")
-    sized = kept.withColumn("n_family", F.count("*").over(family)).filter(F.col("n_family") >= least)
-    return sized.withColumn("rank", F.row_number().over(family.orderBy(F.desc("density"), "item_nbr"))).filter(F.col("rank") <= cap)
+def suppliers(raw: DataFrame, lead_days: int, review_days: int, order_days: tuple[int, ...], least_value: float, least_units: float) -> DataFrame:
+    """A supplier for each family, on assumed terms."""
+    return raw.select(supplier_slug(F.col("family")).alias("supplier_id")).distinct().select(
+        "supplier_id", F.lit(lead_days).cast("long").alias("lead_time_days"), F.array(*(F.lit(d).cast("long") for d in order_days)).alias("order_days"), F.lit(review_days).cast("long").alias("review_period_days"),
+        F.lit(least_value).alias("min_order_value"), F.lit(least_units).alias("min_order_units"),
+    )
 
 
-def density_by_item(sales: DataFrame, start: date, end: date) -> DataFrame:
-    """Share of days with a sale, and of rows on promotion (unknown counts as not), of each pair in a slice."""
-    days = (end - start).days + 1
-    return in_window(sales, start, end).groupBy(*PAIR).agg((F.count_if(F.col("unit_sales") > 0) / days).alias("density"), F.avg(F.coalesce("onpromotion", F.lit(False)).cast("double")).alias("promo_share"))
+def censoring_summary(flags: DataFrame) -> DataFrame:
+    """Flagged days by pair, and a row TOTAL."""
+    out = flags.groupingSets([["store_id", "item_id"], []], "store_id", "item_id").agg(F.count("*").alias("n_days"), F.count_if("is_censored").alias("n_censored"))
+    return out.select(F.coalesce("store_id", F.lit("TOTAL")).alias("store_id"), F.coalesce("item_id", F.lit("TOTAL")).alias("item_id"), "n_days", "n_censored", (F.col("n_censored") / F.col("n_days")).alias("censored_share"))

@@ -29,6 +29,16 @@ class Params:
     min_residuals: int = 3
     quantiles: tuple[float, ...] = (0.1, 0.5, 0.9)
     as_of: date = date(2000, 7, 3)
+    slice_end: date = date(2000, 6, 30)
+    demand_days: int = 28
+    # date, type, locale, its name, whether it was moved
+    holidays: tuple[tuple[date, str, str, str, bool], ...] = (
+        (date(1999, 1, 1), "Holiday", "National", "All", False), (date(2000, 1, 1), "Holiday", "National", "All", True), (date(2000, 1, 3), "Transfer", "National", "All", False),
+        (date(1999, 5, 24), "Holiday", "Regional", "STATE 1", False), (date(1999, 6, 25), "Additional", "Regional", "STATE 0", False), (date(2000, 4, 21), "Event", "National", "All", False),
+        (date(1999, 12, 6), "Holiday", "Local", "CITY 2", False), (date(2000, 7, 24), "Bridge", "Local", "CITY 4", False), (date(2000, 10, 9), "Work Day", "National", "All", False),
+    )
+    cash_shares: tuple[float, ...] = (0.3, 0.8, 1.2)
+    cadence_days: int = 3
     cash_budget: float = 4000.0
     floor_share: float = 0.6
     paydays: tuple[int, ...] = (15, -1)

@@ -104,15 +104,48 @@ def m7(spark, sf_dir):
     return _rounded(forecast.weekly_points(_panel(spark, sf_dir), P.season_weeks, P.level_weeks, P.horizon), "level", "point", places=9)
 
 
+_RIVAL = f"""rivals as (select store_id, item_id, date, case when count(*) over w = {P.horizon} then sum(units_sold) over w end rival from panel
+  window w as (partition by store_id, item_id order by date range between interval 7 day preceding and interval {8 - P.horizon} day preceding))"""
+
+
 @_query(
     "q2_q4_error_metrics",
-    f"""{_POINTS}, {_WEEKLY}, {_ORIGINS}, e as (select p.store_id, actual, w.point point, p.point rival from pts0 q join pts p using (store_id, item_id, date) join weekly w using (store_id, item_id, date) join origins using (date) where n_ahead = {P.horizon})
-select store_id, count(*) n, round(avg(abs(point - actual)) / nullif(avg(abs(rival - actual)), 0), 6) relative_mae, round(sum(abs(point - actual)) / nullif(sum(actual), 0), 6) wape, round(sum(point - actual) / nullif(sum(actual), 0), 6) bias from e group by 1""",
+    f"""{_POINTS}, {_WEEKLY}, {_ORIGINS}, {_RIVAL}, e as (select q.store_id, actual, w.point point, rival, cast(5 + cast(item_id as bigint) % 10 as double) v from pts0 q join rivals using (store_id, item_id, date) join weekly w using (store_id, item_id, date) join origins using (date) where n_ahead = {P.horizon} and rival is not null)
+select store_id, count(*) n, round(avg(abs(point - actual)) / nullif(avg(abs(rival - actual)), 0), 6) relative_mae, round(sum(abs(point - actual) * v) / nullif(sum(actual * v), 0), 6) wape, round(sum(point - actual) / nullif(sum(actual), 0), 6) bias from e group by 1""",
 )
 def q24(spark, sf_dir):
-    naive = _points(spark, sf_dir).join(F.broadcast(_origins(spark)), F.col("date") == F.col("origin")).select("store_id", "item_id", "date", "actual", F.col("point").alias("rival"))
-    weekly = forecast.weekly_points(_panel(spark, sf_dir), P.season_weeks, P.level_weeks, P.horizon).select("store_id", "item_id", "date", "point")
-    return _rounded(forecast.error_metrics(naive.join(weekly, ["store_id", "item_id", "date"])), "relative_mae", "wape", "bias")
+    key, history = ["store_id", "item_id", "date"], _panel(spark, sf_dir)
+    actual = _points(spark, sf_dir).join(_origins(spark), F.col("date") == F.col("origin")).select(*key, "actual", (5 + F.col("item_id").cast("long") % 10).cast("double").alias("unit_value"))
+    weekly = forecast.weekly_points(history, P.season_weeks, P.level_weeks, P.horizon).select(*key, "point")
+    return _rounded(forecast.error_metrics(actual.join(weekly, key).join(forecast.seasonal_rival(history, P.horizon), key)), "relative_mae", "wape", "bias")
+
+
+_WEEKLY_Q = f"""wres as (select w.store_id, w.item_id, date, w.point, case when n_ahead = {P.horizon} and n_past > 0 then actual - w.point end residual from weekly w join pts0 using (store_id, item_id, date)),
+wr as (select store_id, item_id, quantile, count(residual) n, quantile_cont(residual, {P.quantiles[0]}) a, quantile_cont(residual, {P.quantiles[1]}) b, quantile_cont(residual, {P.quantiles[2]}) c from wres, (values {', '.join(f"(cast({q} as double))" for q in P.quantiles)}) qs(quantile) where date <= date '{P.as_of}' - {P.horizon} group by all),
+wq as (select d.store_id, d.item_id, qs.quantile, case when coalesce(n, 0) >= {P.min_residuals} then greatest(0, point + case qs.quantile when {P.quantiles[0]} then a when {P.quantiles[1]} then b else c end) else point end v
+  from (select * from wres where date = date '{P.as_of}') d cross join (values {', '.join(f"(cast({q} as double))" for q in P.quantiles)}) qs(quantile) left join wr on wr.store_id = d.store_id and wr.item_id = d.item_id and wr.quantile = qs.quantile)"""
+
+
+def _weekly_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = ["store_id", "item_id", "date"]
+    history = _panel(spark, sf_dir)
+    # the index of every day comes from what lies before it, so each residual is one of a fit of its own
+    points = forecast.weekly_points(history, P.season_weeks, P.level_weeks, P.horizon).select(*key, "point")
+    known = forecast.naive_points(history, P.naive_weeks, P.horizon).select(*key, "actual", F.col("residual").isNotNull().alias("whole"))
+    residuals = points.join(known, key).withColumn("residual", F.when(F.col("whole"), F.col("actual") - F.col("point")))
+    return forecast.naive_quantiles(residuals, P.as_of, P.horizon, P.quantiles, P.min_residuals)
+
+
+@_query("m8_weekly_quantiles", f'{_POINTS}, {_WEEKLY}, {_WEEKLY_Q} select store_id, item_id, quantile, round(v, 6) "value" from wq')
+def m8(spark, sf_dir):
+    return _rounded(_weekly_quantiles(spark, sf_dir), "value")
+
+
+@_query("m12_as_of_retrain", "select date, (select max(r) from (values " + ", ".join(f"(date '{d}')" for d in P.retrains) + ") t(r) where r <= date) retrain from (select distinct date from win) d")
+def m12(spark, sf_dir):
+    from .retail import c3
+
+    return forecast.as_of_retrain(c3(spark, sf_dir).select("date").distinct(), P.retrains)
 
 
 _QUANTILES = f"quant as ({ORACLE_SQL['m4_naive_quantiles']})"
@@ -124,6 +157,19 @@ def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m4(spark, sf_dir)
 
 
+@_query(
+    "m11_non_crossing",
+    f"""{_POINTS}, {_WEEKLY}, {_WEEKLY_Q}, {_QUANTILES}, mixed as (select store_id, item_id, quantile, round(case when quantile = {P.quantiles[1]} then v else "value" end, 6) v from quant join wq using (store_id, item_id, quantile)),
+o as (select *, row_number() over (partition by store_id, item_id order by v) k, row_number() over (partition by store_id, item_id order by quantile) kq from mixed)
+select a.store_id, a.item_id, a.quantile, b.v "value", bool_or(a.v <> b.v) over (partition by a.store_id, a.item_id) crossed from o a join o b on a.store_id = b.store_id and a.item_id = b.item_id and a.kq = b.k""",
+)
+def m11(spark, sf_dir):
+    """Outer quantiles of the naive forecast about the weekly one's median: values from two fits, which may cross."""
+    key = ["store_id", "item_id", "quantile"]
+    both = _quantiles(spark, sf_dir).join(_weekly_quantiles(spark, sf_dir).withColumnRenamed("value", "other"), key)
+    return forecast.non_crossing(both.select(*key, F.round(F.when(F.col("quantile") == P.quantiles[1], F.col("other")).otherwise(F.col("value")), 6).alias("value")))
+
+
 @_query(
     "q5_q6_quantile_metrics",
     f"""{_POINTS}, {_QUANTILES}, e as (select store_id, quantile, "value" v, actual from quant join pts0 using (store_id, item_id) where date = date '{P.as_of}' and n_ahead = {P.horizon})

@@ -55,9 +55,17 @@ def d8(spark, sf_dir):
     return quality.table_diff(slim, kept, panel.KEYS)
 
 
-@_query("i1_i3_coverage_days", f'{_POINTS}, {_QUANTILES}, {_NEED} select store_id, item_id, round(daily, 6) daily, round(case when daily > 0 then "position" / daily end, 6) coverage_days from pos')
+@_query(
+    "i1_i3_coverage_days",
+    f"""{_POINTS}, {_QUANTILES}, {_NEED}, d28 as (select store_id, item_id, avg(units_sold) daily from panel where date between date '{P.as_of}' - {P.demand_days} and date '{P.as_of}' - 1 group by 1, 2)
+select p.store_id, p.item_id, round(coalesce(d.daily, 0), 6) daily, round(case when d.daily > 0 then "position" / d.daily end, 6) coverage_days from pos p left join d28 d on d.store_id = p.store_id and d.item_id = p.item_id""",
+)
 def i3(spark, sf_dir):
-    return _needs(spark, sf_dir).select("store_id", "item_id", F.round("daily", 6).alias("daily"), F.round(F.when(F.col("daily") > 0, F.col("position") / F.col("daily")), 6).alias("coverage_days"))
+    """Mean demand of the last DEMAND_DAYS days, and the days that the position lasts at it; null without demand."""
+    recent = F.col("date").between(F.date_sub(F.lit(P.as_of), P.demand_days), F.date_sub(F.lit(P.as_of), 1))
+    demand = _panel(spark, sf_dir).filter(recent).groupBy("store_id", "item_id").agg(F.avg("units_sold").alias("mean_demand"))
+    rows = _needs(spark, sf_dir).select("store_id", "item_id", "position").join(demand, ["store_id", "item_id"], "left")
+    return rows.select("store_id", "item_id", F.round(F.coalesce("mean_demand", F.lit(0.0)), 6).alias("daily"), F.round(F.when(F.col("mean_demand") > 0, F.col("position") / F.col("mean_demand")), 6).alias("coverage_days"))
 
 
 @_query(

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_up_to_pack
-from ..operators import contracts, forecast, guards, panel, profiling
+from ..operators import calendar, contracts, forecast, guards, panel, profiling, selection
 from ..params import PARAMS as P
 from ..sources.retail import raw_items, raw_sales
 
@@ -167,24 +167,71 @@ def c6(spark, sf_dir):
     return _rounded(panel.items(raw_items(sales), profiling.in_window(sales, P.window_start, P.window_end), P.margins, P.default_margin, P.fractional_threshold, P.price_ref), "cost")
 
 
-_DENSITY = f"density as (select store_nbr, item_nbr, count(*) filter (where unit_sales > 0) / cast({(P.window_end - P.window_start).days + 1} as double) density, avg(cast(coalesce(onpromotion, false) as double)) promo_share from win group by 1, 2)"
+_SLICE = f"date between date '{P.window_start}' and date '{P.slice_end}'"
+_FUNNEL = f"""density as (
+  select store_id, item_id, min(date) f, max(date) l, avg(case when {_SLICE} then cast(units_sold > 0 as double) end) density, avg(case when {_SLICE} then cast(coalesce(on_promo, false) as double) end) promo_share from panel group by 1, 2),
+s1 as (select d.*, family, case when f > date '{P.window_start}' or l < date '{P.window_end}' then 'lifespan' when coalesce(density < {P.density_floor}, true) then 'density' when promo_share >= {P.promo_ceiling} then 'promotion' end a1 from density d join items on cast(item_nbr as varchar) = item_id),
+s2 as (select *, count(*) filter (where a1 is null) over (partition by store_id, family) n_family from s1),
+s3 as (select *, coalesce(a1, case when n_family < {P.min_family_items} then 'family' end) a2 from s2),
+s4 as (select *, case when a2 is null then row_number() over (partition by store_id, family, a2 is null order by density desc, item_id) end r from s3),
+funnel as (select *, coalesce(a2, case when r > {P.family_cap} then 'cap' end) left_at from s4)"""
 
 
-@_query("b3_density_by_item", f"{_DENSITY} select store_nbr, item_nbr, round(density, 6) density, round(promo_share, 6) promo_share from density")
+def _density(spark, sf_dir):
+    selection.no_leakage(P.slice_end, P.as_of)
+    return selection.slice_density(_panel(spark, sf_dir), P.window_start, P.slice_end)
+
+
+def _funnel(spark, sf_dir):
+    families = raw_items(raw_sales(spark, sf_dir)).select(F.col("item_nbr").cast("string").alias("item_id"), "family")
+    return selection.funnel(_density(spark, sf_dir), families, (P.window_start, P.window_end), P.density_floor, P.promo_ceiling, P.min_family_items, P.family_cap)
+
+
+@_query("b3_density_by_item", f"{_FUNNEL} select store_id, item_id, f first_day, l last_day, round(density, 6) density, round(promo_share, 6) promo_share from density")
 def b3(spark, sf_dir):
-    return _rounded(panel.density_by_item(raw_sales(spark, sf_dir), P.window_start, P.window_end), "density", "promo_share")
+    return _rounded(_density(spark, sf_dir), "density", "promo_share")
+
+
+@_query("b6_selection", f'{_FUNNEL} select store_id, family, item_id, round(density, 6) density, n_family, cast(r as integer) "rank" from funnel where left_at is null')
+def b6(spark, sf_dir):
+    return _rounded(_funnel(spark, sf_dir).filter("left_at is null").select("store_id", "family", "item_id", "density", "n_family", "rank"), "density")
+
+
+_WHY = "case name " + " ".join(f"when '{k}' then '{v}'" for k, v in selection.STAGES.items()) + " end"
+_NAMES = ", ".join(f"({k + 1}, '{s}')" for k, s in enumerate(selection.STAGES))
 
 
 @_query(
-    "b6_selection",
-    f"""{_DENSITY}, sized as (select *, count(*) over (partition by store_nbr, family) n_family from density join items using (item_nbr) where density >= {P.density_floor} and promo_share <= {P.promo_ceiling}),
-ranked as (select *, row_number() over (partition by store_nbr, family order by density desc, item_nbr) r from sized where n_family >= {P.min_family_items})
-select store_nbr, family, item_nbr, n_family, cast(r as integer) "rank" from ranked where r <= {P.family_cap}""",
+    "b8_funnel",
+    f"""{_FUNNEL}, st(stage, name) as (values {_NAMES}), c as (select store_id, stage, name, count(*) n, count(*) filter (where left_at = name) x from funnel cross join st group by all),
+o as (select *, coalesce(sum(x) over (partition by store_id order by stage rows between unbounded preceding and 1 preceding), 0) gone from c),
+small as (select store_id, string_agg(distinct family, ', ' order by family) fams from funnel where left_at = 'family' group by 1)
+select o.store_id, cast(stage as integer) stage, name, cast(n - gone as bigint) "before", cast(n - gone - x as bigint) "after", x excluded, case when x > 0 then {_WHY} || case when name = 'family' then ': ' || fams else '' end end reason from o left join small using (store_id)""",
 )
-def b6(spark, sf_dir):
-    sales = raw_sales(spark, sf_dir)
-    density = panel.density_by_item(sales, P.window_start, P.window_end).join(F.broadcast(raw_items(sales).select("item_nbr", "family")), "item_nbr")
-    return panel.family_cap(density, P.density_floor, P.promo_ceiling, P.min_family_items, P.family_cap).select("store_nbr", "family", "item_nbr", "n_family", "rank")
+def b8(spark, sf_dir):
+    return selection.funnel_table(_funnel(spark, sf_dir))
+
+
+@_query("c7_suppliers", f"select distinct 'SUP-' || trim(regexp_replace(upper(trim(family)), '[^A-Z0-9]+', '_', 'g'), '_') supplier_id, cast({P.lead_days} as bigint) lead_time_days, '{','.join(map(str, P.order_days))}' order_days, cast({P.review_days} as bigint) review_period_days, cast({P.least_value} as double) min_order_value, cast({P.least_units} as double) min_order_units from items")
+def c7(spark, sf_dir):
+    found = panel.suppliers(raw_items(raw_sales(spark, sf_dir)), P.lead_days, P.review_days, P.order_days, P.least_value, P.least_units)
+    return found.withColumn("order_days", F.array_join("order_days", ","))
+
+
+_HOLIDAYS = "hol(date, type, locale, locale_name, transferred) as (values " + ", ".join(f"(date '{d}', '{t}', '{a}', '{n}', {str(m).lower()})" for d, t, a, n, m in P.holidays) + ")"
+_EFFECTIVE = "type in ('Holiday', 'Additional', 'Transfer', 'Bridge') and not (type = 'Holiday' and transferred)"
+
+
+@_query(
+    "k2_holiday_flags",
+    f"""{_HOLIDAYS}, eff as (select * from hol where {_EFFECTIVE}), d as (select distinct store_nbr, date, 'STATE ' || cast(store_nbr % 2 as varchar) state, 'CITY ' || cast(store_nbr as varchar) city from win)
+select store_nbr, date, state, city, exists (select 1 from eff e where e.date = d.date and locale = 'National') is_holiday_national, exists (select 1 from eff e where e.date = d.date and locale = 'Regional' and locale_name = state) is_holiday_regional,
+       exists (select 1 from eff e where e.date = d.date and locale = 'Local' and locale_name = city) is_holiday_local from d""",
+)
+def k2(spark, sf_dir):
+    days = c3(spark, sf_dir).withColumns({"state": F.concat(F.lit("STATE "), (F.col("store_nbr") % 2).cast("string")), "city": F.concat(F.lit("CITY "), F.col("store_nbr").cast("string"))})
+    holidays = spark.createDataFrame(list(P.holidays), "date date, type string, locale string, locale_name string, transferred boolean")
+    return calendar.holiday_flags(days, holidays).select("store_nbr", "date", "state", "city", "is_holiday_national", "is_holiday_regional", "is_holiday_local")
 
 
 _FLAGS = f"""past as (select *, avg(units_sold) over w m, count(*) filter (where units_sold > 0) over w n from panel window w as (partition by store_id, item_id order by date range between interval {P.censor_window} day preceding and interval 1 day preceding)),
@@ -200,10 +247,9 @@ def z1(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
-@_query("z4_drop_censored", f"{_FLAGS} select p.store_id, p.item_id, p.date, p.units_sold from panel p join flags f using (store_id, item_id, date) where not is_censored")
+@_query("z4_drop_censored", f"{_FLAGS} select store_id, item_id, date, units_sold from past where not coalesce(units_sold = 0 and m >= {P.censor_mean} and n >= {P.censor_sale_days}, false)")
 def z4(spark, sf_dir):
-    history = _panel(spark, sf_dir)
-    return panel.drop_censored(history.select(*panel.KEYS, "units_sold"), panel.probable_stockouts(history, P.censor_window, P.censor_mean, P.censor_sale_days))
+    return panel.uncensored(_panel(spark, sf_dir).select(*panel.KEYS, "units_sold"), P.censor_window, P.censor_mean, P.censor_sale_days)
 
 
 @_query("z5_censoring_summary", f"{_FLAGS} select coalesce(store_id, 'TOTAL') store_id, coalesce(item_id, 'TOTAL') item_id, count(*) n_days, count(*) filter (where is_censored) n_censored, round(avg(cast(is_censored as double)), 6) censored_share from flags group by grouping sets ((store_id, item_id), ())")
@@ -211,7 +257,7 @@ def z5(spark, sf_dir):
     return _rounded(panel.censoring_summary(_flags(spark, sf_dir)), "censored_share")
 
 
-@_query("x1_lag_7", "select p.store_id, p.item_id, p.date, b.units_sold lag_7 from panel p left join panel b on b.store_id = p.store_id and b.item_id = p.item_id and b.date = p.date - 7")
+@_query("x1_lag_7", "select store_id, item_id, date, max(units_sold) over (partition by store_id, item_id order by date range between interval 7 day preceding and interval 7 day preceding) lag_7 from panel")
 def x1(spark, sf_dir):
     return forecast.lag_on_day(_panel(spark, sf_dir), 7)
 
@@ -272,7 +318,7 @@ _CANDIDATES = "cand as (select cast(store_nbr as varchar) store_id, cast(item_nb
 
 def _candidates(spark, sf_dir):
     sales = raw_sales(spark, sf_dir)
-    rows = profiling.in_window(sales, P.window_start, P.window_end).join(F.broadcast(raw_items(sales).select("item_nbr", "family")), "item_nbr")
+    rows = profiling.in_window(sales, P.window_start, P.window_end).join(raw_items(sales).select("item_nbr", "family"), "item_nbr")
     return rows.groupBy("store_nbr", "item_nbr", "family").agg(F.round(F.sum(F.greatest("unit_sales", F.lit(0.0))), 4).alias("value")).select(
         F.col("store_nbr").cast("string").alias("store_id"), F.col("item_nbr").cast("string").alias("item_id"), F.col("family").alias("category"), "value", (0.05 + (F.col("item_nbr") * 37 % 100) / 200.0).alias("margin")
     )
@@ -298,7 +344,55 @@ def v8(spark, sf_dir):
     return contracts.duplicate_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
-@_query("v9_orphans", "select cast(o_custkey as varchar) \"value\", count(*) n_rows from orders where o_custkey is not null and not exists (select 1 from customer where c_custkey = o_custkey and c_acctbal > 0) group by 1")
+_DAYS = "sd as (select l_suppkey supplier, isodow(l_shipdate) d from lineitem where l_linenumber = 7 and l_quantity > 45 group by 1, 2)"
+
+
+def _order_days(spark, sf_dir):
+    """Weekdays on which each supplier's large seventh lines are shipped: the order days that its suppliers' table would state."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 7 and l_quantity > 45")
+    return lines.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_set(F.weekday("l_shipdate") + 1).alias("days"))
+
+
+@_query("v7_array_findings", f"{_DAYS}, a as (select supplier, count(*) n, bool_or(d > 5) o from sd group by 1) select count(*) filter (where n < 3) n_short, count(*) filter (where o) n_out_of_bounds, count(*) n_rows from a")
+def v7(spark, sf_dir):
+    return contracts.array_findings(_order_days(spark, sf_dir), "days", 3, 1, 5)
+
+
+@_query(
+    "v10_supplier_cadence",
+    f"""{_DAYS}, g as (select supplier, coalesce(lead(d) over (partition by supplier order by d), first_value(d) over (partition by supplier order by d) + 7) - d gap from sd)
+select supplier, max(gap) gap, cast({P.cadence_days} as bigint) review_days from g group by 1 having max(gap) > {P.cadence_days}""",
+)
+def v10(spark, sf_dir):
+    return contracts.cadence_findings(_order_days(spark, sf_dir), "supplier", "days", F.lit(P.cadence_days))
+
+
+@_query("v9_orphans", 'select cast(o_orderkey as varchar) "value", count(*) n_rows from orders where o_orderkey is not null and not exists (select 1 from lineitem where l_orderkey = o_orderkey) group by 1')
 def v9(spark, sf_dir):
+    """Orders that no line refers to: keys that the other table lacks by nature."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return contracts.orphans(read("orders"), "o_custkey", read("customer").filter("c_acctbal > 0"), "c_custkey")
+    return contracts.orphans(read("orders"), "o_orderkey", read("lineitem"), "l_orderkey")
+
+
+_CASH = f"""scen(scenario, share) as (values {', '.join(f"({k}, cast({c} as double))" for k, c in enumerate(P.cash_shares))}),
+cc as (select scenario, c.*, round(share * sum(value) over (partition by scenario, store_id), 2) budget from cand c cross join scen),
+c1 as (select *, sum(value) over (partition by scenario, store_id, category order by margin, item_id rows unbounded preceding) <= {1 - P.floor_share} * sum(value) over (partition by scenario, store_id, category) hr from cc),
+c2 as (select *, sum(value) over (partition by scenario, store_id) total, sum(case when not hr then value else 0 end) over (partition by scenario, store_id) protected,
+  sum(value) over (partition by scenario, store_id, hr order by margin desc, item_id rows unbounded preceding) spent from c1),
+cat as (select scenario, store_id, category, max(budget) budget, sum(case when not hr then value else 0 end) p, row_number() over (partition by scenario, store_id order by sum(value * margin) / sum(value) desc, category) k from c1 group by 1, 2, 3),
+walk as (select scenario, store_id, cast(0 as bigint) k, max(budget) room, cast(null as varchar) got from cat group by 1, 2 union all
+  select w.scenario, w.store_id, c.k, case when c.p <= w.room then w.room - c.p else w.room end, case when c.p <= w.room then c.category end from walk w join cat c on c.scenario = w.scenario and c.store_id = w.store_id and c.k = w.k + 1)"""
+
+
+@_query("y9_cash_rule")
+def y9(spark, sf_dir):
+    shares = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(c).alias("share")) for k, c in enumerate(P.cash_shares))))
+    rows = _candidates(spark, sf_dir).withColumn("s", shares).select("*", "s.scenario", "s.share")
+    rows = rows.withColumn("budget", F.round(F.col("share") * F.sum("value").over(Window.partitionBy("scenario", "store_id")), 2))
+    return guards.cash_rule(rows, P.floor_share).select("scenario", "store_id", "item_id", "category", F.col("case_").alias("rule_case"), "kept")
+
+
+ORACLE_SQL["y9_cash_rule"] = f"""with recursive {_BASE}, {_CANDIDATES}, {_CASH}
+select c2.scenario, c2.store_id, item_id, category, case when total <= budget then 'all' when protected > budget then 'shortfall' else 'floor' end rule_case,
+  case when total <= budget then true when protected > budget then not hr and w.got is not null else not hr or spent <= budget - protected end kept
+from c2 left join walk w on w.scenario = c2.scenario and w.store_id = c2.store_id and w.got = c2.category"""
