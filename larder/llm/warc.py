@@ -7,6 +7,7 @@ parts of an archive, end to end, are a .warc.gz file; export_files() writes them
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
@@ -69,8 +70,20 @@ def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a gzip member")
 
 
+def _fits(content: bytes, digest: str | None) -> bool:
+    """Whether a digest header is that of content: SHA-256 or SHA-1, in hexadecimal or base32; other kinds and absent ones are not checked."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256"):
+        return True
+    found = hashlib.new(kind.lower(), content).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """WARC headers, HTTP headers and payload of each record in order; frames and digests are verified."""
+    """WARC headers, HTTP headers and payload of each record in order; frames and such digests as it has are verified.
+
+    Records without an HTTP message, such as warcinfo, have no HTTP headers, and their block is the payload.
+    """
     for content in members(chunks):
         head, _, rest = content.partition(_END)
         version, *lines = head.decode().split("\r\n")
@@ -81,12 +94,15 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], dict
         block = rest[:n]
         if len(block) < n or rest[n:] != _END:
             raise ValueError("a record's length is not that of its header")
-        if "sha256:" + hashlib.sha256(block).hexdigest() != headers.get("WARC-Block-Digest", ""):
+        if not _fits(block, headers.get("WARC-Block-Digest")):
             raise ValueError("a block's digest is not that of its header")
+        if not headers.get("Content-Type", "").startswith("application/http"):
+            yield headers, {}, block
+            continue
         http, _, payload = block.partition(_END)
-        if headers["WARC-Type"] == "response" and "sha256:" + hashlib.sha256(payload).hexdigest() != headers["WARC-Payload-Digest"]:
+        if headers["WARC-Type"] == "response" and not _fits(payload, headers.get("WARC-Payload-Digest")):
             raise ValueError("a payload's digest is not that of its header")
-        yield headers, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}, payload
+        yield headers, {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("utf-8", "replace").split("\r\n")[1:])}, payload
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -124,18 +140,29 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the archives: page_id, url, payload_bytes and payload_digest (of the full payload), record_type, refers_to."""
+    """Every response and revisit of the archives: page_id, url, payload_bytes and payload_digest (of the full payload), record_type, refers_to.
+
+    Records of other programs have no page_id where theirs is no page's; a revisit's bytes and digest are those its headers
+    tell, null where they tell none or no SHA-256. Records of other types are verified and left out.
+    """
 
     def number(uri: str) -> int | None:
-        return int(x) if (x := uri.removeprefix("<urn:page:").removesuffix(">")) else None
+        x = uri.removeprefix("<urn:page:").removesuffix(">")
+        return int(x) if uri.startswith("<urn:page:") and x.lstrip("-").isdigit() else None
+
+    def row(h: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        if h["WARC-Type"] == "revisit":
+            told, kind = http.get("Content-Length", ""), h.get("WARC-Payload-Digest", "").partition(":")
+            size, digest = int(told) if told.isdigit() else None, kind[2] if kind[0] == "sha256" else None
+        return number(h.get("WARC-Record-ID", "")), h.get("WARC-Target-URI", ""), size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To", ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stream in batch.column(0):
                 view = stream.as_buffer()
-                found = []
-                for h, http, _ in read_records(view.slice(i, min(CHUNK, view.size - i)).to_pybytes() for i in range(0, view.size, CHUNK)):
-                    found.append((number(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(http["Content-Length"]), h["WARC-Payload-Digest"].partition(":")[2], h["WARC-Type"], number(h.get("WARC-Refers-To", ""))))
+                records = read_records(view.slice(i, min(CHUNK, view.size - i)).to_pybytes() for i in range(0, view.size, CHUNK))
+                found = [row(*r) for r in records if r[0]["WARC-Type"] in ("response", "revisit")]
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
