@@ -49,6 +49,7 @@ PART_NAMES = frozenset(
     " signup login search form comment comments reply replies respond disqus discussion pagination pager skip contentinfo complementary copyright legal disclaimer".split()
 )
 MAIN_NAMES = frozenset("article articlebody content entry main maincontent post postbody story text body".split())
+TITLE_NAMES = frozenset("article content entry post story".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,6 +59,12 @@ _SPACE = re.compile(r"\s+")
 _STATE = re.compile(r"(?:has|have|no|not|with|without|is|hide|show)[-_]")
 
 
+def _words(name: str) -> set[str]:
+    """The words in a name; the header of an article, as in entry-header, holds its title and is no part of the frame."""
+    words = set(_NAME.findall(name))
+    return words - {"header"} if words & TITLE_NAMES else words
+
+
 @dataclass
 class Piece:
     """A block: its text, the characters of it in links, the elements around it (serial number, tag) and hints in their names."""
@@ -134,7 +141,7 @@ def pieces_of(page: str) -> list[Piece]:
             continue
         _, _, part, main, silent, firm = stack[-1]
         whole = {w for x in _NAMES.findall(m[3]) for w in "".join(x).lower().split() if not _STATE.match(w)} if m[3] and tag not in PAGE_TAGS else frozenset()
-        names = {w for x in whole for w in _NAME.findall(x)}
+        names = {w for x in whole for w in _words(x)}
         # an article or main element is no part because of a name that is but a piece of a wrapper's, like layout-sidebar; the main element never
         if tag in PAGE_TAGS or tag == "main":
             part = firm = False
@@ -158,7 +165,8 @@ def pieces_of(page: str) -> list[Piece]:
     return out
 
 
-N_FEATURES = 9
+#: The first N_TEXT features tell of the text and its own element, the others of the names of the elements around it.
+N_FEATURES, N_TEXT = 9, 7
 
 
 def features(pieces: list[Piece]) -> np.ndarray:
@@ -180,7 +188,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_
     """The classifier's weights from a sample of about `most_pages` pages, chosen by the hash of their ids.
 
     A block counts as content when it lies in an article or main element and in nothing that names a part of the frame, as
-    boilerplate when it lies in such a part; other blocks are left out. Ridge logistic regression about PRIOR, by Newton steps.
+    boilerplate when it lies in such a part; other blocks are left out. Only the weights of the text are fitted, to tenths of
+    its features, of which there are some 50,000 different rows at most however long the pages are: the names are where the
+    labels come from, so theirs stay as in PRIOR. Ridge logistic regression about PRIOR, by Newton steps.
     """
     share = min(1.0, most_pages / max(1, pages.count()))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -192,23 +202,24 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_
                 pieces = pieces_of(page)
                 known = [p for p in pieces if p.part or p.main]
                 if known:
-                    x, y = features(known), np.array([not p.part for p in known], float)
+                    x, y = np.round(features(known)[:, :N_TEXT], 1), np.array([not p.part for p in known], float)
                     yield pa.RecordBatch.from_pydict({"x": x.tolist(), "y": y})
 
     rows = chosen.mapInArrow(run, "x array<double>, y double")
     found = rows.groupBy("x", "y").agg(F.count("*").alias("n")).toPandas()
-    w = PRIOR.copy()
+    prior = PRIOR[:N_TEXT]
+    w = prior.copy()
     if len(found):
         found = found.sort_values(["y", "n"], kind="stable")
         x, y, n = np.array(found.x.tolist()), found.y.to_numpy(), found.n.to_numpy(float)
         n = n / n.sum() * 1000
         for _ in range(20):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 2.0, x.T @ (n * (y - p)) - 2.0 * (w - PRIOR))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 2.0, x.T @ (n * (y - p)) - 2.0 * (w - prior))
             w = w + step
             if abs(step).max() < 1e-6:
                 break
-    return w
+    return np.concatenate([w, PRIOR[N_TEXT:]])
 
 
 #: Capacity of the edge between neighbours that share all their elements, and how it falls with each that they do not.

@@ -1,5 +1,6 @@
 """Each operator on nulls, empty tables, repeated rows and clashing columns, and against brute force."""
 
+import base64
 import hashlib
 import re
 from fractions import Fraction
@@ -158,6 +159,7 @@ def test_html_wrappers():
         "<body class='search'>" + frame % f"<div class='page no-sidebar'><main>{text}</main></div>",
         "<body><div class='layout-sidebar'>" + frame % f"<article>{text}</article></div>",
         "<body><form id=f>" + frame % f"<article>{text}</article></form>",
+        "<body>" + frame % f"<div class='article-header'>{text}</div>",
     ):
         assert html_text.main_text(page, html_text.PRIOR) == want
     assert html_text.main_text("<head><title>t</title>Plain words, here and there.", html_text.PRIOR) == "Plain words, here and there."
@@ -180,6 +182,45 @@ def test_warc(spark):
         list(warc.read_records([warc.record(1, "u", page, None, False, "d")[:-9]]))
 
 
+def test_warc_of_others(spark):
+    def member(kind, block, *headers, http=True):
+        return warc._member([("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), *headers, *[("Content-Type", "application/http")] * http], block, 6)
+
+    payload = "é".encode() * 60
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    stream = member("warcinfo", b"software: x", http=False) + member("response", block, ("WARC-Payload-Digest", sha1)) + member("revisit", block[:19], ("WARC-Payload-Digest", sha1))
+    got = warc.read_archives(spark.createDataFrame([(stream,)], "members binary")).orderBy("record_type").collect()
+    assert [tuple(r) for r in got] == [(None, "", 120, hashlib.sha256(payload).hexdigest(), "response", None), (None, "", None, None, "revisit", None)]
+    with pytest.raises(ValueError):
+        list(warc.read_records([member("response", block + b"x", ("WARC-Payload-Digest", sha1))]))
+    assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_html_fit_and_tables(spark):
+    page = "<nav><a href=x>Home</a></nav><article><h1>A b</h1><p>One two, three four, and so on.<p>Five six, seven.</article><footer><a href=y>c</a></footer>"
+    rows = [(1, "u", page, 7), (1, "u", page, 7), (2, None, None, 7), (None, "v", "", 7), (3, "w", page * 400, 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    weights = html_text.fit(pages)
+    assert (weights[html_text.N_TEXT :] == html_text.PRIOR[html_text.N_TEXT :]).all()
+    want = "A b\n\nOne two, three four, and so on.\n\nFive six, seven."
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(pages).collect())
+    long = "\n\n".join([want] * 400)
+    assert got == sorted([("1", want, len(want)), ("1", want, len(want)), ("2", "", 0), ("None", "", 0), ("3", long, len(long))])
+    assert (html_text.fit(pages.limit(0)) == html_text.PRIOR).all() and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_min_cut_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 8))
+        scores = rng.normal(size=n)
+        edges = [(i, j, float(rng.uniform(0, 2))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.5]
+        cost = lambda side: sum(abs(s) for s, x in zip(scores, side, strict=True) if (s > 0) != x) + sum(c for i, j, c in edges if side[i] != side[j])
+        least = min(cost([bool(k >> i & 1) for i in range(n)]) for k in range(1 << n))
+        assert abs(cost(list(html_text.min_cut(scores, edges))) - least) < 1e-9
+
+
 def test_bpe_equals_the_library(docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
