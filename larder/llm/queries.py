@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, ngram_join, packing, quality_rules, secret_scan, topk, toxicity, url_filter, warc
+from . import bpe, decontaminate, fill_in_middle, html_text, ngram_join, packing, periodic_runs, quality_rules, secret_scan, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_top_k": topk.op9_top_k,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_decontamination": decontaminate.op12_decontamination,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
-ORACLE_SQL = {**warc.ORACLE_SQL, **url_filter.ORACLE_SQL, **topk.ORACLE_SQL}
+ORACLE_SQL = {**warc.ORACLE_SQL, **url_filter.ORACLE_SQL, **topk.ORACLE_SQL, **decontaminate.ORACLE_SQL, **fill_in_middle.ORACLE_SQL}
