@@ -105,12 +105,54 @@ def weekly_points(history: DataFrame, season_weeks: int, level_weeks: int, horiz
     return indexed.withColumn("level", F.when(F.col("n") > 0, level / F.col("n")).otherwise(0.0)).select(*_PAIR, "date", "level", (F.col("level") * ahead).alias("point"))
 
 
-def training_panel(features: DataFrame, points: DataFrame, origins: DataFrame, retrains: DataFrame, horizon: int, half_life: float) -> DataFrame:
-    """Features at each origin with the demand that followed, once per retraining date by which that is known; weight halves with age."""
-    at = features.join(F.broadcast(origins), F.col("date") == F.col("origin")).drop("origin").join(points.filter("actual is not null").select(*_PAIR, "date", "actual"), [*_PAIR, "date"])
-    every = at.join(F.broadcast(retrains), F.date_add(F.col("date"), horizon) <= F.col("retrain"))
-    age = F.datediff("retrain", "date")
-    return every.withColumns({"age": age.cast("long"), "weight": F.pow(F.lit(0.5), age / half_life)})
+def naive_quantiles_at(points: DataFrame, dates: list, horizon: int, quantiles: tuple[float, ...], least: int) -> DataFrame:
+    """naive_quantiles() at each of a few dates, as a store of forecasts: (store_id, item_id, as_of, horizon, quantile, value)."""
+    each = [naive_quantiles(points, d, horizon, quantiles, least).withColumns({"as_of": F.lit(d), "horizon": F.lit(horizon)}) for d in dates]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.select(*_PAIR, "as_of", "horizon", "quantile", "value")
+
+
+def look_up(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """asked (store_id, item_id, as_of, horizon, quantile) with `value` of the store's row of the same key, and `finding` where there is none.
+
+    The finding is the first thing that the store lacks: the pair, the date, the horizon or the quantile. Nothing is taken from
+    another date, window or quantile. The quantiles and horizons of a pair and date are few, so they are one row to join.
+    """
+    at = store.groupBy(*_PAIR, "as_of").agg(F.collect_list(F.struct("horizon", "quantile", "value")).alias("known"))
+    pairs = store.select(*_PAIR).distinct().withColumn("pair_known", F.lit(True))
+    rows = asked.join(at, [*_PAIR, "as_of"], "left").join(pairs, _PAIR, "left")
+    window = F.filter("known", lambda x: x["horizon"] == F.col("horizon"))
+    rows = rows.withColumn("window", window).withColumn("hit", F.get(F.filter("window", lambda x: x["quantile"] == F.col("quantile")), F.lit(0)))
+    lacks = F.when(F.col("hit").isNotNull(), F.lit(None).cast("string")).when(F.col("pair_known").isNull(), "pair").when(F.col("known").isNull(), "as_of").when(F.size("window") == 0, "horizon").otherwise("quantile")
+    return rows.select(*asked.columns, F.col("hit.value").alias("value"), lacks.alias("finding"))
+
+
+def latest_before(asked: DataFrame, store: DataFrame) -> DataFrame:
+    """asked (store_id, item_id, date) with the as_of and forecast (array of quantile and value) of the store's last date not after it; null before the first.
+
+    Both are one table ordered by day, so each pair is sorted once and nothing is joined by range.
+    """
+    known = store.groupBy(*_PAIR, "as_of").agg(F.array_sort(F.collect_list(F.struct("quantile", "value"))).alias("forecast"))
+    rows = known.select(*_PAIR, F.col("as_of").alias("date"), F.struct("as_of", "forecast").alias("known"), F.lit(0).alias("asks")).unionByName(asked.select(*_PAIR, "date", F.lit(1).alias("asks")), allowMissingColumns=True)
+    past = Window.partitionBy(*_PAIR).orderBy("date", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("last", F.last("known", ignorenulls=True).over(past)).filter("asks = 1").select(*_PAIR, "date", "last.as_of", "last.forecast")
+
+
+def forecast_findings(store: DataFrame, alpha: float) -> DataFrame:
+    """(store_id, item_id, as_of, horizon, finding) of forecasts that no order may use: a window of no days, a quantile that is not between 0 and 1, values that fall as quantiles rise, or alpha not among the quantiles."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1; 1 would ask for the largest value ever seen")
+    by = [*_PAIR, "as_of", "horizon"]
+    q = store.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("quantile", "value"))).alias("q")).withColumn("v", F.transform("q", lambda x: x["value"]))
+    names = F.transform("q", lambda x: x["quantile"])
+    falls = F.exists(F.sequence(F.lit(2), F.size("v")), lambda i: F.element_at("v", i) < F.element_at("v", i - 1))
+    found = F.array_compact(F.array(
+        F.when(F.col("horizon") <= 0, "window"), F.when(F.exists(names, lambda x: (x <= 0) | (x >= 1)), "quantile"),
+        F.when((F.size("v") > 1) & F.when(F.size("v") > 1, falls).otherwise(False), "falling"), F.when(~F.array_contains(names, alpha), "alpha"),
+    ))
+    return q.select(*by, F.explode(found).alias("finding"))
 
 
 def error_metrics(scored: DataFrame) -> DataFrame:

@@ -62,6 +62,24 @@ class Params:
     most_lost: int = 20
     variation_days: int = 28
     variation_factor: float = 2.0
+    lags: tuple[int, ...] = (7, 28)
+    feature_windows: tuple[int, ...] = (14, 28)
+    active_features: tuple[str, ...] = (
+        "lag_units_7", "lag_units_28", "rolling_mean_units_14d", "rolling_mean_units_28d", "rolling_sum_units_28d", "share_days_with_sale_28d", "promo_share_28d", "promo_known_share_28d",
+        "days_since_last_sale", "days_since_last_promo", "category", "item_class", "is_perishable", "iso_weekday", "days_to_payday",
+    )
+    feature_dates: tuple[date, ...] = (date(1999, 1, 1), date(1999, 7, 5), date(2000, 7, 3))
+    origin_days: int = 7
+    least_origins: int = 8
+    boost_rounds: int = 12
+    boost_depth: int = 2
+    boost_rate: float = 0.3
+    boost_bins: int = 32
+    boost_least_rows: int = 20
+    evaluation_days: int = 28
+    evaluation_end: date = date(2000, 12, 1)
+    ask_alpha: float = 0.9
+    known_orders: int = 15000
 
 
 PARAMS = Params()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_up_to_pack
-from ..operators import calendar, forecast, ledger, ordering
+from ..operators import calendar, features, forecast, ledger, ordering
 from ..params import PARAMS as P
 from .retail import _BASE, _POINTS, ORACLE_SQL, QUERIES, _panel, _query, _rounded
 
@@ -47,11 +47,21 @@ def k6(spark, sf_dir):
     return _days(spark, sf_dir).select("date", calendar.next_order_day(F.col("date"), P.order_days).alias("next_day"))
 
 
-@_query("k7_x8_window_demand", f"{_POINTS}, {_ORIGINS} select store_id, item_id, date as origin, date + {P.horizon - 1} last_day, round(actual, 4) target from pts0 join origins using (date) where n_ahead = {P.horizon}")
+_ASKED = f"""{_ORIGINS}, asked as (select store_id, item_id, date as_of from (select distinct cast(store_nbr as varchar) store_id, cast(item_nbr as varchar) item_id from lives) cross join origins),
+targets as (select a.store_id, a.item_id, a.as_of, coalesce(sum(units_sold), 0) target from asked a left join panel p on p.store_id = a.store_id and p.item_id = a.item_id and p.date between a.as_of and a.as_of + {P.horizon - 1} group by all)"""
+
+
+def _asked(spark: SparkSession, history: DataFrame) -> DataFrame:
+    """Every pair of the panel at every origin, with its horizon."""
+    dates = F.sequence(F.date_add(F.lit(P.window_start), 28), F.lit(P.as_of), F.expr(f"interval {P.origin_days} days"))
+    return features.at_dates(history.select("store_id", "item_id").distinct(), dates).withColumn("horizon", F.lit(P.horizon))
+
+
+@_query("k7_x8_window_demand", f"{_ASKED} select store_id, item_id, as_of as origin, as_of + {P.horizon - 1} last_day, round(target, 4) target from targets")
 def x8(spark, sf_dir):
-    origins = _origins(spark)
-    found = _points(spark, sf_dir).filter("actual is not null").join(F.broadcast(origins), F.col("date") == F.col("origin"))
-    return found.select("store_id", "item_id", "origin", F.date_add("origin", P.horizon - 1).alias("last_day"), F.round("actual", 4).alias("target"))
+    history = _panel(spark, sf_dir)
+    found = features.window_targets(history, _asked(spark, history))
+    return found.select("store_id", "item_id", F.col("as_of").alias("origin"), F.date_add("as_of", P.horizon - 1).alias("last_day"), F.round("target", 4).alias("target"))
 
 
 def _origins(spark: SparkSession) -> DataFrame:
@@ -69,18 +79,26 @@ def x9(spark, sf_dir):
     return items.join(codes, "family").select("item_nbr", "family", "code")
 
 
+_RETRAINS = f"retrains(retrain) as (values {', '.join(f"(date '{d}')" for d in P.retrains)})"
+
+
 @_query(
     "x12_training_panel",
-    f"""{_POINTS}, {_ORIGINS}, retrains(retrain) as (values {', '.join(f"(date '{d}')" for d in P.retrains)}),
-f as (select store_id, item_id, date, avg(units_sold) over w "mean", avg(cast(units_sold > 0 as double)) over w sale_share from panel window w as (partition by store_id, item_id order by date range between interval 28 day preceding and interval 1 day preceding))
-select store_id, item_id, date, retrain, round("mean", 9) "mean", round(sale_share, 9) sale_share, round(actual, 4) actual, cast(retrain - date as bigint) age, round(pow(0.5, (retrain - date) / {P.half_life}), 9) weight
-from f join origins using (date) join pts0 using (store_id, item_id, date) join retrains on date + {P.horizon} <= retrain where n_ahead = {P.horizon}""",
+    f"""{_ASKED}, {_RETRAINS}
+select store_id, item_id, as_of, retrain, round(avg(units_sold), 9) "mean", round(avg(cast(units_sold > 0 as double)), 9) sale_share, round(any_value(target), 4) target, cast(retrain - as_of as bigint) age, round(pow(0.5, (retrain - as_of) / {P.half_life}), 9) weight
+from targets t join retrains on as_of + {P.horizon} <= retrain left join panel p using (store_id, item_id) where p.date between as_of - 28 and as_of - 1 group by all
+union all by name select store_id, item_id, as_of, retrain, round(target, 4) target, cast(retrain - as_of as bigint) age, round(pow(0.5, (retrain - as_of) / {P.half_life}), 9) weight
+from targets t join retrains on as_of + {P.horizon} <= retrain where not exists (select 1 from panel p where p.store_id = t.store_id and p.item_id = t.item_id and p.date between as_of - 28 and as_of - 1)""",
 )
 def x12(spark, sf_dir):
-    features = forecast.window_features(_panel(spark, sf_dir), 28).select("store_id", "item_id", "date", "mean", "sale_share")
+    history = _panel(spark, sf_dir)
+    asked = _asked(spark, history)
+    rows = features.history_features(history, asked.drop("horizon"), (), (28,))
+    rows = rows.select("store_id", "item_id", "as_of", F.col("rolling_mean_units_28d").alias("mean"), F.col("share_days_with_sale_28d").alias("sale_share"))
     retrains = spark.createDataFrame([(d,) for d in P.retrains], "retrain date")
-    out = forecast.training_panel(features, _points(spark, sf_dir), _origins(spark), retrains, P.horizon, P.half_life)
-    return _rounded(_rounded(out, "mean", "sale_share", "weight", places=9), "actual", places=4)
+    panel = features.usable_origins(rows.join(features.window_targets(history, asked), ["store_id", "item_id", "as_of"]), retrains, P.least_origins)
+    out = panel.withColumn("weight", F.pow(F.lit(0.5), F.col("age") / P.half_life)).drop("horizon")
+    return _rounded(_rounded(out, "mean", "sale_share", "weight", places=9), "target", places=4)
 
 
 _S, _L = ("partition by store_id, item_id order by date range between interval {} day preceding and interval 1 day preceding".format(7 * w) for w in (P.season_weeks, P.level_weeks))

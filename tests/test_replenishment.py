@@ -9,7 +9,8 @@ FIRST = dt.date(2020, 1, 6)
 
 
 def test_every_query_has_sql():
-    assert set(replenishment.QUERIES) == set(replenishment.ORACLE_SQL)
+    # what a model learns is beyond SQL: its trees are tested against a plain version in test_learning.py
+    assert set(replenishment.QUERIES) - set(replenishment.ORACLE_SQL) <= {"m10_quantile_model", "m13_prediction_grid"} and set(replenishment.ORACLE_SQL) <= set(replenishment.QUERIES)
 
 
 @pytest.mark.parametrize(("day", "expected"), [("2023-02-15", 0), ("2023-02-16", 12), ("2023-12-31", 0), ("2024-02-28", 1), ("2023-01-30", 1)])

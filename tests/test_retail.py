@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from larder.functions.columns import round_up_to_pack
 from larder.operators import contracts, forecast, guards, panel, profiling
-from larder.plans import replenishment, retail
+from larder.plans import learning, replenishment, reporting, retail, tables  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(replenishment.QUERIES))
+@pytest.mark.parametrize("name", sorted(retail.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     df = retail.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
