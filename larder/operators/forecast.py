@@ -169,6 +169,26 @@ def error_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
+def demand_classes(history: DataFrame, before, interval: float, variation: float) -> DataFrame:
+    """(store_id, item_id, demand_class) from the days before `before` alone: erratic where the units of days with a sale vary much (squared variation), else intermittent where sales are far apart, else regular; none where nothing was sold."""
+    known = history.filter(F.col("date") < F.lit(before))
+    sold = F.when(F.col("units_sold") > 0, F.col("units_sold"))
+    out = known.groupBy(*_PAIR).agg(F.count("*").alias("n"), F.count(sold).alias("k"), F.avg(sold).alias("m"), F.var_pop(sold).alias("v"))
+    kind = F.when(F.col("k") == 0, "none").when(F.round(F.col("v") / (F.col("m") * F.col("m")), 9) >= variation, "erratic").when(F.round(F.col("n") / F.col("k"), 9) >= interval, "intermittent").otherwise("regular")
+    return out.select(*_PAIR, kind.alias("demand_class"))
+
+
+def methods_compared(scored: DataFrame, rival: str) -> DataFrame:
+    """Per demand class and method, over rows (store_id, item_id, as_of, demand_class, method, point, actual, unit_value, masked) that every method has a point for and that are not masked: absolute error relative to the rival's on the same rows, absolute error weighted by value, bias; null where what divides is 0."""
+    rows = scored.filter(~F.coalesce("masked", F.lit(False)) & F.col("actual").isNotNull())
+    by = Window.partitionBy(*_PAIR, "as_of")
+    whole = rows.withColumns({"lacks": F.count_if(F.col("point").isNull()).over(by), "rival": F.max(F.when(F.col("method") == rival, F.col("point"))).over(by)}).filter("lacks = 0 and rival is not null")
+    miss, other, value = F.col("point") - F.col("actual"), F.col("rival") - F.col("actual"), F.col("unit_value")
+    return whole.groupBy("demand_class", "method").agg(
+        F.count("*").alias("n"), F.try_divide(F.sum(F.abs(miss)), F.sum(F.abs(other))).alias("relative_mae"), F.try_divide(F.sum(F.abs(miss) * value), F.sum(F.col("actual") * value)).alias("wape"), F.try_divide(F.sum(miss), F.sum("actual")).alias("bias"),
+    )
+
+
 def quantile_metrics(scored: DataFrame) -> DataFrame:
     """By store and quantile, over rows with an actual: share at or below the forecast, and pinball loss."""
     e = F.col("actual") - F.col("value")

@@ -14,7 +14,7 @@ def margin_cutoff(candidates: DataFrame, budget: float) -> DataFrame:
 
 
 def cash_rule(candidates: DataFrame, floor_share: float) -> DataFrame:
-    """The whole rule by store and scenario (columns store_id, scenario, budget): kept or not, and why.
+    """The whole rule by store and scenario (columns store_id, scenario, budget): kept or not, and why; cash_flag is null, reduced or protected by the floor, and shortfall what the protected lack.
 
     All stay where the budget holds them. Else each category's protected orders stay, and headroom of all categories as far as
     the first by margin that the rest does not hold. Where the protected alone are too much, categories are granted their
@@ -37,8 +37,12 @@ def cash_rule(candidates: DataFrame, floor_share: float) -> DataFrame:
     granted = by.groupBy(*key).agg(order.alias("c"), F.max("budget").alias("b")).select(*key, walk["granted"].alias("granted"))
     rows = rows.withColumn("spent", spent).join(granted, key)
     fits, short = F.col("total") <= F.col("budget"), F.col("protected") > F.col("budget")
+    alone = F.sum("value").over(Window.partitionBy(*key).orderBy(F.desc("margin"), "item_id").rowsBetween(Window.unboundedPreceding, 0)) <= F.col("budget")
     kept = F.when(fits, True).when(short, ~F.col("is_headroom") & F.array_contains("granted", F.col("category"))).otherwise(~F.col("is_headroom") | (F.col("spent") <= F.col("budget") - F.col("protected")))
-    return rows.withColumns({"kept": kept, "case_": F.when(fits, "all").when(short, "shortfall").otherwise("floor")})
+    rows = rows.withColumns({"alone": alone, "kept": kept, "case_": F.when(fits, "all").when(short, "shortfall").otherwise("floor")})
+    # what stays only because its category is protected, where the margin's order alone would have cut it
+    flag = F.when(~F.col("kept"), "reduced").when(~F.col("is_headroom") & ~F.col("alone"), "protected by the floor")
+    return rows.withColumn("cash_flag", flag).withColumn("shortfall", F.when(F.col("case_") == "shortfall", F.col("protected") - F.col("budget"))).drop("alone")
 
 
 def floor_and_headroom(candidates: DataFrame, floor_share: float) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAIR = ["store_id", "item_id"]
@@ -21,6 +23,13 @@ def returns_without_sale(history: DataFrame, days: int) -> DataFrame:
     return history.withColumn("n_sold", sold).filter("units_returned > 0 and n_sold = 0").select(*PAIR, "date", "units_returned")
 
 
+def regular_zero_days(history: DataFrame, days: int, least_share: float) -> DataFrame:
+    """Occurrences of days without a sale where the pair sold something on at least that share of the days before, all of which are there."""
+    before = Window.partitionBy(*PAIR).orderBy(F.unix_date("date")).rangeBetween(-days, -1)
+    share, n = F.avg((F.col("units_sold") > 0).cast("double")).over(before), F.count("*").over(before)
+    return history.select("item_id", "date", "units_sold", share.alias("s"), n.alias("n")).filter((F.col("units_sold") == 0) & (F.col("n") == days) & (F.col("s") >= least_share)).select("item_id", "date", F.lit("0").alias("value"))
+
+
 def check_summary(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Per check, zero findings included: its findings and their share of all rows, from one pass."""
     counts = rows.agg(F.count("*").alias("n_rows"), *(F.count_if(c).alias(name) for name, c in checks.items()))
@@ -28,6 +37,89 @@ def check_summary(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counts.select("n_rows", each.alias("e")).select("e.check", "e.n_findings", F.try_divide("n_findings", "n_rows").alias("share"))
 
 
+def divergent_units(rows: DataFrame, code: str, value: str) -> DataFrame:
+    """Occurrences (item_id, date, value) of codes that have several values, which are listed in order; a code's values are few."""
+    out = rows.groupBy(F.col(code).alias("item_id")).agg(F.array_sort(F.collect_set(value)).alias("v")).filter(F.size("v") > 1)
+    return out.select("item_id", F.lit(None).cast("date").alias("date"), F.array_join("v", " | ").alias("value"))
+
+
+def receipts_before_orders(entries: DataFrame) -> DataFrame:
+    """Occurrences of goods that came before they were ordered; entries without an order date are none."""
+    bad = entries.filter(F.col("received_date") < F.col("order_date"))
+    return bad.select("item_id", F.col("received_date").alias("date"), F.concat_ws(" < ", F.col("received_date").cast("string"), F.col("order_date").cast("string")).alias("value"))
+
+
+def active_items(sales: DataFrame, days: int) -> DataFrame:
+    """Items that sold something on the last `days` days of sales."""
+    last = sales.agg(F.max("date").alias("last_day"))  # one row
+    return sales.join(F.broadcast(last), F.col("date") > F.date_sub("last_day", days)).filter("units_sold > 0").select("item_id").distinct()
+
+
+def registry_gaps(items: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(active codes of the registry, occurrences of those among them without a pack): a code has one if any of its rows does."""
+    known = items.join(active, "item_id", "left_semi").groupBy("item_id").agg(F.bool_or(F.col("pack_multiple").isNotNull()).alias("has_pack"))
+    return known, known.filter("not has_pack").select("item_id", F.lit(None).cast("date").alias("date"), F.lit("no pack").alias("value"))
+
+
+@dataclass(frozen=True)
+class Check:
+    """A check of the report: its occurrences (item_id, date, value) and the rows that it looked at; or why it was not evaluated."""
+
+    name: str
+    occurrences: DataFrame | None = None
+    base: DataFrame | None = None
+    reason: str | None = None
+    #: the check is critical too where less than this share of its base is without findings
+    least_sound: float | None = None
+
+
+EXAMPLES = 5
+
+
+def report(spark: SparkSession, checks: list[Check], limit: float) -> DataFrame:
+    """(check, status, reason, base_rows, n, share, critical, examples): a row per check. One that was not evaluated has its reason and no counts, which is not the same as no findings.
+
+    examples: the first five by item, date and value; they are cut before the exchange. critical: the share of findings is above the limit.
+    """
+    kind = "check string, status string, reason string, least_sound double"
+    names = spark.createDataFrame([(c.name, "not evaluated" if c.reason else "evaluated", c.reason, c.least_sound) for c in checks], kind)
+    held = [c for c in checks if c.reason is None]
+    none = spark.createDataFrame([], "check string, item_id string, date date, value string")
+    found, bases = none, spark.createDataFrame([], "check string, base_rows long")
+    for c in held:
+        found = found.unionByName(c.occurrences.select(F.lit(c.name).alias("check"), F.col("item_id").cast("string").alias("item_id"), "date", "value"))
+        bases = bases.unionByName(c.base.agg(F.count("*").alias("base_rows")).select(F.lit(c.name).alias("check"), "base_rows"))
+    counts = found.groupBy("check").agg(F.count("*").alias("n"))
+    first = found.withColumn("i", F.row_number().over(Window.partitionBy("check").orderBy("item_id", "date", "value"))).filter(F.col("i") <= EXAMPLES)
+    shown = first.groupBy("check").agg(F.array_sort(F.collect_list(F.struct("i", "item_id", "date", "value"))).alias("e"))
+    rows = names.join(bases, "check", "left").join(counts, "check", "left").join(shown, "check", "left")
+    evaluated = F.col("status") == "evaluated"
+    n = F.when(evaluated, F.coalesce("n", F.lit(0).cast("long")))
+    share = F.when(evaluated, F.coalesce(F.try_divide(n, F.col("base_rows")), F.lit(0.0)))
+    critical = evaluated & ((share > limit) | F.coalesce(1 - share < F.col("least_sound"), F.lit(False)))
+    examples = F.when(evaluated, F.coalesce(F.transform("e", lambda x: F.struct(x["item_id"].alias("item_id"), x["date"].alias("date"), x["value"].alias("value"))), F.array().cast("array<struct<item_id:string,date:date,value:string>>")))
+    return rows.select("check", "status", "reason", "base_rows", n.alias("n"), share.alias("share"), critical.alias("critical"), examples.alias("examples"))
+
+
+def diff_samples(expected: DataFrame, actual: DataFrame, keys: list[str], samples: int = EXAMPLES) -> DataFrame:
+    """(what, n, samples): columns that only one table has, rows that only one has, and per shared column the rows that differ, with the first keys of each and both values as text. What does not differ has no row.
+
+    Keys are unique; nulls equal nulls, in keys too. Samples are cut before the exchange.
+    """
+    shared = [c for c in expected.columns if c in actual.columns and c not in keys]
+    only = [("column only in expected", c) for c in expected.columns if c not in actual.columns] + [("column only in actual", c) for c in actual.columns if c not in expected.columns]
+    out = expected.sparkSession.createDataFrame([(f"{why}: {c}",) for why, c in only], "what string").select("what", F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<string>").alias("samples"))
+    side = lambda df, p: df.select(F.struct(*keys).alias(f"{p}_key"), F.struct(F.lit(1).alias("_"), *shared).alias(p))
+    both = side(expected, "x").join(side(actual, "y"), F.col("x_key").eqNullSafe(F.col("y_key")), "full")
+    said = [F.when(F.col("y").isNull(), F.struct(F.lit("row only in expected").alias("what"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"))), F.when(F.col("x").isNull(), F.struct(F.lit("row only in actual").alias("what"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y")))]
+    there = F.col("x").isNotNull() & F.col("y").isNotNull()
+    said += [F.when(there & ~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), F.struct(F.lit(c).alias("what"), F.col(f"x.{c}").cast("string").alias("x"), F.col(f"y.{c}").cast("string").alias("y"))) for c in shared]
+    rows = both.select(F.coalesce("x_key", "y_key").alias("key"), F.explode(F.array_compact(F.array(*said))).alias("d")).select("d.what", F.to_json(F.struct("key", "d.x", "d.y"), {"ignoreNullFields": "false"}).alias("sample"))
+    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("what").orderBy("sample"))).filter(F.col("i") <= samples)
+    shown = first.groupBy("what").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    return out.unionByName(rows.groupBy("what").agg(F.count("*").alias("n")).join(shown, "what").select("what", "n", "samples"))
+
+
 def table_diff(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that only one table has, and per column the rows of equal keys that differ, nulls equal to each other.
 

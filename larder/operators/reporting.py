@@ -10,9 +10,9 @@ DAYS_A_MONTH = 30
 
 def store_totals(money: DataFrame) -> DataFrame:
     """Per store: sums over its items, and margin and stockout cost of a month of 30 days."""
-    out = money.groupBy("store_id").agg(F.sum("margin").alias("margin"), F.sum("stockout_cost").alias("stockout_cost"), F.sum("mean_capital").alias("capital"), F.max("n_days").alias("n_days"))
+    out = money.groupBy("store_id").agg(F.sum("margin").alias("margin"), F.sum("stockout_cost").alias("stockout_cost"), F.sum("loss").alias("loss"), F.sum("mean_capital").alias("capital"), F.max("n_days").alias("n_days"))
     months = F.col("n_days") / DAYS_A_MONTH
-    return out.withColumns({"monthly_margin": F.col("margin") / months, "monthly_stockout_cost": F.col("stockout_cost") / months})
+    return out.withColumns({f"monthly_{c}": F.col(c) / months for c in ("margin", "stockout_cost", "loss")})
 
 
 def margin_sensitivity(totals: DataFrame, factors: tuple[float, ...]) -> DataFrame:
@@ -21,13 +21,16 @@ def margin_sensitivity(totals: DataFrame, factors: tuple[float, ...]) -> DataFra
     return by.select("store_id", "factor", (F.col("margin") * F.col("factor")).alias("margin"), (F.col("stockout_cost") * F.col("factor")).alias("stockout_cost"))
 
 
-def most_lost(money: DataFrame, n: int) -> DataFrame:
-    """The n pairs that lose most margin to stockouts; ties go to the smaller store, then item."""
-    return money.filter("stockout_cost > 0").orderBy(F.desc("stockout_cost"), "store_id", "item_id").limit(n)
+def most_lost(money: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The n pairs that lose most margin to stockouts, with the share of the margin they could have made and their item's columns; ties go to the smaller store, then item."""
+    top = money.orderBy(F.desc("stockout_cost"), "store_id", "item_id").limit(n)
+    return top.join(items, "item_id", "left").withColumn("lost_share", F.try_divide(F.col("stockout_cost"), F.col("stockout_cost") + F.col("margin")))
 
 
-def sale_day_share(history: DataFrame) -> DataFrame:
-    return history.groupBy("store_id", "item_id").agg(F.avg((F.col("units_sold") > 0).cast("double")).alias("sale_day_share"))
+def item_decomposition(ledger: DataFrame, money: DataFrame, start) -> DataFrame:
+    """money with the days of the ledger from `start` on, and the days and share of them on which the pair sold something."""
+    days = ledger.filter(F.col("date") >= F.lit(start)).groupBy("store_id", "item_id").agg(F.count("*").alias("days"), F.count_if(F.col("sold") > 0).alias("sale_days"))
+    return money.join(days.withColumn("sale_day_share", F.col("sale_days") / F.col("days")), ["store_id", "item_id"], "left")
 
 
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -80,6 +80,27 @@ class Params:
     evaluation_end: date = date(2000, 12, 1)
     ask_alpha: float = 0.9
     known_orders: int = 15000
+    # category, units of a pack, least order value, days of shelf life
+    category_terms: tuple[tuple[str, float, float, float], ...] = (
+        ("FAMILY 0", 6.0, 200.0, 3.0), ("FAMILY 1", 4.0, 0.0, 14.0), ("FAMILY 2", 1.0, 500.0, 30.0), ("FAMILY 3", 12.0, 50.0, 7.0), ("FAMILY 4", 2.0, 5000.0, 30.0), ("FAMILY 5", 3.0, 100.0, 4.0),
+    )
+    # suppliers that take orders on other days than order_days
+    supplier_days: tuple[tuple[str, tuple[int, ...]], ...] = (("SUP-FAMILY_5", (2, 5)),)
+    weekly_budget: float = 420.0
+    critical_share: float = 0.02
+    least_complete: float = 0.90
+    regular_days: int = 28
+    regular_share: float = 0.80
+    test_days: int = 84
+    # the mean days between sales and the squared variation of their units from which demand is intermittent or erratic
+    class_interval: float = 1.32
+    class_variation: float = 0.49
+    held_days: int = 6
+    capital_cost: float = 0.24
+    # what a scenario is called until its day; the last one has no end
+    scenarios: tuple[tuple[str, date], ...] = (("stale", date(1999, 9, 1)), ("recalibrated", date(2000, 5, 1)), ("model", date(2001, 1, 1)))
+    coverage: tuple[tuple[str, float], ...] = (("stale", 8.96), ("recalibrated", 20.0))
+    service_target: float = 0.7
 
 
 PARAMS = Params()

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_up_to_pack
 from ..operators import calendar, features, forecast, ledger, ordering
 from ..params import PARAMS as P
-from .retail import _BASE, _POINTS, ORACLE_SQL, QUERIES, _panel, _query, _rounded
+from ..sources.intermediate import written
+from ..sources.retail import raw_items, raw_sales
+from .retail import _BASE, _MARGIN, _POINTS, ORACLE_SQL, QUERIES, _panel, _query, _rounded
 
 _ORIGINS = f"origins as (select cast(unnest(generate_series(date '{P.window_start}' + 28, date '{P.as_of}', interval 7 day)) as date) date)"
 
@@ -71,8 +75,6 @@ def _origins(spark: SparkSession) -> DataFrame:
 
 @_query("x9_category_codes", "select item_nbr, family, cast(dense_rank() over (order by family) - 1 as integer) code from items")
 def x9(spark, sf_dir):
-    from ..sources.retail import raw_items, raw_sales
-
     items = raw_items(raw_sales(spark, sf_dir)).select("item_nbr", "family")
     # one row per family: far fewer than items
     codes = items.select("family").distinct().selectExpr("family", "row_number() over (order by family) - 1 as code")
@@ -132,8 +134,8 @@ _RIVAL = f"""rivals as (select store_id, item_id, date, case when count(*) over
 select store_id, count(*) n, round(avg(abs(point - actual)) / nullif(avg(abs(rival - actual)), 0), 6) relative_mae, round(sum(abs(point - actual) * v) / nullif(sum(actual * v), 0), 6) wape, round(sum(point - actual) / nullif(sum(actual), 0), 6) bias from e group by 1""",
 )
 def q24(spark, sf_dir):
-    key, history = ["store_id", "item_id", "date"], _panel(spark, sf_dir)
-    actual = _points(spark, sf_dir).join(_origins(spark), F.col("date") == F.col("origin")).select(*key, "actual", (5 + F.col("item_id").cast("long") % 10).cast("double").alias("unit_value"))
+    key, history = ["store_id", "item_id", "date"], written(_panel(spark, sf_dir))
+    actual = forecast.naive_points(history, P.naive_weeks, P.horizon).join(_origins(spark), F.col("date") == F.col("origin")).select(*key, "actual", (5 + F.col("item_id").cast("long") % 10).cast("double").alias("unit_value"))
     weekly = forecast.weekly_points(history, P.season_weeks, P.level_weeks, P.horizon).select(*key, "point")
     return _rounded(forecast.error_metrics(actual.join(weekly, key).join(forecast.seasonal_rival(history, P.horizon), key)), "relative_mae", "wape", "bias")
 
@@ -144,14 +146,14 @@ wq as (select d.store_id, d.item_id, qs.quantile, case when coalesce(n, 0) >= {P
   from (select * from wres where date = date '{P.as_of}') d cross join (values {', '.join(f"(cast({q} as double))" for q in P.quantiles)}) qs(quantile) left join wr on wr.store_id = d.store_id and wr.item_id = d.item_id and wr.quantile = qs.quantile)"""
 
 
-def _weekly_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weekly_quantiles(spark: SparkSession, sf_dir: str, history: DataFrame | None = None) -> DataFrame:
     key = ["store_id", "item_id", "date"]
-    history = _panel(spark, sf_dir)
+    history = written(_panel(spark, sf_dir)) if history is None else history
     # the index of every day comes from what lies before it, so each residual is one of a fit of its own
     points = forecast.weekly_points(history, P.season_weeks, P.level_weeks, P.horizon).select(*key, "point")
     known = forecast.naive_points(history, P.naive_weeks, P.horizon).select(*key, "actual", F.col("residual").isNotNull().alias("whole"))
     residuals = points.join(known, key).withColumn("residual", F.when(F.col("whole"), F.col("actual") - F.col("point")))
-    return forecast.naive_quantiles(residuals, P.as_of, P.horizon, P.quantiles, P.min_residuals)
+    return forecast.naive_quantiles(written(residuals), P.as_of, P.horizon, P.quantiles, P.min_residuals)
 
 
 @_query("m8_weekly_quantiles", f'{_POINTS}, {_WEEKLY}, {_WEEKLY_Q} select store_id, item_id, quantile, round(v, 6) "value" from wq')
@@ -184,7 +186,9 @@ select a.store_id, a.item_id, a.quantile, b.v "value", bool_or(a.v <> b.v) over
 def m11(spark, sf_dir):
     """Outer quantiles of the naive forecast about the weekly one's median: values from two fits, which may cross."""
     key = ["store_id", "item_id", "quantile"]
-    both = _quantiles(spark, sf_dir).join(_weekly_quantiles(spark, sf_dir).withColumnRenamed("value", "other"), key)
+    history = written(_panel(spark, sf_dir))
+    naive = forecast.naive_quantiles(written(forecast.naive_points(history, P.naive_weeks, P.horizon)), P.as_of, P.horizon, P.quantiles, P.min_residuals)
+    both = _rounded(naive, "value", places=9).join(_weekly_quantiles(spark, sf_dir, history).withColumnRenamed("value", "other"), key)
     return forecast.non_crossing(both.select(*key, F.round(F.when(F.col("quantile") == P.quantiles[1], F.col("other")).otherwise(F.col("value")), 6).alias("value")))
 
 
@@ -202,11 +206,12 @@ _NEED = f"pos as (select store_id, item_id, daily_mean daily, cast((cast(item_id
 
 
 def _needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per pair at as_of: trailing daily demand, position (made from its numbers: the tables hold no stock) and target level."""
+    """Per pair at as_of: trailing daily demand, position (made from its numbers: the tables hold no stock) and target level. Points are written once for both."""
     item, store = F.col("item_id").cast("long"), F.col("store_id").cast("long")
-    level = _quantiles(spark, sf_dir).filter(F.col("quantile") == P.quantiles[-1]).select("store_id", "item_id", F.round("value", 6).alias("level"))
-    daily = _points(spark, sf_dir).filter(F.col("date") == F.lit(P.as_of)).select("store_id", "item_id", F.col("daily_mean").alias("daily"))
-    return daily.join(level, ["store_id", "item_id"]).withColumn("position", ((item * 13 + store * 7) % 20).cast("double"))
+    points = written(_points(spark, sf_dir))
+    level = forecast.naive_quantiles(points, P.as_of, P.horizon, P.quantiles, P.min_residuals).filter(F.col("quantile") == P.quantiles[-1]).select("store_id", "item_id", F.round(F.round("value", 9), 6).alias("level"))
+    daily = points.filter(F.col("date") == F.lit(P.as_of)).select("store_id", "item_id", F.col("daily_mean").alias("daily"))
+    return written(daily.join(level, ["store_id", "item_id"]).withColumn("position", ((item * 13 + store * 7) % 20).cast("double")))
 
 
 @_query(
@@ -241,7 +246,7 @@ def y1(spark, sf_dir):
     f"""{_POINTS}, {_QUANTILES}, {_NEED}, {_CAPPED},
 fresh as (select store_id, item_id, coalesce(date '{P.as_of}' - min(case when units_sold > 0 then date end) < {P.new_history_days}, true) or count(*) filter (where units_sold > 0) < {P.new_sale_days} is_new from panel where date < date '{P.as_of}' group by 1, 2),
 d as (select store_id, item_id, 'FAMILY ' || cast(cast(item_id as bigint) % 6 as varchar) category, quantity, is_new from capped join fresh using (store_id, item_id))
-select d.store_id, d.item_id, d.is_new, round(case when is_new then coalesce(c.m, s.m, quantity) else quantity end, 6) quantity from d
+select d.store_id, d.item_id, d.is_new, round(case when is_new then coalesce(c.m, s.m, 0) else quantity end, 6) quantity from d
 left join (select store_id, category, median(quantity) m from d where not is_new group by 1, 2) c on c.store_id = d.store_id and c.category = d.category left join (select store_id, median(quantity) m from d where not is_new group by 1) s on s.store_id = d.store_id""",
 )
 def y34(spark, sf_dir):
@@ -272,60 +277,95 @@ def g35(spark, sf_dir):
         "store_id", F.concat(F.lit("SUP-"), (item % 6).cast("string")).alias("supplier_id"), "item_id", "daily", "position", pack.alias("pack"), (8 + item % 5).cast("double").alias("unit_cost"),
         round_up_to_pack(F.col("quantity"), pack).alias("quantity"),
     )
-    return ordering.fill_to_minimum(orders, P.least_value, P.least_units, P.most_packs).select("store_id", "supplier_id", "item_id", "outcome", "order")
+    return ordering.fill_to_minimum(written(orders), P.least_value, P.least_units, P.most_packs).select("store_id", "supplier_id", "item_id", "outcome", "order")
+
+
+_START = f"date '{P.window_start}' + {P.warm_up_days}"
+_LEDGER = f"""with {_BASE},
+lines as (select cast(n_regionkey + 1 as varchar) store_id, cast(cast(substr(p_brand, 7) as bigint) as varchar) item_id, cast(l_shipdate as date) shipped, cast(o_orderdate as date) ordered, cast(l_quantity as double) q, l_returnflag f
+  from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join part on p_partkey = l_partkey left join orders on o_orderkey = l_orderkey),
+moves as (select store_id, item_id, shipped date, sum(q) demand, sum(case when f = 'A' then q else 0 end) unmet, sum(case when f = 'R' then q else 0 end) expired from lines group by 1, 2, 3),
+placed as (select store_id, item_id, ordered date, sum(q) "order" from lines where ordered is not null group by 1, 2, 3),
+led0 as (select store_id, item_id, date, coalesce(demand, 0) demand, coalesce(unmet, 0) unmet, coalesce(expired, 0) expired, "order" from panel left join moves using (store_id, item_id, date) left join placed using (store_id, item_id, date)),
+ledger as (select store_id, item_id, date, demand, demand - unmet sold, unmet, expired, "order", sum(demand) over (w range between current row and interval {P.held_days} day following) on_hand, coalesce(sum("order") over (w range between interval {P.lead_days} day preceding and interval 1 day preceding), 0) in_transit
+  from led0 window w as (partition by store_id, item_id order by date)),
+eco as (select cast(item_nbr as varchar) item_id, family category, cast({P.price_ref} as double) price, cast({_MARGIN} as double) margin_share, cast({P.price_ref} as double) * (1 - cast({_MARGIN} as double)) as cost from items),
+priced as (select l.*, price, cost from ledger l join eco using (item_id) where date >= {_START}) """
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines by store and item, with the days of shipment and order."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines = read("lineitem").join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(read("part"), F.col("p_partkey") == F.col("l_partkey"))
+    return lines.join(read("orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        (F.col("n_regionkey") + 1).cast("string").alias("store_id"), F.expr("cast(cast(substr(p_brand, 7) as bigint) as string)").alias("item_id"), F.col("l_shipdate").cast("date").alias("shipped"),
+        F.col("o_orderdate").cast("date").alias("ordered"), F.col("l_quantity").cast("double").alias("q"), F.col("l_returnflag").alias("f"),
+    )
+
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed ledger: lines that are flagged A were asked for and not served, R expired; orders stand on the day of their order."""
+    lines, key = written(_lines(spark, sf_dir)), ["store_id", "item_id"]
+    of = lambda flag: F.sum(F.when(F.col("f") == flag, F.col("q")).otherwise(0.0))
+    moves = lines.groupBy(*key, F.col("shipped").alias("date")).agg(F.sum("q").alias("demand"), of("A").alias("unmet"), of("R").alias("expired"))
+    orders = lines.filter("ordered is not null").groupBy(*key, F.col("ordered").alias("date")).agg(F.sum("q").alias("order"))
+    return ledger.observed(_panel(spark, sf_dir), moves, orders, P.held_days, P.lead_days)
 
-_RUN = f"""d as (select store_id, item_id, date, cast(row_number() over (partition by store_id, item_id order by date) as integer) i, units_sold demand, daily_mean * {P.lead_days + P.review_days} target from panel join pts using (store_id, item_id, date)),
-start as (select store_id, item_id, avg(demand) filter (where i <= {P.warm_up_days}) * {P.lead_days + P.review_days} initial from d group by 1, 2),
-run as (select store_id, item_id, 0 i, cast(null as date) date, 0.0::double demand, 0.0::double sold, 0.0::double ordered, initial on_hand, 0.0::double pending, 0 due from start
-  union all
-  select store_id, item_id, i, date, demand, sold, o, have - sold, case when o is not null then o when came then 0.0 else pending end, case when o is not null then i + {P.lead_days} else due end from (
-    select *, case when (i - 1) % {P.review_days} = 0 then greatest(0.0, target - (have - sold + case when came then 0.0 else pending end)) end o from (
-      select *, least(have, demand) sold from (
-        select d.store_id, d.item_id, d.i, d.date, d.demand, d.target, r.pending, r.due, r.due = d.i came, r.on_hand + case when r.due = d.i then r.pending else 0.0 end have
-        from run r join d on d.store_id = r.store_id and d.item_id = r.item_id and d.i = r.i + 1)))),
-ledger as (select store_id, item_id, date, demand, sold, demand - sold unmet, ordered, on_hand, pending in_transit, cast(10.0 as double) price, cast(7.0 + cast(item_id as bigint) % 3 as double) cost from run where i > 0)"""
-_LEDGER = f"with recursive {_BASE}, {_POINTS}, {_RUN} "
 
+def _start():
+    return P.window_start + timedelta(P.warm_up_days)
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cycle = P.lead_days + P.review_days
-    history = _panel(spark, sf_dir).select("store_id", "item_id", "date", F.col("units_sold").alias("demand"))
-    first = "min(date) over (partition by store_id, item_id)"
-    history = history.withColumn("warm", F.expr(f"case when datediff(date, {first}) < {P.warm_up_days} then demand end"))
-    history = history.withColumn("initial", F.expr(f"avg(warm) over (partition by store_id, item_id) * {cycle}")).drop("warm")
-    target = _points(spark, sf_dir).select("store_id", "item_id", "date", (F.col("daily_mean") * cycle).alias("target"))
-    cost = (7 + F.col("item_id").cast("long") % 3).cast("double")
-    return ledger.roll_forward(history.join(target, ["store_id", "item_id", "date"]), P.lead_days, P.review_days).withColumns({"price": F.lit(10.0), "cost": cost})
+
+def _economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = raw_items(raw_sales(spark, sf_dir)).select(F.col("item_nbr").cast("string").alias("item_id"), F.col("family").alias("category"))
+    return ledger.item_economics(items, P.margins, P.default_margin, P.price_ref)
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The priced ledger, written once for all that is asked of it."""
+    return written(ledger.priced(written(_ledger(spark, sf_dir)), _economics(spark, sf_dir), _start()))
+
+
+def _ratios(by: str, capital: str, days: str) -> str:
+    """SQL for the money columns; capital and days are expressions over what is grouped."""
+    return f"""{by}, round(sum(margin), 4) margin, round(sum(lost), 4) stockout_cost, round(sum(loss), 4) loss, round({capital}, 4) mean_capital, {days} n_days, round(sum(s) / nullif(sum(q), 0), 6) service_level,
+  round(sum(cogs) / nullif({capital}, 0) * 365 / {days}, 6) turn, round({capital} * {days} * {P.capital_cost} / 365, 4) carrying_cost, round((sum(margin) - sum(loss)) / nullif({capital}, 0), 6) decision_metric"""
+
+
+_DAY_MONEY = "sum(sold * (price - cost)) margin, sum(unmet * (price - cost)) lost, sum(expired * cost) loss, sum(on_hand * cost) capital, sum(sold * cost) cogs, sum(sold) s, sum(demand) q"
+
+
+def _money_rounded(df: DataFrame) -> DataFrame:
+    return _rounded(_rounded(df, "margin", "stockout_cost", "loss", "mean_capital", "carrying_cost", places=4), "service_level", "turn", "decision_metric")
 
 
 @_query("r1_ledger")
 def r1(spark, sf_dir):
-    return _rounded(_ledger(spark, sf_dir).drop("price", "cost"), "demand", "sold", "unmet", "order", "on_hand", "in_transit", places=4)
+    return _rounded(_ledger(spark, sf_dir), "demand", "sold", "unmet", "expired", "order", "on_hand", "in_transit", places=4)
+
+
+@_query("e1_item_economics")
+def e1(spark, sf_dir):
+    return _rounded(_economics(spark, sf_dir), "cost")
 
 
 @_query("e3_item_money")
 def e3(spark, sf_dir):
-    return _rounded(ledger.item_money(_ledger(spark, sf_dir)), "margin", "stockout_cost", "mean_capital", "service_level", "turn", places=4)
+    return _money_rounded(ledger.item_money(_priced(spark, sf_dir), P.capital_cost))
 
 
 @_query("e4_portfolio_money")
 def e4(spark, sf_dir):
-    return _rounded(ledger.portfolio_money(_ledger(spark, sf_dir)), "margin", "stockout_cost", "mean_capital", "service_level", places=4)
+    return _money_rounded(ledger.portfolio_money(_priced(spark, sf_dir), P.capital_cost))
 
 
 @_query("e5_daily_margin")
 def e5(spark, sf_dir):
-    return _rounded(ledger.daily_margin(_ledger(spark, sf_dir)), "net_margin", "running", places=4)
+    return _rounded(ledger.daily_margin(_priced(spark, sf_dir)), "net_margin", "running", places=4)
 
 
-ORACLE_SQL["r1_ledger"] = _LEDGER + 'select store_id, item_id, date, round(demand, 4) demand, round(sold, 4) sold, round(unmet, 4) unmet, round(ordered, 4) "order", round(on_hand, 4) on_hand, round(in_transit, 4) in_transit from ledger'
-ORACLE_SQL["e3_item_money"] = _LEDGER + (
-    "select store_id, item_id, round(sum(sold * (price - cost)), 4) margin, round(sum(unmet * (price - cost)), 4) stockout_cost, round(avg(on_hand * cost), 4) mean_capital, round(sum(sold) / nullif(sum(demand), 0), 4) service_level, count(*) n_days, "
-    'round(sum(sold * cost) * 365 / count(*) / nullif(avg(on_hand * cost), 0), 4) "turn" from ledger group by 1, 2'
-)
-ORACLE_SQL["e4_portfolio_money"] = _LEDGER + (
-    "select store_id, round(sum(margin), 4) margin, round(sum(lost), 4) stockout_cost, round(avg(capital), 4) mean_capital, round(sum(s) / nullif(sum(q), 0), 4) service_level from "
-    "(select store_id, date, sum(sold * (price - cost)) margin, sum(unmet * (price - cost)) lost, sum(on_hand * cost) capital, sum(sold) s, sum(demand) q from ledger group by 1, 2) group by 1"
-)
-ORACLE_SQL["e5_daily_margin"] = _LEDGER + "select store_id, date, round(x, 4) net_margin, round(sum(x) over (partition by store_id order by date rows unbounded preceding), 4) running from (select store_id, date, sum((sold - unmet) * (price - cost)) x from ledger group by 1, 2)"
+ORACLE_SQL["r1_ledger"] = _LEDGER + 'select store_id, item_id, date, round(demand, 4) demand, round(sold, 4) sold, round(unmet, 4) unmet, round(expired, 4) expired, round("order", 4) "order", round(on_hand, 4) on_hand, round(in_transit, 4) in_transit from ledger'
+ORACLE_SQL["e1_item_economics"] = _LEDGER + "select item_id, price, round(cost, 6) as cost, margin_share margin from eco"
+ORACLE_SQL["e3_item_money"] = _LEDGER + f"select {_ratios('store_id, item_id', 'avg(capital)', 'count(*)')} from (select store_id, item_id, date, {_DAY_MONEY} from priced group by all) group by all"
+ORACLE_SQL["e4_portfolio_money"] = _LEDGER + f"select {_ratios('store_id', 'avg(capital)', 'count(*)')} from (select store_id, date, {_DAY_MONEY} from priced group by all) group by all"
+ORACLE_SQL["e5_daily_margin"] = _LEDGER + "select store_id, date, round(x, 4) net_margin, round(sum(x) over (partition by store_id order by date rows unbounded preceding), 4) running from (select store_id, date, sum(sold * (price - cost) - expired * cost) x from priced group by 1, 2)"

@@ -344,13 +344,14 @@ def v8(spark, sf_dir):
     return contracts.duplicate_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
-_DAYS = "sd as (select l_suppkey supplier, isodow(l_shipdate) d from lineitem where l_linenumber = 7 and l_quantity > 45 group by 1, 2)"
+_DAYS = "sd as (select supplier, d from (select l_suppkey supplier, isodow(l_shipdate) d, count(*) c, sum(count(*)) over (partition by l_suppkey) n from lineitem group by 1, 2) where 7 * c > n)"
 
 
 def _order_days(spark, sf_dir):
-    """Weekdays on which each supplier's large seventh lines are shipped: the order days that its suppliers' table would state."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 7 and l_quantity > 45")
-    return lines.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_set(F.weekday("l_shipdate") + 1).alias("days"))
+    """Weekdays on which a supplier ships more than a seventh of its lines: the order days that its suppliers' table would state."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("supplier"), (F.weekday("l_shipdate") + 1).alias("d")).agg(F.count("*").alias("c"))
+    days = lines.groupBy("supplier").agg(F.collect_list(F.struct("d", "c")).alias("all"), F.sum("c").alias("n"))
+    return days.select("supplier", F.transform(F.filter("all", lambda x: 7 * x["c"] > F.col("n")), lambda x: x["d"]).alias("days")).filter(F.size("days") > 0)
 
 
 @_query("v7_array_findings", f"{_DAYS}, a as (select supplier, count(*) n, bool_or(d > 5) o from sd group by 1) select count(*) filter (where n < 3) n_short, count(*) filter (where o) n_out_of_bounds, count(*) n_rows from a")
@@ -375,7 +376,7 @@ def v9(spark, sf_dir):
 
 
 _CASH = f"""scen(scenario, share) as (values {', '.join(f"({k}, cast({c} as double))" for k, c in enumerate(P.cash_shares))}),
-cc as (select scenario, c.*, round(share * sum(value) over (partition by scenario, store_id), 2) budget from cand c cross join scen),
+cc as (select scenario, c.*, floor(share * sum(value) over (partition by scenario, store_id) * 100 + 0.001) / 100 budget from cand c cross join scen),
 c1 as (select *, sum(value) over (partition by scenario, store_id, category order by margin, item_id rows unbounded preceding) <= {1 - P.floor_share} * sum(value) over (partition by scenario, store_id, category) hr from cc),
 c2 as (select *, sum(value) over (partition by scenario, store_id) total, sum(case when not hr then value else 0 end) over (partition by scenario, store_id) protected,
   sum(value) over (partition by scenario, store_id, hr order by margin desc, item_id rows unbounded preceding) spent from c1),
@@ -388,11 +389,12 @@ walk as (select scenario, store_id, cast(0 as bigint) k, max(budget) room, cast(
 def y9(spark, sf_dir):
     shares = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.lit(c).alias("share")) for k, c in enumerate(P.cash_shares))))
     rows = _candidates(spark, sf_dir).withColumn("s", shares).select("*", "s.scenario", "s.share")
-    rows = rows.withColumn("budget", F.round(F.col("share") * F.sum("value").over(Window.partitionBy("scenario", "store_id")), 2))
-    return guards.cash_rule(rows, P.floor_share).select("scenario", "store_id", "item_id", "category", F.col("case_").alias("rule_case"), "kept")
+    rows = rows.withColumn("budget", F.floor(F.col("share") * F.sum("value").over(Window.partitionBy("scenario", "store_id")) * 100 + 0.001) / 100)
+    return guards.cash_rule(rows, P.floor_share).select("scenario", "store_id", "item_id", "category", F.col("case_").alias("rule_case"), "kept", "cash_flag", F.round("shortfall", 4).alias("shortfall"))
 
 
 ORACLE_SQL["y9_cash_rule"] = f"""with recursive {_BASE}, {_CANDIDATES}, {_CASH}
-select c2.scenario, c2.store_id, item_id, category, case when total <= budget then 'all' when protected > budget then 'shortfall' else 'floor' end rule_case,
-  case when total <= budget then true when protected > budget then not hr and w.got is not null else not hr or spent <= budget - protected end kept
-from c2 left join walk w on w.scenario = c2.scenario and w.store_id = c2.store_id and w.got = c2.category"""
+select * exclude (hr, alone), case when not kept then 'reduced' when not hr and not alone then 'protected by the floor' end cash_flag from (
+select c2.scenario, c2.store_id, item_id, category, case when total <= budget then 'all' when protected > budget then 'shortfall' else 'floor' end rule_case, hr, sum(value) over (partition by c2.scenario, c2.store_id order by margin desc, item_id rows unbounded preceding) <= budget alone,
+  case when total <= budget then true when protected > budget then not hr and w.got is not null else not hr or spent <= budget - protected end kept, case when total > budget and protected > budget then round(protected - budget, 4) end shortfall
+from c2 left join walk w on w.scenario = c2.scenario and w.store_id = c2.store_id and w.got = c2.category)"""

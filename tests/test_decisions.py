@@ -40,11 +40,16 @@ def test_category_floor(spark):
     rows = [("M1", "MEATS", 200.0, 0.05), ("M2", "MEATS", 200.0, 0.08), ("M3", "MEATS", 100.0, 0.12), ("B1", "BEVERAGES", 300.0, 0.9), ("B2", "BEVERAGES", 300.0, 0.85), ("B3", "BEVERAGES", 300.0, 0.8)]
     got = {r.item_id: (r.kept, r.case_) for r in guards.cash_rule(_candidates(spark, rows, 950), 0.6).collect()}
     assert got["M2"] == got["M3"] == (True, "floor") and not got["M1"][0]
+    # 300 of 900 are headroom: the worst of B; 600 of B and 300 of M are protected, and what is left holds neither
+    assert {k: got[k][0] for k in ("B1", "B2", "B3")} == {"B1": True, "B2": True, "B3": False}
+    flags = {r.item_id: (r.cash_flag, r.shortfall) for r in guards.cash_rule(_candidates(spark, rows, 950), 0.6).collect()}
+    assert flags == {"M1": ("reduced", None), "M2": ("protected by the floor", None), "M3": ("protected by the floor", None), "B1": (None, None), "B2": (None, None), "B3": ("reduced", None)}
 
 
 def test_floor_shortfall_grants_whole_categories(spark):
     got = {r.item_id: (r.kept, r.case_) for r in guards.cash_rule(_candidates(spark, [("a", "A", 600.0, 0.2), ("b", "B", 500.0, 0.1)], 800), 1.0).collect()}
     assert got == {"a": (True, "shortfall"), "b": (False, "shortfall")}
+    assert {r.shortfall for r in guards.cash_rule(_candidates(spark, [("a", "A", 600.0, 0.2), ("b", "B", 500.0, 0.1)], 800), 1.0).collect()} == {300.0}
     # a category that does not fit is passed over
     got = {r.item_id: r.kept for r in guards.cash_rule(_candidates(spark, [("a", "A", 900.0, 0.3), ("b", "B", 500.0, 0.2), ("c", "C", 200.0, 0.1)], 800), 1.0).collect()}
     assert got == {"a": False, "b": True, "c": True}

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from larder.operators import calendar, forecast, ledger, ordering
+from larder.operators import calendar, forecast, ordering
 from larder.plans import replenishment
 from pyspark.sql import functions as F
 
@@ -51,24 +51,6 @@ def test_unreachable_minimum_defers_the_whole_order(spark):
     assert {r.outcome for r in ordering.fill_to_minimum(orders, 4, 4, 2).collect()} == {"placed"}
 
 
-def test_ledger_in_a_steady_state(spark):
-    rows = [("s", "i", FIRST + dt.timedelta(k), 10.0, 100.0, 100.0) for k in range(70)]
-    days = spark.createDataFrame(rows, "store_id string, item_id string, date date, demand double, target double, initial double")
-    out = ledger.roll_forward(days, 3, 7).orderBy("date").collect()
-    assert [r.order for r in out if r.order is not None][1:] == [70.0] * 9
-    assert sum(r.unmet for r in out) == 0
-    assert all((r.order is None) == (k % 7 != 0) for k, r in enumerate(out))
-
-
-def test_lost_sales_and_a_null_without_demand(spark):
-    rows = [("s", i, FIRST + dt.timedelta(k), d, 0.0, 5.0) for i, d in (("a", 4.0), ("b", 0.0)) for k in range(3)]
-    days = spark.createDataFrame(rows, "store_id string, item_id string, date date, demand double, target double, initial double")
-    priced = ledger.roll_forward(days, 1, 7).withColumns({"price": F.lit(10.0), "cost": F.lit(8.0)})
-    got = {r.item_id: r for r in ledger.item_money(priced).collect()}
-    assert got["a"].margin == 10 and got["a"].stockout_cost == 14 and got["a"].service_level == pytest.approx(5 / 12)
-    assert got["b"].service_level is None and got["b"].turn == 0
-
-
 def test_coverage_cap(spark):
     q = lambda *v: spark.range(1).select(*(c.alias(n) for c, n in zip(ordering.coverage_cap(F.lit(v[0]), F.lit(v[1]), 5, F.lit(v[2]), F.lit(v[3])), "qcx", strict=True))).first()
     assert tuple(q(100.0, 10.0, 2.0, 5.0)) == (15.0, True, False)
