@@ -54,3 +54,20 @@ def holiday_flags(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return joined.select(
         *days.columns, false(F.col("national")).alias("is_holiday_national"), false(F.array_contains("Regional", F.col("state"))).alias("is_holiday_regional"), false(F.array_contains("Local", F.col("city"))).alias("is_holiday_local")
     )
+
+
+def store_locale(stores: DataFrame, store_nbr: int) -> tuple[str, str]:
+    """(state, city) of a store; none or several rows of it are an error."""
+    found = stores.filter(F.col("store_nbr") == store_nbr).select("state", "city").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"store {store_nbr}: {'no row' if not found else 'several rows'} in stores, one is expected")
+    return found[0].state, found[0].city
+
+
+def located(days: DataFrame, stores: DataFrame) -> DataFrame:
+    """days (store_nbr, date) with each store's state and city; a store with none or several rows is an error, which tells some."""
+    held = stores.groupBy("store_nbr").agg(F.count("*").alias("n"), F.first("state").alias("state"), F.first("city").alias("city"))
+    bad = days.select("store_nbr").distinct().join(held, "store_nbr", "left").filter("n is null or n > 1").orderBy("store_nbr").limit(5).collect()
+    if bad:
+        raise ValueError("rows in stores, where one is expected: " + ", ".join(f"{r.n or 0} of store {r.store_nbr}" for r in bad))
+    return days.join(held.drop("n"), "store_nbr")

@@ -92,6 +92,16 @@ def probable_stockouts(sales: DataFrame, window: int, least_mean: float, least_d
     return found.select(*KEYS, pattern.alias("is_censored"), F.when(pattern, "entries_unknown" if receipts is None else "no_recent_entry").alias("reason"))
 
 
+def flags_if_active(sales: DataFrame, active: bool, window: int, least_mean: float | None, least_days: int | None, receipts: DataFrame | None = None, quiet_days: int = 3) -> DataFrame | None:
+    """probable_stockouts() where censoring is switched on, else None. A threshold that is not set is an error only when it is needed, which names it."""
+    if not active:
+        return None
+    unset = [name for name, value in (("least_mean", least_mean), ("least_days", least_days)) if value is None]
+    if unset:
+        raise ValueError(f"censoring is on, but {', '.join(unset)} is not set")
+    return probable_stockouts(sales, window, least_mean, least_days, receipts, quiet_days)
+
+
 def drop_censored(history: DataFrame, flags: DataFrame) -> DataFrame:
     return history.join(flags.filter("is_censored").select(*KEYS), KEYS, "left_anti")
 
@@ -112,7 +122,7 @@ def suppliers(raw: DataFrame, lead_days: int, review_days: int, order_days: tupl
     )
 
 
-def censoring_summary(flags: DataFrame) -> DataFrame:
-    """Flagged days by pair, and a row TOTAL."""
+def censoring_summary(flags: DataFrame, alert_share: float = 0.15) -> DataFrame:
+    """Flagged days by pair, and a row TOTAL; alert where their share is above alert_share."""
     out = flags.groupingSets([["store_id", "item_id"], []], "store_id", "item_id").agg(F.count("*").alias("n_days"), F.count_if("is_censored").alias("n_censored"))
-    return out.select(F.coalesce("store_id", F.lit("TOTAL")).alias("store_id"), F.coalesce("item_id", F.lit("TOTAL")).alias("item_id"), "n_days", "n_censored", (F.col("n_censored") / F.col("n_days")).alias("censored_share"))
+    return out.select(F.coalesce("store_id", F.lit("TOTAL")).alias("store_id"), F.coalesce("item_id", F.lit("TOTAL")).alias("item_id"), "n_days", "n_censored", (F.col("n_censored") / F.col("n_days")).alias("censored_share"), (F.col("n_censored") / F.col("n_days") > alert_share).alias("alert"))

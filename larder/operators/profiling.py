@@ -44,18 +44,29 @@ def pair_coverage(sales: DataFrame, start: date, end: date) -> DataFrame:
     )
 
 
+#: Ranges of totals into which items are dealt for their running share.
+RANGES = 64
+
+
 def item_volume(sales: DataFrame) -> DataFrame:
     """Units of each item: total, median, nearest-rank p90, most, stores, and the running share of all units from the largest item on.
 
-    The p90 is the value of rank floor(0.9 (n - 1) + 0.5) + 1. Items of equal totals follow by number.
+    The p90 is the value of rank floor(0.9 (n - 1) + 0.5) + 1. Items of equal totals follow by number. Equal values of an item
+    are counted before they are ordered, and the running share is taken range by range of the totals, so no task orders all.
     """
-    ranked = sales.select("item_nbr", "store_nbr", "unit_sales", F.row_number().over(Window.partitionBy("item_nbr").orderBy("unit_sales")).alias("r"), F.count("*").over(Window.partitionBy("item_nbr")).alias("n"))
-    per_item = ranked.groupBy("item_nbr").agg(
-        F.sum("unit_sales").alias("total"), F.median("unit_sales").alias("median_units"), F.max(F.when(F.col("r") == F.floor(0.9 * (F.col("n") - 1) + 0.5) + 1, F.col("unit_sales"))).alias("p90_units"),
-        F.max("unit_sales").alias("max_units"), F.countDistinct("store_nbr").alias("n_stores"),
-    )
-    # a row per item by now: the running share needs one order over items, not over sales
-    return per_item.withColumn("cumulative_share", F.sum("total").over(Window.orderBy(F.desc("total"), "item_nbr")) / F.sum("total").over(Window.partitionBy()))
+    counted = sales.groupBy("item_nbr", "unit_sales").agg(F.count("*").alias("c"))
+    item = Window.partitionBy("item_nbr")
+    run = counted.withColumns({"r": F.sum("c").over(item.orderBy("unit_sales").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(item)})
+    at = lambda rank: F.min(F.when(F.col("r") >= rank, F.col("unit_sales")))
+    middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
+    values = run.groupBy("item_nbr").agg(F.sum(F.col("unit_sales") * F.col("c")).alias("total"), middle.alias("median_units"), at(F.floor(0.9 * (F.col("n") - 1) + 0.5) + 1).alias("p90_units"), F.max("unit_sales").alias("max_units"))
+    per_item = values.join(sales.groupBy("item_nbr").agg(F.countDistinct("store_nbr").alias("n_stores")), "item_nbr")
+    cuts = per_item.agg(F.percentile_approx("total", F.array(*(F.lit((k + 1) / RANGES) for k in range(RANGES - 1))), 10 * RANGES).alias("cuts"))  # one row
+    dealt = per_item.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda x: x > F.col("total")))).drop("cuts")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    ranges = dealt.groupBy("range").agg(F.sum("total").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("all"))
+    own = F.sum("total").over(Window.partitionBy("range").orderBy(F.desc("total"), "item_nbr").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(ranges), "range").withColumn("cumulative_share", (F.col("before") + own) / F.col("all")).drop("range", "before", "all")
 
 
 def ratio_by_item(sales: DataFrame, flag: F.Column, name: str) -> DataFrame:
@@ -87,7 +98,7 @@ def count_candidates(coverage: DataFrame, items: DataFrame, cuts: tuple[float, .
     A cut that nothing survives has its row too. Cuts are a few literals, so each pair is expanded into those that it survives.
     """
     base = coverage.filter("store_covers_full_window") if require_full_window else coverage
-    base = base.join(F.broadcast(items.select("item_nbr", "family")), "item_nbr", "left")
+    base = base.join(items.select("item_nbr", "family"), "item_nbr", "left")
     alive = base.select(*PAIR, "family", F.explode(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("density_window") >= c)).alias("min_density"))
     counted = alive.groupBy("min_density").agg(F.count("*").alias("n_pairs"), F.countDistinct("store_nbr").alias("n_stores"), F.countDistinct("item_nbr").alias("n_items"), F.countDistinct("family").alias("n_families"))
     first = alive.groupBy("min_density", "family").count().groupBy("min_density").agg(F.min(F.struct(-F.col("count"), "family")).alias("f")).select("min_density", F.col("f.family").alias("top_family"))

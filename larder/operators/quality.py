@@ -101,6 +101,16 @@ def report(spark: SparkSession, checks: list[Check], limit: float) -> DataFrame:
     return rows.select("check", "status", "reason", "base_rows", n.alias("n"), share.alias("share"), critical.alias("critical"), examples.alias("examples"))
 
 
+def write_report(spark: SparkSession, checks: list[Check], limit: float, path: str) -> None:
+    """The report as two tables: `summary`, a row per check, and `occurrences` of those evaluated, a folder per check."""
+    report(spark, checks, limit).write.mode("overwrite").parquet(f"{path}/summary")
+    none = spark.createDataFrame([], "check string, item_id string, date date, value string")
+    for c in checks:
+        if c.reason is None:
+            none = none.unionByName(c.occurrences.select(F.lit(c.name).alias("check"), F.col("item_id").cast("string").alias("item_id"), "date", "value"))
+    none.write.mode("overwrite").partitionBy("check").parquet(f"{path}/occurrences")
+
+
 def diff_samples(expected: DataFrame, actual: DataFrame, keys: list[str], samples: int = EXAMPLES) -> DataFrame:
     """(what, n, samples): columns that only one table has, rows that only one has, and per shared column the rows that differ, with the first keys of each and both values as text. What does not differ has no row.
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from datetime import date
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class Params:
     censor_window: int = 14
     censor_mean: float = 1.0
     censor_sale_days: int = 2
+    quiet_days: int = 3
     min_family_items: int = 2
     family_cap: int = 3
     density_floor: float = 0.10
@@ -68,14 +70,17 @@ class Params:
         "lag_units_7", "lag_units_28", "rolling_mean_units_14d", "rolling_mean_units_28d", "rolling_sum_units_28d", "share_days_with_sale_28d", "promo_share_28d", "promo_known_share_28d",
         "days_since_last_sale", "days_since_last_promo", "category", "item_class", "is_perishable", "iso_weekday", "days_to_payday",
     )
+    # the model also sees longer windows
+    learned_windows: tuple[int, ...] = (14, 28, 56, 112)
+    learned_features: tuple[str, ...] = ("rolling_mean_units_56d", "rolling_mean_units_112d", "share_days_with_sale_112d")
     feature_dates: tuple[date, ...] = (date(1999, 1, 1), date(1999, 7, 5), date(2000, 7, 3))
     origin_days: int = 7
     least_origins: int = 8
-    boost_rounds: int = 12
+    boost_rounds: int = 8
     boost_depth: int = 2
     boost_rate: float = 0.3
     boost_bins: int = 32
-    boost_least_rows: int = 20
+    boost_least_rows: int = 500
     evaluation_days: int = 28
     evaluation_end: date = date(2000, 12, 1)
     ask_alpha: float = 0.9
@@ -103,4 +108,49 @@ class Params:
     service_target: float = 0.7
 
 
-PARAMS = Params()
+def validated(params: Params) -> Params:
+    """params, or one error with everything that is wrong with them."""
+    p, said = params, []
+    quantiles = (*p.quantiles,)
+    for what, wrong in (
+        ("window_start is after window_end", p.window_start > p.window_end), ("slice_end is not before as_of", p.slice_end >= p.as_of), ("as_of is not in the window", not p.window_start < p.as_of <= p.window_end),
+        ("quantiles do not rise between 0 and 1", not quantiles or any(not 0 < q < 1 for q in quantiles) or list(quantiles) != sorted(set(quantiles))), ("order_days are not ISO weekdays", not p.order_days or any(not 1 <= d <= 7 for d in p.order_days)),
+        ("horizon is not positive", p.horizon <= 0), ("lead_days or review_days is not positive", p.lead_days <= 0 or p.review_days <= 0), ("floor_share is not a share", not 0 <= p.floor_share <= 1), ("a margin is not a share", any(not 0 <= m < 1 for _, m in p.margins) or not 0 <= p.default_margin < 1),
+        ("retrains do not rise", list(p.retrains) != sorted(set(p.retrains))), ("an anomaly ends before it starts", any(a > b for a, b, _ in p.anomalies)), ("half_life is not positive", p.half_life <= 0),
+    ):
+        if wrong:
+            said.append(what)
+    if said:
+        raise ValueError("; ".join(said))
+    return params
+
+
+def from_values(values: dict[str, Any]) -> Params:
+    """Parameters from plain values, as of a JSON or YAML file: unknown names and values of another kind are one error; dates are texts in ISO form, lists become tuples."""
+    kinds, said, out = {f.name: f.default for f in fields(Params)}, [], {}
+
+    def like(value: Any, sample: Any) -> Any:
+        if isinstance(sample, date):
+            return value if isinstance(value, date) else date.fromisoformat(value)
+        if isinstance(sample, tuple):
+            return tuple(like(v, sample[min(i, len(sample) - 1)]) for i, v in enumerate(value))
+        if isinstance(sample, float) and type(value) is int:
+            return float(value)
+        if type(value) is not type(sample):
+            raise TypeError(value)
+        return value
+
+    for name, value in values.items():
+        if name not in kinds:
+            said.append(f"{name} is no parameter")
+            continue
+        try:
+            out[name] = like(value, kinds[name])
+        except (TypeError, ValueError):
+            said.append(f"{name} cannot be {value!r}")
+    if said:
+        raise ValueError("; ".join(said))
+    return validated(Params(**out))
+
+
+PARAMS = validated(Params())

@@ -53,13 +53,14 @@ def x5(spark, sf_dir):
 
 
 #: What the model learns from: the active features as numbers, and the days of the window.
-_LEARNED = tuple("category_code" if c == "category" else c for c in P.active_features) + ("horizon",)
+_SEEN = P.active_features + P.learned_features
+_LEARNED = tuple("category_code" if c == "category" else c for c in _SEEN) + ("horizon",)
 _HOW = boosting.Boosting(P.quantiles, P.boost_rounds, P.boost_depth, P.boost_rate, P.boost_bins, P.boost_least_rows)
 
 
 def _learning_rows(spark: SparkSession, sf_dir: str, history: DataFrame, asked: DataFrame) -> DataFrame:
     items = _items(spark, sf_dir)
-    rows = features.feature_rows(history, asked.drop("horizon"), items, _calendar(asked), P.lags, P.feature_windows, P.active_features)
+    rows = features.feature_rows(history, asked.drop("horizon"), items, _calendar(asked), P.lags, P.learned_windows, _SEEN)
     coded = rows.join(features.category_codes(items, "category").withColumnRenamed("code", "category_code"), "category", "left").join(asked, [*_PAIR, "as_of"])
     return coded.withColumn("is_perishable", F.col("is_perishable").cast("int"))
 

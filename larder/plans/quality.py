@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_fractional
 from ..operators import features, forecast, panel, quality
 from ..params import PARAMS as P
-from ..sources.intermediate import written
+from ..sources.intermediate import shared_dir, written
 from .replenishment import _LEDGER, _WEEKLY, ORACLE_SQL, _lines
 from .reporting import _NO_SALE
 from .retail import _panel, _query, _rounded
@@ -57,7 +58,9 @@ def d7_report(spark, sf_dir):
         quality.Check("receipt before order", quality.receipts_before_orders(entries), entries), quality.Check("return without sale", returns, history), quality.Check("zero day in regular item", zero, history),
         quality.Check("no pack", gaps, known, least_sound=P.least_complete),
     ]
-    found = quality.report(spark, checks, P.critical_share)
+    path = f"{shared_dir(spark)}/quality-{uuid.uuid4().hex}"
+    quality.write_report(spark, checks, P.critical_share, path)
+    found = spark.read.parquet(f"{path}/summary")
     return _rounded(found.withColumn("n_examples", F.when(F.col("examples").isNotNull(), F.size("examples"))).drop("examples"), "share")
 
 

@@ -247,12 +247,24 @@ def z1(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
+_ENTRIES = f"entries as (select distinct cast(n_regionkey + 1 as varchar) store_id, cast(cast(substr(p_brand, 7) as bigint) as varchar) item_id, cast(l_shipdate as date) + cast(k as integer) date from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey join part on p_partkey = l_partkey cross join generate_series(1, {P.quiet_days}) g(k) where l_linenumber = 1)"
+
+
+@_query("z1_stockouts_with_receipts", f"{_FLAGS}, {_ENTRIES} select store_id, item_id, date, is_censored and e.date is null is_censored, case when is_censored and e.date is null then 'no_recent_entry' end reason from flags left join entries e using (store_id, item_id, date)")
+def z1_receipts(spark, sf_dir):
+    """Stockouts where goods came in: the first lines of orders are receipts, after which a day without a sale is none for some days."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    lines = read("lineitem").filter("l_linenumber = 1").join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(read("part"), F.col("p_partkey") == F.col("l_partkey"))
+    receipts = lines.select((F.col("n_regionkey") + 1).cast("string").alias("store_id"), F.expr("cast(cast(substr(p_brand, 7) as bigint) as string)").alias("item_id"), F.col("l_shipdate").cast("date").alias("received_date"))
+    return panel.flags_if_active(_panel(spark, sf_dir), True, P.censor_window, P.censor_mean, P.censor_sale_days, receipts, P.quiet_days)
+
+
 @_query("z4_drop_censored", f"{_FLAGS} select store_id, item_id, date, units_sold from past where not coalesce(units_sold = 0 and m >= {P.censor_mean} and n >= {P.censor_sale_days}, false)")
 def z4(spark, sf_dir):
     return panel.uncensored(_panel(spark, sf_dir).select(*panel.KEYS, "units_sold"), P.censor_window, P.censor_mean, P.censor_sale_days)
 
 
-@_query("z5_censoring_summary", f"{_FLAGS} select coalesce(store_id, 'TOTAL') store_id, coalesce(item_id, 'TOTAL') item_id, count(*) n_days, count(*) filter (where is_censored) n_censored, round(avg(cast(is_censored as double)), 6) censored_share from flags group by grouping sets ((store_id, item_id), ())")
+@_query("z5_censoring_summary", f"{_FLAGS} select coalesce(store_id, 'TOTAL') store_id, coalesce(item_id, 'TOTAL') item_id, count(*) n_days, count(*) filter (where is_censored) n_censored, round(avg(cast(is_censored as double)), 6) censored_share, avg(cast(is_censored as double)) > 0.15 alert from flags group by grouping sets ((store_id, item_id), ())")
 def z5(spark, sf_dir):
     return _rounded(panel.censoring_summary(_flags(spark, sf_dir)), "censored_share")
 
