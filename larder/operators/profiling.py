@@ -59,7 +59,8 @@ def item_volume(sales: DataFrame) -> DataFrame:
     run = counted.withColumns({"r": F.sum("c").over(item.orderBy("unit_sales").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(item)})
     at = lambda rank: F.min(F.when(F.col("r") >= rank, F.col("unit_sales")))
     middle = (at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2
-    values = run.groupBy("item_nbr").agg(F.sum(F.col("unit_sales") * F.col("c")).alias("total"), middle.alias("median_units"), at(F.floor(0.9 * (F.col("n") - 1) + 0.5) + 1).alias("p90_units"), F.max("unit_sales").alias("max_units"))
+    # rounded, so that a total is the same wherever it is added up anew
+    values = run.groupBy("item_nbr").agg(F.round(F.sum(F.col("unit_sales") * F.col("c")), 6).alias("total"), middle.alias("median_units"), at(F.floor(0.9 * (F.col("n") - 1) + 0.5) + 1).alias("p90_units"), F.max("unit_sales").alias("max_units"))
     per_item = values.join(sales.groupBy("item_nbr").agg(F.countDistinct("store_nbr").alias("n_stores")), "item_nbr")
     cuts = per_item.agg(F.percentile_approx("total", F.array(*(F.lit((k + 1) / RANGES) for k in range(RANGES - 1))), 10 * RANGES).alias("cuts"))  # one row
     dealt = per_item.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda x: x > F.col("total")))).drop("cuts")
