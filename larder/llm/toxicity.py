@@ -298,18 +298,13 @@ def _excess(r: np.ndarray) -> np.ndarray:
     return np.round(np.where(x > STEEP, x + np.log(EPSILON), np.log1p(EPSILON * np.expm1(np.minimum(x, STEEP)))) * UNIT).astype(np.int64)
 
 
-def _excess_column(r: Column) -> Column:
-    """_excess() as a column."""
-    x = r / float(UNIT)
-    return F.round(F.when(x > STEEP, x + float(np.log(EPSILON))).otherwise(F.log1p(EPSILON * F.expm1(F.least(x, F.lit(STEEP))))) * UNIT).cast("long")
-
-
 def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """Per row of docs: key (key_col's value, if there is one, else the id), id, its number of words n and the log-likelihood ratio s, in whole units.
 
     Where the model has at most PASSED entries, each worker holds it and rates the words that it meets. Beyond that the distinct
     words of docs get their ratios by joins with the model. Those of the most common words are looked up where the texts are
-    read, which gives the usual ratio too; the other words of each row are joined with theirs and added after that.
+    read, the other words of each row are joined with theirs; the median and the sum are of all words of a row on both ways,
+    so both give the same.
     """
     ids = f"key {docs.schema[key_col or id_col].dataType.simpleString()}, id {docs.schema[id_col].dataType.simpleString()}"
     rows = docs.select(F.col(key_col or id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -323,30 +318,56 @@ def evidence(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(shared.value)
-        kinds = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found, rests = [], []
+                ns, known, rests = [], [], []
                 for text in part.column(2).to_pylist():
                     words = text.lower().split() if text else []
-                    r = np.fromiter(map(own.__getitem__, words), np.int64, len(words))
-                    ask = r == _ASK
+                    met: Counter = Counter()
                     rest: Counter = Counter()
-                    if ask.any():
-                        rest.update(own.strip.sub("", words[i]) for i in np.flatnonzero(ask).tolist())
-                        r = r[~ask]
-                    usual = int(np.median(r)) if len(r) else 0
-                    found.append((int(_excess(r - usual).sum()), len(words), usual))
+                    for w, c in Counter(words).items():
+                        r = own[w]
+                        if r == _ASK:
+                            rest[own.strip.sub("", w)] += c
+                        else:
+                            met[r] += c
+                    ns.append(len(words))
+                    known.append([{"r": r, "c": c} for r, c in met.items()])
                     rests.append([{"w": w, "n": n} for w, n in rest.items()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3)), pa.array(rests, kinds)], ["key", "id", "s", "n", "usual", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(known, _RATED), pa.array(rests, _ASKED)], ["key", "id", "n", "known", "rest"])
 
-    first = rows.mapInArrow(run, f"{ids}, s bigint, n bigint, usual bigint, rest array<struct<w:string,n:bigint>>")
+    first = rows.mapInArrow(run, f"{ids}, n bigint, known array<struct<r:bigint,c:bigint>>, rest array<struct<w:string,n:bigint>>")
     # the row numbers are written, so every later attempt has them alike
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()))
-    asked = first.select("row", "usual", F.explode("rest").alias("e")).select("row", "usual", "e.w", F.col("e.n").alias("c")).join(rated.select("w", "r"), "w")
-    more = asked.groupBy("row").agg(F.sum(F.col("c") * _excess_column(F.col("r") - F.col("usual"))).alias("more"))
-    return materialize(first.drop("rest").join(more, "row", "left").select("key", "id", "n", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
+    asked = first.select("row", F.explode("rest").alias("e")).select("row", "e.w", F.col("e.n").alias("c")).join(rated.select("w", "r"), "w")
+    # a row's ratios are no more than its distinct words
+    more = asked.groupBy("row", "r").agg(F.sum("c").alias("c")).groupBy("row").agg(F.collect_list(F.struct("r", "c")).alias("more"))
+    whole = first.drop("rest").join(more, "row", "left")
+
+    def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sums = []
+        for known, rest in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            pairs = [*known, *(rest or [])]
+            sums.append(_above_usual(np.array([x["r"] for x in pairs], np.int64), np.array([x["c"] for x in pairs], np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["key", "id", "n", "s"])
+
+    return materialize(map_arrow(whole.select("key", "id", "n", "known", "more"), add, f"{ids}, n bigint, s bigint"))
+
+
+def _above_usual(r: np.ndarray, c: np.ndarray) -> int:
+    """What words add that stand c times each with ratio r, above the median of them all."""
+    if not len(r):
+        return 0
+    order = np.argsort(r, kind="stable")
+    r, c = r[order], c[order]
+    run = np.cumsum(c)
+    middle = r[np.searchsorted(run, [(run[-1] - 1) // 2, run[-1] // 2], "right")]
+    return int((_excess(r - int(middle.sum() / 2)) * c).sum())
+
+
+_RATED = pa.list_(pa.struct([("r", pa.int64()), ("c", pa.int64())]))
+_ASKED = pa.list_(pa.struct([("w", pa.string()), ("n", pa.int64())]))
 
 
 def _normalised(s: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -81,6 +81,20 @@ def test_toxicity(spark, docs, empty):
     assert len(none) == len(ROWS) and all(0 <= r.score <= 1 for r in none)
 
 
+def test_both_ways_to_rate_words_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdefgé'."), rng.integers(1, 9))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(words[: 300 if k % 3 else 40], rng.integers(0, 40))), int(k % 3 == 0)) for k in range(600)] + [(900, None, None), (901, " ... ! ", None), (902, "new unseen Words, words", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = table.select("doc_id", "toxic").filter("toxic is not null")
+    score = lambda: sorted((r.doc_id, r.score, r.predicted) for r in toxicity.judge(table.select("doc_id", "text"), labels).collect())
+    whole = score()
+    monkeypatch.setattr(toxicity, "PASSED", 10)
+    for common in (1 << 17, 60, 0):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        assert score() == whole
+
+
 @pytest.mark.parametrize("passed", [1 << 22, 10])
 def test_toxicity_learns_from_all_labels(spark, monkeypatch, passed):
     for name, most in (("MOST_TOXIC", 40), ("MOST_ORDINARY", 80), ("COMMON", 50), ("PASSED", passed)):
