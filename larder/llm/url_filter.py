@@ -51,21 +51,35 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, verdict
 
 
+def _without_dots(path: Column) -> Column:
+    """path, which begins with a slash, without its segments . and .., of which the latter takes the segment before it along."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    )
+    ends = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
 def _absolute(link: Column, host: Column, path: Column, query: Column) -> Column:
-    """The url that a link on a page leads to."""
+    """The url that a link on a page leads to; null where it leads to no page of a host, as mailto: or a script."""
     link = F.regexp_replace(link, "&amp;", "&")
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)", 1))
+    at = lambda *parts: F.concat(F.lit("x://"), host, *parts)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(F.lit("x:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("x://"), host, link))
-        .when(link.startswith("?"), F.concat(F.lit("x://"), host, path, link))
-        .when(link.startswith("#"), F.concat(F.lit("x://"), host, path, query))
-        .otherwise(F.concat(F.lit("x://"), host, F.regexp_extract(path, r"^(.*/)", 1), link))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("/"), at(link))
+        .when(link.startswith("?"), at(path, link))
+        .when(link.startswith("#"), at(path, query))
+        .otherwise(at(folder, link))
     )
 
 
 def _node(host: Column, path: Column, query: Column) -> Column:
-    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query)
+    """Host, path without dot segments, and query."""
+    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(_without_dots(path)), query)
 
 
 def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -94,7 +108,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     """Per row of pages: its id, host, path, the longest rule that fits (null if none) and the verdict.
 
     redirects: further edges as rows (source, target) of urls. Null urls and those without :// have no host or path, fit no
-    rule, have no aliases and are allowed. Pages that link nowhere keep their own rule's verdict or are allowed.
+    rule, have no aliases and are allowed. Pages that link nowhere keep their own rule's verdict or are allowed. Links are
+    resolved against their page, dot segments included; those that lead to no host (mailto: and the like) are none. Rows that
+    are repeated are judged each; an empty table gives an empty result; columns other than those named are not read.
     A rule's own verdict always stands; among aliases, allow goes before block.
     """
     host, path = split_url(F.col(url_col).cast("string"))
@@ -136,25 +152,33 @@ _RULE = """case when (host = 'www.example.com' or host like '%.www.example.com')
   when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end"""
 _VERDICT = "case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end"
 
+_DOTS = """segs{k} as (select *, string_split(p, '/') s from {source}),
+fold{k} as (select id, 2 i, cast([] as varchar[]) acc, s from (select distinct id, s from segs{k}) union all
+  select id, i + 1, case when s[i] = '.' then acc when s[i] = '..' then acc[1:greatest(len(acc) - 1, 0)] else list_append(acc, s[i]) end, s from fold{k} where i <= len(s)),
+flat{k} as (select id, '/' || array_to_string(case when s[-1] in ('.', '..') then list_append(acc, '') else acc end, '/') plain from fold{k} where i = len(s) + 1)"""
+_PLACED = "case when path = '' then '/' else path end p, coalesce(regexp_extract(url, '://[^?#]*(\\?[^#]+)', 1), '') query"
+
 ORACLE_SQL = {
     "op8_url_filter": rf"""
-with recursive p as ({_SPLIT.format("pages")}),
-q as (select page_id, html, host, path, {_RULE} rule, host || case when path = '' then '/' else path end node from p),
+with recursive s0 as ({_SPLIT.format("pages")}),
+p0 as (select row_number() over () id, page_id, html, host, path, {_PLACED} from s0), {_DOTS.format(k=1, source="p0")},
+q as (select page_id, html, host, path, query, {_RULE} rule, host || plain || query node from p0 join flat1 using (id)),
 own as (select *, {_VERDICT} own from q),
 links as (
-  select host h, path pt, node a, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) link
-  from (select *, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) tag from own)
+  select host h, path pt, query qu, node a, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) link
+  from (select *, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) tag from own)
   union all
-  select host h, path pt, node a, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1) link
-  from (select *, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) tag from own)),
+  select host h, path pt, query qu, node a, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1) link
+  from (select *, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) tag from own)),
 full_links as (
-  select a, case when regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') then l when starts_with(l, '//') then 'x:' || l when starts_with(l, '/') then 'x://' || h || l
-                 else 'x://' || h || regexp_extract(pt, '^(.*/)', 1) || l end url
+  select a, case when regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') then l when starts_with(l, '//') then 'x:' || l when regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') then null when starts_with(l, '/') then 'x://' || h || l
+                 when starts_with(l, '?') then 'x://' || h || pt || l when starts_with(l, '#') then 'x://' || h || pt || qu else 'x://' || h || case when pt = '' then '/' else regexp_extract(pt, '^(.*/)', 1) end || l end url
   from (select *, replace(link, '&amp;', '&') l from links where link <> '' and h <> '')),
-edges as (select a, host || case when path = '' then '/' else path end b from ({_SPLIT.format("full_links")}) where host <> ''),
+s2 as ({_SPLIT.format("full_links")}), p2 as (select row_number() over () id, a, host, {_PLACED} from s2 where host <> ''), {_DOTS.format(k=2, source="p2")},
+edges as (select a, host || plain || query b from p2 join flat2 using (id)),
 pairs as (select a, b from edges union select b, a from edges),
 reach as (select a node, a other from pairs union select r.node, e.b from reach r join pairs e on r.other = e.a),
-judged as (select other, {_VERDICT} v from (select other, {_RULE} rule from (select distinct other, regexp_extract(other, '^[^/]*') host, regexp_extract(other, '^[^/]*(.*)$', 1) path from reach))),
+judged as (select other, {_VERDICT} v from (select other, {_RULE} rule from (select distinct other, regexp_extract(other, '^[^/]*') host, regexp_extract(other, '^[^/]*([^?]*)', 1) path from reach))),
 shared as (select node from reach join judged using (other) group by node having bool_or(v = 'block') and not coalesce(bool_or(v = 'allow'), false))
 select page_id, host, path, rule, coalesce(own, case when node in (select node from shared) then 'block' end, 'allow') verdict from own"""
 }
