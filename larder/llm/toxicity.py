@@ -40,6 +40,8 @@ EPSILON, STEEP = 0.02, 50.0
 SHORT = 20
 #: Entries of a model that is passed to the workers as two sorted arrays of 12 bytes an entry; a larger one is joined.
 PASSED = 1 << 22
+#: Labels that are passed to the workers to find their documents, at most: about 100 MB.
+HELD_LABELS = 1 << 22
 #: The share of any character after no history at all.
 ALIKE = 1 / 1024
 THRESHOLD = 0.3
@@ -441,7 +443,9 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str =
 
 
 def labelled_documents(docs: DataFrame, own: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """Documents with labels of training_labels()."""
+    """Documents with labels of training_labels(), a written table. Up to HELD_LABELS labels of whole numbers go to all workers, so that no text is shuffled; more, or other ids, are joined by an exchange."""
+    if own.schema["label_id"].dataType.simpleString() in ("bigint", "int") and own.count() <= HELD_LABELS:
+        own = F.broadcast(own)
     return docs.select(F.col(id_col).alias("id"), F.col("text")).join(own, F.col("id") == F.col("label_id")).select(F.col("id").alias(id_col), "text", F.col("label").alias(label_col))
 
 

@@ -93,6 +93,8 @@ def test_both_ways_to_rate_words_give_the_same(spark, monkeypatch):
     for common in (1 << 17, 60, 0):
         monkeypatch.setattr(toxicity, "COMMON", common)
         assert score() == whole
+    monkeypatch.setattr(toxicity, "HELD_LABELS", 0)
+    assert score() == whole
 
 
 @pytest.mark.parametrize("passed", [1 << 22, 10])
