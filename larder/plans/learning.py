@@ -70,9 +70,10 @@ def _trees(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
     key = {"params": params_key(P), "how": _HOW, "learned": _LEARNED, "history": fingerprint(history)}
 
     def make() -> DataFrame:
-        asked = _asked(spark, history)
+        asked = written(_asked(spark, history))
+        usable = features.usable_origins(asked, spark.createDataFrame([(d,) for d in P.retrains], "retrain date"), P.least_origins)
         rows = _learning_rows(spark, sf_dir, history, asked).join(features.window_targets(history, asked).drop("horizon"), [*_PAIR, "as_of"])
-        panel = features.usable_origins(rows, spark.createDataFrame([(d,) for d in P.retrains], "retrain date"), P.least_origins)
+        panel = written(usable.drop("horizon").join(rows, [*_PAIR, "as_of"]))
         return boosting.train(panel.withColumn("weight", F.pow(F.lit(0.5), F.col("age") / P.half_life)), "retrain", _LEARNED, "target", "weight", _HOW)
 
     return results.load_or_make(spark, f"{shared_dir(spark)}/quantile-model-{params_key(key)}", key, make)

@@ -93,13 +93,14 @@ union all by name select store_id, item_id, as_of, retrain, round(target, 4) tar
 from targets t join retrains on as_of + {P.horizon} <= retrain where not exists (select 1 from panel p where p.store_id = t.store_id and p.item_id = t.item_id and p.date between as_of - 28 and as_of - 1)""",
 )
 def x12(spark, sf_dir):
-    history = _panel(spark, sf_dir)
-    asked = _asked(spark, history)
+    history = written(_panel(spark, sf_dir))
+    asked = written(_asked(spark, history))
+    usable = features.usable_origins(asked, spark.createDataFrame([(d,) for d in P.retrains], "retrain date"), P.least_origins)
     rows = features.history_features(history, asked.drop("horizon"), (), (28,))
     rows = rows.select("store_id", "item_id", "as_of", F.col("rolling_mean_units_28d").alias("mean"), F.col("share_days_with_sale_28d").alias("sale_share"))
-    retrains = spark.createDataFrame([(d,) for d in P.retrains], "retrain date")
-    panel = features.usable_origins(rows.join(features.window_targets(history, asked), ["store_id", "item_id", "as_of"]), retrains, P.least_origins)
-    out = panel.withColumn("weight", F.pow(F.lit(0.5), F.col("age") / P.half_life)).drop("horizon")
+    key = ["store_id", "item_id", "as_of"]
+    panel = usable.drop("horizon").join(rows, key).join(features.window_targets(history, asked).drop("horizon"), key)
+    out = panel.withColumn("weight", F.pow(F.lit(0.5), F.col("age") / P.half_life))
     return _rounded(_rounded(out, "mean", "sale_share", "weight", places=9), "target", places=4)
 
 

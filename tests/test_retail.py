@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from larder.functions.columns import round_up_to_pack
 from larder.operators import contracts, forecast, guards, panel, profiling
-from larder.plans import learning, replenishment, reporting, retail, tables  # noqa: F401
+from larder.plans import learning, purchasing, quality, replenishment, reporting, retail, tables  # noqa: F401
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
