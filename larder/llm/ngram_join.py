@@ -16,13 +16,21 @@ the group's pivot and each other class x is replaced by what it differs in, x -
 
 and that is more than nothing unless both are similar to p, which is then known. So the prefix filter applies again, to the
 differences, which copies with edits of their own hardly share; a difference that many share is again a group with a pivot of
-its own, level by level, until the pairs left are in proportion to the prefixes. After LEVELS levels, or where a level does not
-halve the pairs, what is left is paired as it is. No pair is ever left out.
+its own, level by level, until the pairs left are in proportion to the prefixes.
+
+Pivots do not part texts that are put together from shared passages. After LEVELS levels, or where a level does not halve the
+pairs, the crowded classes are parted by passages: shingles that exactly the same classes hold are one unit with a weight. Two
+similar classes differ in at most b = a (n(x) + n(y)) shingles, so in at most d units heavier than b / (d + 1). With the units
+dealt to d + k parts, a similar pair has equal units in k parts, and only classes with an equal choice of k parts are paired;
+of several (d, k) each size takes the one with the fewest pairs. Only where that leaves no fewer pairs than the prefixes do are
+these paired as they are. No pair is ever left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 from fractions import Fraction
 
 import numpy as np
@@ -41,6 +49,10 @@ MOST_MATCHES, VERIFY_COST = 8, 20.0
 FEW = 8
 #: Levels of pivots.
 LEVELS = 6
+#: Choices of d and k: heavy units that similar classes may differ in, and parts they are then equal in.
+CHOICES = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 2), (5, 2), (5, 3), (8, 2))
+#: The growth of sizes from a band to the next: a band's classes are keyed by the most that its largest may differ in.
+BAND_GROWTH = 1.06
 #: Counts from which a shingle is taken as shared without being looked up.
 OFTEN = 1 << 10
 #: Longs of a class's parity bitmap.
@@ -311,11 +323,110 @@ def _differences(groups: DataFrame, members: DataFrame, width: int, shared, simi
     return both.mapInArrow(run, f"{_ROW}, near boolean")
 
 
+@cache
+def _band_edges() -> np.ndarray:
+    """The smallest size of each band, up to the largest size there can be."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_GROWTH)))
+    return np.array(edges)
+
+
+def _band(n: int) -> int:
+    return int(np.searchsorted(_band_edges(), n, "right")) - 1
+
+
+def _allowance(band: int, similarity: Fraction) -> int:
+    """The most shingles that two similar classes differ in, where the larger is of this band."""
+    p, q = similarity.numerator, similarity.denominator
+    return 2 * (q - p) * int(_band_edges()[band + 1] - 1) // (p + q)
+
+
+def part_keys(units: np.ndarray, weights: np.ndarray, band: int, choice: int, similarity: Fraction) -> list[int]:
+    """A key for each way to take k of the d + k parts of the heavy units; two similar classes have one in common."""
+    d, k = CHOICES[choice]
+    heavy = mix(units[weights * (d + 1) > _allowance(band, similarity)])
+    part = (heavy % np.uint64(d + k)).astype(np.int64)
+    content = [np.bitwise_xor.reduce(mix(heavy[part == i] + _K), initial=np.uint64(i)) for i in range(d + k)]
+    keys = np.array([[content[i] for i in c] for c in combinations(range(d + k), k)], np.uint64)
+    out = np.arange(len(keys), dtype=np.uint64)
+    for column in keys.T:
+        out = mix(out * _K + column)
+    return out.view(np.int64).tolist()
+
+
+def _units(crowd: DataFrame, members: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """The classes of crowd (cls, label) with their n and units: of shingles that exactly the same classes of crowd hold, the
+    smallest and the number, if that can be heavy in any choice. A class has at most some 9 (1 + s) / (2 (1 - s)) of these."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, at = batch.column(0).to_numpy(), 0
+            for block in blocks(batch.column(1)):
+                sets = list(shingle_sets(block, width))
+                ns = np.array([len(x) for x in sets])
+                own, at = classes[at : at + len(sets)], at + len(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ns)), pa.array(np.concatenate(sets).view(np.int64))], ["cls", "token"])
+
+    tokens = materialize(members.select("cls", "t").join(crowd.select("cls"), "cls").mapInArrow(shingles, "cls long, token long"))
+    holders = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    posted = tokens.groupBy("token").agg(*holders, F.count("*").alias("c")).groupBy("h0", "h1", "c").agg(F.min("token").alias("token"), F.count("*").alias("w"))
+    # a unit that all classes hold parts none
+    units = materialize(posted.filter(F.col("c") < crowd.count()).select("token", "w"))
+    p, q = similarity.numerator, similarity.denominator
+    most = max(d for d, _ in CHOICES) + 1
+    sized = crowd.join(members.select("cls", "n"), "cls")
+    held = tokens.join(units, "token").join(sized.select("cls", "n"), "cls").filter(F.expr(f"w * {most * (p + q)} > {2 * (q - p)} * n"))
+    held = held.groupBy("cls").agg(F.collect_list("token").alias("units"), F.collect_list("w").alias("weights"))
+    return materialize(sized.join(held, "cls", "left"))
+
+
+def _keyed(classes: DataFrame, choices: dict[int, int] | None, similarity: Fraction) -> DataFrame:
+    """Rows cls, label, n, larger, band, choice, key. With choices (of each band) a class has the keys of its own band, as the
+    larger of a pair, and of each band of a larger partner; without, those of all choices in its own band."""
+    p, q = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "label", "n", "larger", "band", "choice", "key"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, own = row["n"], _band(row["n"])
+                units, weights = np.array(row["units"] or [], np.int64).view(np.uint64), np.array(row["weights"] or [], np.int64)
+                if choices is None:
+                    wanted = [(own, True, c) for c in range(len(CHOICES))]
+                else:
+                    wanted = [(own, True, choices[own])] + [(b, False, choices[b]) for b in range(own, _band(n * q // p) + 1) if b in choices]
+                out = [(row["cls"], row["label"], n, larger, b, c, key) for b, larger, c in wanted for key in part_keys(units, weights, b, c, similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return classes.select("cls", "label", "n", "units", "weights").mapInArrow(run, "cls long, label long, n int, larger boolean, band int, choice int, key long")
+
+
+def _by_passages(crowd: DataFrame, members: DataFrame, width: int, similarity: Fraction) -> tuple[DataFrame, int]:
+    """Pairs (a, b) of classes of crowd (cls, label) with different labels, among them all similar ones; and about how many."""
+    p, q = similarity.numerator, similarity.denominator
+    classes = _units(crowd, members, width, similarity)
+    # pairs of different labels under a key, for each choice; the keys themselves count as one more each
+    tried = _keyed(classes, None, similarity).groupBy("band", "choice", "key", "label").agg(F.count("*").alias("m"))
+    tried = tried.groupBy("band", "choice", "key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    cost = tried.groupBy("band", "choice").agg(F.sum(F.expr("(c * c - same) / 2 + c")).alias("cost"))
+    best = cost.groupBy("band").agg(F.min_by("choice", F.struct("cost", "choice")).alias("choice"))
+    # at most one row a band
+    keyed = materialize(_keyed(classes, {r["band"]: r["choice"] for r in best.collect()}, similarity))
+    met = keyed.groupBy("band", "key", "label").agg(F.sum(F.expr("int(larger)")).alias("l"), F.sum(F.expr("int(not larger)")).alias("s"))
+    met = met.groupBy("band", "key").agg(F.expr("sum(l) * sum(s) - sum(l * s)").alias("apart")).filter("apart > 0")
+    met = materialize(met)
+    x, y = (keyed.filter(f"larger = {side}").join(met.select("band", "key"), ["band", "key"], "left_semi").alias(name) for side, name in (("true", "x"), ("false", "y")))
+    pairs = x.join(y, F.expr(f"x.band = y.band and x.key = y.key and x.label <> y.label and x.n >= y.n and {p} * x.n <= {q} * y.n"))
+    return pairs.select(F.expr("least(x.cls, y.cls)").alias("a"), F.expr("greatest(x.cls, y.cls)").alias("b")).distinct(), met.agg(F.sum("apart")).first()[0] or 0
+
+
 def _similar_classes(found: DataFrame, members: DataFrame, width: int, shared, similarity: Fraction) -> DataFrame:
     """(cls, component) of each class with links, from the prefix rows found (_ROW), level by level.
 
     A token's classes are paired where at most FEW pairs for each of them lie between components, and all are, once that makes
-    at most FEW pairs for each of the first rows.
+    at most FEW pairs for each of the first rows. Where pivots no longer halve the pairs, crowded ones are parted by passages.
     """
     p, q = similarity.numerator, similarity.denominator
 
@@ -338,14 +449,22 @@ def _similar_classes(found: DataFrame, members: DataFrame, width: int, shared, s
         keys = materialize(keys.filter("labels > 1").select("pivot", "token", "first", F.expr("c * c - same").alias("apart"), "c"))
         rows, crowded = found.count() if level == 0 else rows, F.col("apart") > 2 * FEW * F.col("c")
         ahead = keys.filter(crowded).agg(F.sum("apart") / 2).first()[0] or 0
-        # differences of pivots help while they leave fewer pairs
-        done = ahead <= FEW * rows or level == LEVELS or 2 * ahead > before
-        few, before = F.lit(True) if done else ~crowded, ahead
+        # differences of pivots help while they leave fewer pairs, passages where those do not
+        stuck = ahead > FEW * rows and (level == LEVELS or 2 * ahead > before)
+        done, before = stuck or ahead <= FEW * rows, ahead
+        passages: DataFrame | None = None
+        if stuck:
+            crowd = found.join(keys.filter(crowded).select("pivot", "token"), ["pivot", "token"], "left_semi").select("cls", "label").distinct()
+            passages, left = _by_passages(materialize(crowd), members, width, similarity)
+            passages = passages if left < ahead else None
+        few = F.lit(True) if done and passages is None else ~crowded
         open_ = found.join(keys.filter(few).select("pivot", "token"), ["pivot", "token"], "left_semi")
         x, y = open_.alias("x"), open_.alias("y")
         matched = x.join(y, F.expr(f"x.pivot = y.pivot and x.token = y.token and x.cls < y.cls and x.label <> y.label and {inside('x', 'y')}"))
         pairs = matched.select(F.col("x.pivot").alias("pivot"), F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.least("x.l", "y.l").alias("l")).groupBy("pivot", "a", "b").agg(F.count("*").alias("c"), F.max("l").alias("l"))
-        links = materialize(_links(pairs.filter("c >= l").select("a", "b").distinct(), members, width, similarity))
+        pairs = pairs.filter("c >= l").select("a", "b")
+        pairs = (pairs if passages is None else pairs.unionByName(passages)).distinct()
+        links = materialize(_links(pairs, members, width, similarity))
         if not done:
             many = keys.filter(crowded)
             # all classes of a crowded token go to its pivot; tokens with one pivot make one group
