@@ -50,7 +50,9 @@ FEW = 8
 #: Levels of pivots.
 LEVELS = 6
 #: Choices of d and k: heavy units that similar classes may differ in, and parts they are then equal in.
-CHOICES = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 2), (5, 2), (5, 3), (8, 2))
+CHOICES = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 2), (5, 2), (5, 3), (8, 2), (2, 6), (3, 5), (3, 7), (4, 4), (4, 6), (5, 5))
+#: The first of them are tried on all classes, the others where those cost more than FEW candidates for each class.
+FIRST_CHOICES = 11
 #: The growth of sizes from a band to the next: a band's classes are keyed by the most that its largest may differ in.
 BAND_GROWTH = 1.06
 #: Counts from which a shingle is taken as shared without being looked up.
@@ -381,9 +383,9 @@ def _units(crowd: DataFrame, members: DataFrame, width: int, similarity: Fractio
     return materialize(sized.join(held, "cls", "left"))
 
 
-def _keyed(classes: DataFrame, choices: dict[int, int] | None, similarity: Fraction) -> DataFrame:
-    """Rows cls, label, n, larger, band, choice, key. With choices (of each band) a class has the keys of its own band, as the
-    larger of a pair, and of each band of a larger partner; without, those of all choices in its own band."""
+def _keyed(classes: DataFrame, choices: dict[int, int] | range, similarity: Fraction) -> DataFrame:
+    """Rows cls, label, n, larger, band, choice, key. With choices of each band a class has the keys of its own band, as the
+    larger of a pair, and of each band of a larger partner; with a range, those of all its choices in its own band."""
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +395,8 @@ def _keyed(classes: DataFrame, choices: dict[int, int] | None, similarity: Fract
             for row in batch.to_pylist():
                 n, own = row["n"], _band(row["n"])
                 units, weights = np.array(row["units"] or [], np.int64).view(np.uint64), np.array(row["weights"] or [], np.int64)
-                if choices is None:
-                    wanted = [(own, True, c) for c in range(len(CHOICES))]
+                if isinstance(choices, range):
+                    wanted = [(own, True, c) for c in choices]
                 else:
                     wanted = [(own, True, choices[own])] + [(b, False, choices[b]) for b in range(own, _band(n * q // p) + 1) if b in choices]
                 out = [(row["cls"], row["label"], n, larger, b, c, key) for b, larger, c in wanted for key in part_keys(units, weights, b, c, similarity)]
@@ -407,13 +409,18 @@ def _by_passages(crowd: DataFrame, members: DataFrame, width: int, similarity: F
     """Pairs (a, b) of classes of crowd (cls, label) with different labels, among them all similar ones; and about how many."""
     p, q = similarity.numerator, similarity.denominator
     classes = _units(crowd, members, width, similarity)
-    # pairs of different labels under a key, for each choice; the keys themselves count as one more each
-    tried = _keyed(classes, None, similarity).groupBy("band", "choice", "key", "label").agg(F.count("*").alias("m"))
-    tried = tried.groupBy("band", "choice", "key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
-    cost = tried.groupBy("band", "choice").agg(F.sum(F.expr("(c * c - same) / 2 + c")).alias("cost"))
-    best = cost.groupBy("band").agg(F.min_by("choice", F.struct("cost", "choice")).alias("choice"))
-    # at most one row a band
-    keyed = materialize(_keyed(classes, {r["band"]: r["choice"] for r in best.collect()}, similarity))
+    # pairs of different labels under a key, for each choice; a key is a look-up
+    best: dict[int, tuple[float, int]] = {}
+    for choices in (range(FIRST_CHOICES), range(FIRST_CHOICES, len(CHOICES))):
+        tried = _keyed(classes, choices, similarity).groupBy("band", "choice", "key", "label").agg(F.count("*").alias("m"))
+        tried = tried.groupBy("band", "choice", "key").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        cost = tried.groupBy("band", "choice").agg(F.sum(F.expr(f"{VERIFY_COST} * (c * c - same) / 2 + c")).alias("cost"))
+        # one row a band, of which there are some 400 at most
+        for r in cost.groupBy("band").agg(F.min(F.struct("cost", "choice")).alias("least")).collect():
+            best[r["band"]] = min(best.get(r["band"], (float("inf"), 0)), tuple(r["least"]))
+        if sum(c for c, _ in best.values()) <= FEW * VERIFY_COST * classes.count():
+            break
+    keyed = materialize(_keyed(classes, {band: choice for band, (_, choice) in best.items()}, similarity))
     met = keyed.groupBy("band", "key", "label").agg(F.sum(F.expr("int(larger)")).alias("l"), F.sum(F.expr("int(not larger)")).alias("s"))
     met = met.groupBy("band", "key").agg(F.expr("sum(l) * sum(s) - sum(l * s)").alias("apart")).filter("apart > 0")
     met = materialize(met)
