@@ -121,7 +121,7 @@ def pack(counts: DataFrame, sizes: tuple[int, ...] = SIZES, overhead: int = OVER
 
     Documents longer than the largest length are cut into pieces of that length and a rest. Lengths of null or less than 1
     hold nothing and give no row. Repeated ids are documents of their own. Documents of equal length are packed in the order of
-    their rows, bins of equal room are taken last opened first. An empty table gives an empty result; other columns are not read.
+    their rows, of bins with equal room the one that last took an item is taken. An empty table gives an empty result; other columns are not read.
     """
     most = max(sizes)
     kind = counts.schema[id_col].dataType.simpleString()
