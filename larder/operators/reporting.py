@@ -34,13 +34,17 @@ def item_decomposition(ledger: DataFrame, money: DataFrame, start) -> DataFrame:
 
 
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Rank correlation of x and y per group, equal values at the mean of their ranks; rows with a null in either are left out."""
+    """Rank correlation of x and y per group, equal values at the mean of their ranks; rows with a null in either are left out. Where x or y has one value alone it is NaN."""
+    group = Window.partitionBy(by)
 
     def ranked(c: str):
         return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
 
-    ranks = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, ranked(x).alias("rx"), ranked(y).alias("ry"))
-    return ranks.groupBy(by).agg(F.corr("rx", "ry").alias("spearman"), F.count("*").alias("n"))
+    varied = (F.min(x).over(group) < F.max(x).over(group)) & (F.min(y).over(group) < F.max(y).over(group))
+    ranks = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, ranked(x).alias("rx"), ranked(y).alias("ry"), varied.alias("varied"))
+    # ranks without variance would be divided by zero, which is an error; of none at all the correlation is null
+    known = F.corr(F.when(F.col("varied"), F.col("rx")), F.when(F.col("varied"), F.col("ry")))
+    return ranks.groupBy(by).agg(F.coalesce(known, F.lit(float("nan"))).alias("spearman"), F.count("*").alias("n"))
 
 
 def order_variation(ledger: DataFrame, days: int, factor: float) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from larder.operators import quality, reporting
@@ -46,6 +47,14 @@ def test_spearman_with_ties(spark):
     assert got.n == 4 and got.spearman == pytest.approx(1.0)
 
 
+def test_spearman_without_variance(spark):
+    # every item sold on every day: one value alone, as corr() in the SQL has NaN; also of one row
+    rows = [("s", 1.0, 1.0), ("s", 2.0, 1.0), ("t", 3.0, 1.0), ("t", 3.0, 2.0), ("u", 1.0, 1.0), ("v", 1.0, 2.0), ("v", 2.0, 1.0), ("v", None, 7.0), ("w", None, 1.0)]
+    got = {r.g: (r.spearman, r.n) for r in reporting.spearman(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y").collect()}
+    assert {g: n for g, (_, n) in got.items()} == {"s": 2, "t": 2, "u": 1, "v": 2}
+    assert all(math.isnan(got[g][0]) for g in "stu") and got["v"][0] == pytest.approx(-1.0)
+
+
 def test_totals_of_a_month(spark):
     money = spark.createDataFrame([("s", "a", 60.0, 6.0, 3.0, 100.0, 60), ("s", "b", 30.0, 0.0, 0.0, 50.0, 60), ("t", "a", 5.0, 5.0, 0.0, 1.0, 30)], "store_id string, item_id string, margin double, stockout_cost double, loss double, mean_capital double, n_days long")
     got = {r.store_id: r for r in reporting.store_totals(money).collect()}
