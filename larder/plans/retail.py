@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_up_to_pack
 from ..operators import calendar, contracts, forecast, guards, panel, profiling, selection
 from ..params import PARAMS as P
-from ..sources.retail import raw_items, raw_sales
+from ..sources.retail import kept_sales, raw_items, raw_sales
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,8 +53,8 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.panel(raw_sales(spark, sf_dir), P.window_start, P.window_end, P.delisting_gap_days, P.anomalies)
+def _panel(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
+    return panel.panel(kept_sales(spark, sf_dir) if sales is None else sales, P.window_start, P.window_end, P.delisting_gap_days, P.anomalies)
 
 
 @_query("s4_known_totals", "select count(*) n_rows, min(date) min_date, max(date) max_date, round(avg(cast(onpromotion is null as double)), 6) promo_null_share from raw")
@@ -129,7 +129,7 @@ select c.min_density, count(a.item_nbr) n_pairs, count(distinct a.store_nbr) n_s
 from cuts c left join alive a using (min_density) left join top t on t.min_density = c.min_density and t.r = 1 group by 1""",
 )
 def a8(spark, sf_dir):
-    sales = raw_sales(spark, sf_dir)
+    sales = kept_sales(spark, sf_dir)
     return profiling.count_candidates(profiling.pair_coverage(sales, P.window_start, P.window_end), raw_items(sales), P.density_cuts)
 
 
@@ -163,7 +163,7 @@ select cast(item_nbr as varchar) item_id, family category, 'SUP-' || trim(regexp
        perishable = 1 is_perishable, cast({P.price_ref} as double) price_ref, round(cast({P.price_ref} as double) * (1 - cast({_MARGIN} as double)), 6) cost from items left join frac using (item_nbr)""",
 )
 def c6(spark, sf_dir):
-    sales = raw_sales(spark, sf_dir)
+    sales = kept_sales(spark, sf_dir)
     return _rounded(panel.items(raw_items(sales), profiling.in_window(sales, P.window_start, P.window_end), P.margins, P.default_margin, P.fractional_threshold, P.price_ref), "cost")
 
 
@@ -177,14 +177,15 @@ s4 as (select *, case when a2 is null then row_number() over (partition by store
 funnel as (select *, coalesce(a2, case when r > {P.family_cap} then 'cap' end) left_at from s4)"""
 
 
-def _density(spark, sf_dir):
+def _density(spark, sf_dir, sales=None):
     selection.no_leakage(P.slice_end, P.as_of)
-    return selection.slice_density(_panel(spark, sf_dir), P.window_start, P.slice_end)
+    return selection.slice_density(_panel(spark, sf_dir, sales), P.window_start, P.slice_end)
 
 
 def _funnel(spark, sf_dir):
-    families = raw_items(raw_sales(spark, sf_dir)).select(F.col("item_nbr").cast("string").alias("item_id"), "family")
-    return selection.funnel(_density(spark, sf_dir), families, (P.window_start, P.window_end), P.density_floor, P.promo_ceiling, P.min_family_items, P.family_cap)
+    sales = kept_sales(spark, sf_dir)
+    families = raw_items(sales).select(F.col("item_nbr").cast("string").alias("item_id"), "family")
+    return selection.funnel(_density(spark, sf_dir, sales), families, (P.window_start, P.window_end), P.density_floor, P.promo_ceiling, P.min_family_items, P.family_cap)
 
 
 @_query("b3_density_by_item", f"{_FUNNEL} select store_id, item_id, f first_day, l last_day, round(density, 6) density, round(promo_share, 6) promo_share from density")
@@ -329,7 +330,7 @@ _CANDIDATES = "cand as (select cast(store_nbr as varchar) store_id, cast(item_nb
 
 
 def _candidates(spark, sf_dir):
-    sales = raw_sales(spark, sf_dir)
+    sales = kept_sales(spark, sf_dir)
     rows = profiling.in_window(sales, P.window_start, P.window_end).join(raw_items(sales).select("item_nbr", "family"), "item_nbr")
     return rows.groupBy("store_nbr", "item_nbr", "family").agg(F.round(F.sum(F.greatest("unit_sales", F.lit(0.0))), 4).alias("value")).select(
         F.col("store_nbr").cast("string").alias("store_id"), F.col("item_nbr").cast("string").alias("item_id"), F.col("family").alias("category"), "value", (0.05 + (F.col("item_nbr") * 37 % 100) / 200.0).alias("margin")

@@ -12,8 +12,8 @@ from ..operators import tables
 from ..operators.tables import Contract, Field
 from ..params import PARAMS as P
 from ..sources import canonical, raw_files, results
-from ..sources.intermediate import shared_dir
-from ..sources.retail import raw_items, raw_sales
+from ..sources.intermediate import dropped, shared_dir
+from ..sources.retail import kept_sales, raw_items, raw_sales
 from .retail import _MARGIN, ORACLE_SQL, _query
 
 #: Order lines as a table that is held to more than it keeps, so that each rule has its findings.
@@ -99,30 +99,37 @@ def s13(spark, sf_dir):
     return spark.createDataFrame([(*(v for k, v in asdict(first).items() if k != "path"), again.skipped)], "name string, read long, kept long, misfits long, null_dates long, skipped boolean, again_skipped boolean")
 
 
-def _built(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+def _built(spark: SparkSession, sales: DataFrame) -> tuple[str, dict]:
     """The canonical tables of these sales and parameters in the shared folder, and their manifest; built where they are not there yet."""
-    sales = raw_sales(spark, sf_dir)
     items = raw_items(sales)
     key = canonical.params_key({"params": canonical.params_key(P), "sales": canonical.fingerprint(sales)})
     out = f"{shared_dir(spark)}/canonical-{key}"
     return out, canonical.build(spark, sales, items, out, P)
 
 
+def _built_once(spark: SparkSession, sf_dir: str) -> str:
+    sales = kept_sales(spark, sf_dir)
+    out, _ = _built(spark, sales)
+    dropped(sales)
+    return out
+
+
 @_query(
     "s6_s7_canonical_build",
     "select 'sales' table_name, count(*) n_rows, false built_again from panel union all select 'items', count(*), false from items union all select 'suppliers', count(distinct family), false from items union all select 'stock', 0, false",
 )
 def s67(spark, sf_dir):
     """The canonical tables' rows by their manifest; a second build of the same inputs writes nothing."""
-    out, _ = _built(spark, sf_dir)
-    sales = raw_sales(spark, sf_dir)
+    sales = kept_sales(spark, sf_dir)
+    out, _ = _built(spark, sales)
     again = canonical.build(spark, sales, raw_items(sales), out, P)
+    dropped(sales)
     return spark.createDataFrame([(name, marks["rows"], again["built"]) for name, marks in again["outputs"].items()], "table_name string, n_rows long, built_again boolean")
 
 
 @_query("s8_canonical_sales", "select store_id, item_id, date, units_sold, units_returned, on_promo, cast(null as double) price, is_operating_day, is_anomaly, anomaly_reason from panel")
 def s8(spark, sf_dir):
-    out, _ = _built(spark, sf_dir)
+    out = _built_once(spark, sf_dir)
     return canonical.load(spark, out, ("sales",))["sales"]
 
 
@@ -134,7 +141,7 @@ select cast(item_nbr as varchar) item_id, cast(null as varchar) ean, cast(null a
        'assumed margin ' || cast(cast({_MARGIN} as double) as varchar) || ' of the ' || case when family in ({", ".join(f"'{f}'" for f, _ in P.margins)}) then 'category' else 'default' end || ', price {P.price_ref:g} for all; not observed' economics_origin from items left join frac using (item_nbr)""",
 )
 def c6_items(spark, sf_dir):
-    out, _ = _built(spark, sf_dir)
+    out = _built_once(spark, sf_dir)
     return canonical.load(spark, out, ("items",))["items"].withColumn("cost", F.round("cost", 6))
 
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .intermediate import written
+
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(store_nbr, item_nbr, date, unit_sales, onpromotion): regions are stores and brands items; dates before 1996 have no promotion known."""
+    """(store_nbr, item_nbr, date, unit_sales, onpromotion): regions are stores and brands items; dates before 1996 have no promotion known.
+
+    Parts grow with the lines, so they are never broadcast.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     lines = (
         read("lineitem")
         .join(read("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .join(F.broadcast(read("nation")), F.col("n_nationkey") == F.col("s_nationkey"))
-        .join(read("part"), F.col("p_partkey") == F.col("l_partkey"))
+        .join(read("part").hint("merge"), F.col("p_partkey") == F.col("l_partkey"))
         .select(
             (F.col("n_regionkey") + 1).cast("long").alias("store_nbr"), F.expr("cast(substr(p_brand, 7) as bigint)").alias("item_nbr"),
             F.col("l_shipdate").cast("date").alias("date"), F.col("l_quantity").cast("double").alias("q"), F.col("l_tax").cast("double").alias("tax"),
@@ -26,6 +31,11 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def kept_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_sales(), written: for whatever reads them more than once, as the lines are then read and joined once."""
+    return written(raw_sales(spark, sf_dir))
+
+
 def raw_items(sales: DataFrame) -> DataFrame:
     """(item_nbr, family, class, perishable) of the items sold."""
     n = F.col("item_nbr")

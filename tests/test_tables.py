@@ -170,3 +170,24 @@ def test_points_and_csv(spark, tmp_path):
     assert [r.alpha for r in points.collect()] == [0.5, 0.7, 0.9]
     results.write_csv(points, f"file://{tmp_path}/csv")
     assert spark.read.csv(f"file://{tmp_path}/csv", header=True, inferSchema=True).count() == 3
+
+
+def test_parts_are_not_broadcast_and_lines_are_read_once(spark, monkeypatch):
+    from larder.plans import retail
+    from larder.plans import tables as plans
+    from larder.sources.retail import raw_sales
+
+    data = "/root/testdata/sf0.001"
+    plan = raw_sales(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "p_partkey" in line and "BroadcastHashJoin" in line] == []
+    # what reads the sales several times reads them written, not the lines each time
+    assert [f for f in retail.QUERIES["c5_panel"](spark, data).inputFiles() if "lineitem" in f] == []
+    seen, build = [], canonical.build
+
+    def watched(spark, sales, *rest):
+        seen.extend(sales.inputFiles())
+        return build(spark, sales, *rest)
+
+    monkeypatch.setattr(plans.canonical, "build", watched)
+    rows = plans.s67(spark, data).collect()
+    assert len(rows) == 4 and not any(r.built_again for r in rows) and seen and not any("lineitem" in f for f in seen)
