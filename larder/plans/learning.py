@@ -12,7 +12,7 @@ from ..params import PARAMS as P
 from ..sources import results
 from ..sources.canonical import fingerprint, params_key
 from ..sources.intermediate import shared_dir, written
-from ..sources.retail import raw_items, raw_sales
+from ..sources.retail import kept_sales, raw_items, raw_sales
 from .replenishment import _WEEKLY, _WEEKLY_Q, ORACLE_SQL, _asked, _payday_sql, _weekly_quantiles
 from .retail import _POINTS, _panel, _query, _rounded
 
@@ -26,8 +26,8 @@ def _calendar(asked: DataFrame) -> DataFrame:
     return asked.select("store_id", F.col("as_of").alias("date")).distinct().select("store_id", "date", calendar.iso_weekday(d).alias("iso_weekday"), calendar.days_to_payday(d, P.paydays).alias("days_to_payday"))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_items(raw_sales(spark, sf_dir)).select(F.col("item_nbr").cast("string").alias("item_id"), F.col("family").alias("category"), F.col("class").alias("item_class"), (F.col("perishable") == 1).alias("is_perishable"))
+def _items(sales: DataFrame) -> DataFrame:
+    return raw_items(sales).select(F.col("item_nbr").cast("string").alias("item_id"), F.col("family").alias("category"), F.col("class").alias("item_class"), (F.col("perishable") == 1).alias("is_perishable"))
 
 
 @_query(
@@ -44,10 +44,10 @@ from f join items on cast(item_nbr as varchar) = item_id""",
 )
 def x5(spark, sf_dir):
     """Every pair that was ever sold, also before its first day in the panel."""
-    sales = raw_sales(spark, sf_dir)
+    sales = kept_sales(spark, sf_dir)
     pairs = sales.select(F.col("store_nbr").cast("string").alias("store_id"), F.col("item_nbr").cast("string").alias("item_id")).distinct()
     asked = features.at_dates(pairs, F.array(*(F.lit(d) for d in P.feature_dates)))
-    rows = features.feature_rows(_panel(spark, sf_dir), asked, _items(spark, sf_dir), _calendar(asked), P.lags, P.feature_windows, P.active_features)
+    rows = features.feature_rows(_panel(spark, sf_dir, sales), asked, _items(sales), _calendar(asked), P.lags, P.feature_windows, P.active_features)
     rows = _rounded(rows, *(c for c in rows.columns if "mean" in c or "share" in c), places=9)
     return _rounded(rows, "rolling_sum_units_28d", places=4)
 
@@ -58,21 +58,20 @@ _LEARNED = tuple("category_code" if c == "category" else c for c in _SEEN) + ("h
 _HOW = boosting.Boosting(P.quantiles, P.boost_rounds, P.boost_depth, P.boost_rate, P.boost_bins, P.boost_least_rows)
 
 
-def _learning_rows(spark: SparkSession, sf_dir: str, history: DataFrame, asked: DataFrame) -> DataFrame:
-    items = _items(spark, sf_dir)
+def _learning_rows(items: DataFrame, history: DataFrame, asked: DataFrame) -> DataFrame:
     rows = features.feature_rows(history, asked.drop("horizon"), items, _calendar(asked), P.lags, P.learned_windows, _SEEN)
     coded = rows.join(features.category_codes(items, "category").withColumnRenamed("code", "category_code"), "category", "left").join(asked, [*_PAIR, "as_of"])
     return coded.withColumn("is_perishable", F.col("is_perishable").cast("int"))
 
 
-def _trees(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
+def _trees(spark: SparkSession, items: DataFrame, history: DataFrame) -> DataFrame:
     """The model's trees: trained once for the same sales and parameters, then read."""
     key = {"params": params_key(P), "how": _HOW, "learned": _LEARNED, "history": fingerprint(history)}
 
     def make() -> DataFrame:
         asked = written(_asked(spark, history))
         usable = features.usable_origins(asked, spark.createDataFrame([(d,) for d in P.retrains], "retrain date"), P.least_origins)
-        rows = _learning_rows(spark, sf_dir, history, asked).join(features.window_targets(history, asked).drop("horizon"), [*_PAIR, "as_of"])
+        rows = _learning_rows(items, history, asked).join(features.window_targets(history, asked).drop("horizon"), [*_PAIR, "as_of"])
         panel = written(usable.drop("horizon").join(rows, [*_PAIR, "as_of"]))
         return boosting.train(panel.withColumn("weight", F.pow(F.lit(0.5), F.col("age") / P.half_life)), "retrain", _LEARNED, "target", "weight", _HOW)
 
@@ -85,11 +84,11 @@ def _decisions(history: DataFrame) -> DataFrame:
     return features.at_dates(history.select(*_PAIR).distinct(), dates).withColumn("horizon", F.lit(P.horizon))
 
 
-def _grid(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
+def _grid(spark: SparkSession, items: DataFrame, history: DataFrame) -> DataFrame:
     """(store_id, item_id, as_of, horizon, quantile, value): the forecasts of each decision by the latest model, in order and not below 0."""
     asked = _decisions(history)
-    rows = forecast.as_of_retrain(_learning_rows(spark, sf_dir, history, asked), P.retrains, "as_of")
-    made = boosting.predict(rows, "retrain", _trees(spark, sf_dir, history), _LEARNED, P.boost_depth, P.quantiles)
+    rows = forecast.as_of_retrain(_learning_rows(items, history, asked), P.retrains, "as_of")
+    made = boosting.predict(rows, "retrain", _trees(spark, items, history), _LEARNED, P.boost_depth, P.quantiles)
     ordered = F.array_sort(F.transform("forecast", lambda x: x["value"]))
     long = made.select(*_PAIR, "as_of", "horizon", F.posexplode(ordered).alias("k", "v"))
     return long.select(*_PAIR, "as_of", "horizon", F.element_at(F.array(*map(F.lit, P.quantiles)), F.col("k") + 1).alias("quantile"), F.greatest(F.col("v"), F.lit(0.0)).alias("value"))
@@ -98,19 +97,21 @@ def _grid(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
 @_query("m10_quantile_model")
 def m10(spark, sf_dir):
     """Pinball loss and coverage of the boosted model by quantile at the decision dates, beside those of the naive quantiles on the same rows."""
-    history = written(_panel(spark, sf_dir))
+    sales = kept_sales(spark, sf_dir)
+    history = written(_panel(spark, sf_dir, sales))
     dates = [P.retrains[0] + timedelta(k) for k in range(0, (P.evaluation_end - P.retrains[0]).days + 1, P.evaluation_days)]
     points = written(forecast.naive_points(history, P.naive_weeks, P.horizon))
     naive = forecast.naive_quantiles_at(points, dates, P.horizon, P.quantiles, P.min_residuals).withColumnRenamed("value", "naive")
     actual = features.window_targets(history, _decisions(history))
-    rows = _grid(spark, sf_dir, history).join(naive, [*_PAIR, "as_of", "horizon", "quantile"]).join(actual, [*_PAIR, "as_of", "horizon"])
+    rows = _grid(spark, _items(sales), history).join(naive, [*_PAIR, "as_of", "horizon", "quantile"]).join(actual, [*_PAIR, "as_of", "horizon"])
     loss = lambda c: F.avg(F.greatest(F.col("quantile") * (F.col("target") - F.col(c)), (F.col("quantile") - 1) * (F.col("target") - F.col(c))))
     return rows.groupBy("quantile").agg(F.count("*").alias("n"), F.round(loss("value"), 6).alias("pinball"), F.round(loss("naive"), 6).alias("naive_pinball"), F.round(F.avg((F.col("target") <= F.col("value")).cast("double")), 6).alias("coverage"))
 
 
 @_query("m13_prediction_grid")
 def m13(spark, sf_dir):
-    return _rounded(_grid(spark, sf_dir, written(_panel(spark, sf_dir))), "value")
+    sales = kept_sales(spark, sf_dir)
+    return _rounded(_grid(spark, _items(sales), written(_panel(spark, sf_dir, sales))), "value")
 
 
 _STORE = f"""qs(quantile) as (values {', '.join(f"(cast({q} as double))" for q in P.quantiles)}), retrains(as_of) as (values {', '.join(f"(date '{d}')" for d in P.retrains)}),

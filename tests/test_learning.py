@@ -147,3 +147,13 @@ def test_boosting_beats_one_quantile_for_all(spark):
         assert sum(loss(r.y - r.forecast[k].value) for r in got) < 0.5 * sum(loss(r.y - flat[r.model, q]) for r in got)
         assert np.mean([r.y <= r.forecast[k].value for r in got]) == pytest.approx(q, abs=0.04)
     assert boosting.predict(rows.filter("model is null"), "model", trees, ("x",), how.depth, how.quantiles).first().forecast is None
+
+
+def test_the_model_reads_the_lines_once(spark, monkeypatch):
+    from larder.plans import learning
+
+    seen = []
+    monkeypatch.setattr(learning, "_grid", lambda spark, *tables: seen.extend(f for t in tables for f in t.inputFiles()) or spark.createDataFrame([(1.0,)], "value double"))
+    assert learning.m13(spark, "/root/testdata/sf0.001").count() == 1
+    # items and history come from the written sales
+    assert seen and not any("lineitem" in f for f in seen)
