@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, cleanup, free_shuffles, hash_spans, materialize, mix, table, words_of, written
+from .common import Block, blocks, cleanup, free_shuffles, hash_spans, materialize, mix, small_batches, table, words_of, written
 from .components import components
 
 #: Shingles for each counter of the sketch, and the least and most counters as powers of two (the most take 16 MB).
@@ -47,8 +47,12 @@ PER_COUNTER, LEAST_BITS, MOST_BITS, SLICE_BITS = 64, 16, 24, 14
 MOST_MATCHES, VERIFY_COST = 8, 20.0
 #: Pairs for each class of a shingle up to which its classes are paired; with more of them it gets a pivot.
 FEW = 8
+#: Crowded pairs that are paired nevertheless, as a part of the first rows: what all levels may leave.
+LEFT = 4
 #: Levels of pivots.
 LEVELS = 6
+#: Classes of a group, about, whose differences tell which ones many of the group have. They give an order alone; any order is exact.
+OBSERVED = 16
 #: Choices of d and k: heavy units that similar classes may differ in, and parts they are then equal in.
 CHOICES = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 2), (5, 2), (5, 3), (8, 2), (2, 6), (3, 5), (3, 7), (4, 4), (4, 6), (5, 5))
 #: The first of them are tried on all classes, the others where those cost more than FEW candidates for each class.
@@ -283,17 +287,32 @@ def _differences(groups: DataFrame, members: DataFrame, width: int, shared, simi
     """Rows _ROW of the prefixes of what each class of groups (cls, pivot, size) differs in from its pivot; `near` tells
     that it is similar to the pivot.
 
-    A difference's order follows from the group and itself alone: a shingle that the pivot lacks comes the earlier the fewer
-    documents have it, one that it has comes the earlier the more documents have it, as fewer of the group lack it.
+    A difference's order follows from the group and itself alone, from rare to common in the group: first what only one class
+    has, then by how many of some OBSERVED classes differ in it too. Documents of the corpus do not tell that: most of a group
+    hold a shingle of the text that they are copies of, yet those that lack it may be many. Among equals, a shingle that the
+    pivot lacks comes the earlier the fewer documents have it, one that it has the earlier the more documents have it.
     """
     text = members.select("cls", "t")
     pivots = materialize(text.join(groups.select(F.col("pivot").alias("cls")).distinct(), "cls").select(F.col("cls").alias("pivot"), F.col("t").alias("tp")))
-    both = groups.join(text, "cls").join(pivots, "pivot").select("pivot", "cls", "size", "t", "tp")
     p, q = similarity.numerator, similarity.denominator
 
+    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, tokens = batch.column(0).to_numpy(), []
+            sets_p = (s for block in blocks(batch.column(2)) for s in shingle_sets(block, width))
+            for s, sp in zip((s for block in blocks(batch.column(1)) for s in shingle_sets(block, width)), sets_p, strict=True):
+                tokens.append(np.setxor1d(s, sp, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(heads, [len(x) for x in tokens])), pa.array(np.concatenate(tokens).view(np.int64))], ["pivot", "token"])
+
+    some = groups.filter(F.pmod(F.xxhash64("cls", "pivot"), F.col("size")) < OBSERVED).join(text, "cls").join(pivots, "pivot")
+    often = some.select("pivot", "t", "tp").mapInArrow(observe, "pivot long, token long").groupBy("pivot", "token").agg(F.count("*").cast("int").alias("c"))
+    often = often.filter("c > 1").groupBy("pivot").agg(F.array_sort(F.collect_list(F.struct("token", "c"))).alias("o"))
+    pivots = materialize(pivots.join(often, "pivot", "left").select("pivot", "tp", F.col("o.token").alias("shared"), F.col("o.c").alias("holders")))
+    both = groups.join(text, "cls").join(pivots, "pivot").select("pivot", "cls", "size", "t", "tp", "shared", "holders")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, usual = shared.value
-        last: tuple[int, np.ndarray] | None = None
+        last: tuple[int, np.ndarray, np.ndarray, np.ndarray] | None = None
         for batch in batches:
             heads = [batch.column(i).to_pylist() for i in range(3)]
             at, out = 0, []
@@ -301,7 +320,8 @@ def _differences(groups: DataFrame, members: DataFrame, width: int, shared, simi
                 for s in shingle_sets(block, width):
                     pivot, cls, size = (h[at] for h in heads)
                     if last is None or last[0] != pivot:
-                        last = pivot, next(shingle_sets(next(blocks(batch.column(4).slice(at, 1))), width))
+                        told = [np.array(batch.column(i)[at].as_py() or [0], np.int64) for i in (5, 6)]
+                        last = pivot, next(shingle_sets(next(blocks(batch.column(4).slice(at, 1))), width)), *told
                     at += 1
                     own, lacks = np.setdiff1d(s, last[1], assume_unique=True), np.setdiff1d(last[1], s, assume_unique=True)
                     n, r = len(s), len(own) + len(lacks)
@@ -309,10 +329,13 @@ def _differences(groups: DataFrame, members: DataFrame, width: int, shared, simi
                         continue
                     near = (p + q) * r <= (q - p) * (n + len(last[1]))
                     diff = np.concatenate([own, lacks])
+                    place = np.minimum(np.searchsorted(last[2], diff.view(np.int64)), len(last[2]) - 1)
+                    seen = np.where(last[2][place] == diff.view(np.int64), last[3][place], 0)
+                    seen[len(own) :] += 1
                     rank = np.concatenate([np.minimum(_count_of(own, sketch), size), size - np.minimum(_count_of(lacks, sketch), size)])
                     # need >= r - a (n + n'), for any n' <= n / s
                     most = min(r, (q - p) * n // p + 1)
-                    order = np.lexsort((mix(diff), rank))[:most]
+                    order = np.lexsort((mix(diff), rank, seen))[:most]
                     out.append((pivot, diff[order], cls, n, r, near))
             if out:
                 k = [len(o[1]) for o in out]
@@ -432,8 +455,8 @@ def _by_passages(crowd: DataFrame, members: DataFrame, width: int, similarity: F
 def _similar_classes(found: DataFrame, members: DataFrame, width: int, shared, similarity: Fraction) -> DataFrame:
     """(cls, component) of each class with links, from the prefix rows found (_ROW), level by level.
 
-    A token's classes are paired where at most FEW pairs for each of them lie between components, and all are, once that makes
-    at most FEW pairs for each of the first rows. Where pivots no longer halve the pairs, crowded ones are parted by passages.
+    A token's classes are paired where at most FEW pairs for each of them lie between components, and all are, once the others
+    make at most a pair for each LEFT of the first rows. Where pivots no longer halve the pairs, crowded ones are parted by passages.
     """
     p, q = similarity.numerator, similarity.denominator
 
@@ -457,8 +480,8 @@ def _similar_classes(found: DataFrame, members: DataFrame, width: int, shared, s
         rows, crowded = found.count() if level == 0 else rows, F.col("apart") > 2 * FEW * F.col("c")
         ahead = keys.filter(crowded).agg(F.sum("apart") / 2).first()[0] or 0
         # differences of pivots help while they leave fewer pairs, passages where those do not
-        stuck = ahead > FEW * rows and (level == LEVELS or 2 * ahead > before)
-        done, before = stuck or ahead <= FEW * rows, ahead
+        stuck = LEFT * ahead > rows and (level == LEVELS or 2 * ahead > before)
+        done, before = stuck or LEFT * ahead <= rows, ahead
         passages: DataFrame | None = None
         if stuck:
             crowd = found.join(keys.filter(crowded).select("pivot", "token"), ["pivot", "token"], "left_semi").select("cls", "label").distinct()
@@ -501,6 +524,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(4, 5), widt
     told apart by 64-bit fingerprints.
     """
     spark, before = docs.sparkSession, written()
+    small_batches(spark)
     rows = _texts(docs, id_col, text_col)
     bits = _sketch_bits(rows)
     survey = materialize(_survey(rows, width, bits))
