@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cleanup, free_shuffles, hash_spans, map_arrow, materialize, table, written
+from .common import cleanup, free_shuffles, hash_spans, map_arrow, materialize, small_batches, table, written
 
 ORDER, DISCOUNT = 7, 0.75
 #: A quarter of the labelled documents fits the score instead of the models, at most so many: toxic and ordinary.
@@ -457,6 +457,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold:
     texts are read whole. An empty table gives an empty result; other columns of either table are not read.
     """
     before = written()
+    small_batches(docs.sparkSession)
     own = materialize(training_labels(labels, id_col))
     model, sizes = fit(labelled_documents(docs, own, id_col), id_col)
     if model is None:
