@@ -44,7 +44,7 @@ def _components(texts: list[str]) -> list[int]:
     return [top(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("crowd, twins, most", [(120, 240, 2), (300, 0, 14)])
+@pytest.mark.parametrize("crowd, twins, most", [(80, 240, 2), (300, 0, 14)])
 def test_pairs_of_a_crowd(spark, monkeypatch, crowd, twins, most):
     """A small crowd among many rows is not paired as a whole, and copies with many edits are not paired by edits at one place."""
     made, plain = [], ngram_join._links
